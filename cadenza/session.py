@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,20 +16,38 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """The cluster names the folder in spark.checkpoint.dir; only where it is unset (tests, local runs) is a temporary one used."""
+_cuts: dict[str, str] = {}  # per application, its folder of cuts
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests, local runs) is a temporary one used."""
     sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        named = sc.getConf().get("spark.checkpoint.dir")
-        if named is None and not (sc.master or "").startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="cadenza-checkpoint-"))
+    if (app := sc.applicationId) not in _cuts:
+        named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+        if named is None:
+            if not (sc.master or "").startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="cadenza-")
+            atexit.register(shutil.rmtree, named, ignore_errors=True)
+        _cuts[app] = f"{named.rstrip('/')}/cadenza-{app}"
+    return _cuts[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Writes df once to the shared checkpoint folder and forgets its lineage; survives the loss of executors."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes df once as a table in the shared folder and reads it from there: no lineage, plan or broadcast stays behind.
+
+    The table survives the loss of executors. Tables of an application are dropped by drop_cuts.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_cuts(spark: SparkSession) -> None:
+    """Deletes the application's tables; results that still read them must have been written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(shared_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def hash_bucket(h: Column, buckets: int) -> Column:
