@@ -14,7 +14,7 @@ def random_mate_components(edges: DataFrame, src: str = "src", dst: str = "dst",
     Each round gives every vertex a coin (a hash of vertex and round). A tail with at least one head among its
     neighbours collapses into the least of them; edges are rewritten by two joins, loops and repeats vanish. As only
     tails move and only onto heads, no chains arise inside a round. When no edge is left the rounds' parents are
-    unwound backwards. Expected rounds: O(log vertices); each is a checkpoint, so a lost executor costs one round.
+    unwound backwards. Expected rounds: O(log vertices); each is written, so a lost executor costs one round.
     Null ends and self-loops tie nothing and are ignored; repeated edges count once; an empty input gives no rows.
     A vertex of very high degree is pre-aggregated map-side (min per tail), never collected.
     """
@@ -28,7 +28,9 @@ def random_mate_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         p = cut(p)
         k += 1
         parents.append(p)
-        pu, pv = p, p.select(F.col("u").alias("v"), F.col("p").alias("q"))
+        # Sort-merge throughout: a broadcast in each of many rounds would stay in the driver's memory.
+        p = p.hint("merge")
+        pu, pv = p, p.select(F.col("u").alias("v"), F.col("p").alias("q")).hint("merge")
         e = (
             e.join(pu, "u", "left")
             .select(F.coalesce("p", "u").alias("u"), "v")
@@ -43,7 +45,7 @@ def random_mate_components(edges: DataFrame, src: str = "src", dst: str = "dst",
         return e.select(F.col("u").alias("vertex"), F.col("v").alias("root"))
     labels = parents[-1].select(F.col("u").alias("vertex"), F.col("p").alias("root"))
     for n, p in enumerate(reversed(parents[:-1]), 1):
-        above = labels.select(F.col("vertex").alias("p"), F.col("root").alias("r"))
+        above = labels.select(F.col("vertex").alias("p"), F.col("root").alias("r")).hint("merge")
         labels = p.join(above, "p", "left").select(F.col("u").alias("vertex"), F.coalesce("r", "p").alias("root")).unionAll(labels)
         if n % unwind_every == 0:
             labels = cut(labels)
