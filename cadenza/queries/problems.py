@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.operators import nested
+from cadenza.operators import nested, quality
 from cadenza.session import cut, table
 
 #: Fields that are lists, and the field of a receipt that wraps a record.
@@ -68,6 +68,54 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
     return one(BEAT, "beat", "real_sample").unionAll(one(DIFFERENCE, "difference", "historical_comparison"))
 
 
+#: Families of a combination and the columns' prefixes.
+FAMILY_OF = {"s8": "S", "d": "D", "r": "R", "p": "P", "F": "F", "H": "H", "SC": "SC", "BC": "BC"}
+#: The measurements by family.
+S_NAMES = [f"s8__{x}" for x in ("tilt_1_5k_db_oct", "hf_tilt_5_7p5k_db_oct", "hf_ratio_5_7p5_db", "sibilance_ratio_5_7p5_db", "hf_flatness_5_7p5", "hf_entropy_5_7p5", "hf_crest_5_7p5_db", "hf_power_sd_5_7p5_db", "hf_flux_5_7p5", "hf_frame_similarity_5_7p5", "sibilance_burst_rate_5_7p5_hz", "sibilance_contrast_5_7p5_db", "hf_mod_4_12_share_5_7p5", "fakeprint_peak_density_5_7p5_per_khz", "fakeprint_periodicity_5_7p5")]
+DRP_NAMES = ["d__dynamics_span", "d__dynamics_iqr", "d__dynamics_adjacent_change", "r__ibi_cv", "r__tempo_tv", "r__tempo_entropy", *[f"p__section_{x}" for x in ("duration_cv", "duration_entropy", "duration_median", "bars_cv", "bars_offmode_fraction", "bars_median")]]
+FHSC_NAMES = [
+    *[f"F_{m}_{p}" for m in ("phase_residual_cvar", "group_delay_iqr_ms", "group_delay_cross_band_iqr_ms") for p in ("all", "attack", "sustain", "decay", "decay_minus_sustain")],
+    *[f"H_{x}" for x in ("pitch_class_entropy_norm", "pc_token_entropy_norm", "chroma_path_change_median", "chroma_path_change_iqr", "pc_path_step_median", "pc_path_large_step_rate")],
+    *[f"SC_{b}hz_{m}_median" for b in ("80_500", "500_2000", "2000_6000") for m in ("abs_iid_db", "side_energy_fraction")],
+]
+BC_NAMES = ["BC_b2_500_750_1250hz_center8s_median"]
+#: Usual forms of an id and a digest.
+ID_FORM, SHA_FORM = "^(human|ai)_[a-z_]+_[0-9a-f]{16}$", "^[0-9a-f]{64}$"
+
+
+def family_of(name: str) -> str:
+    return FAMILY_OF.get(name.split("_")[0], "")
+
+
+def families(c):
+    """The families that a combination names, however written, in order of the alphabet: array<string>; null for none."""
+    parts = F.array_sort(F.array_distinct(F.filter(F.split(F.upper(F.regexp_replace(c, r"\s+", "")), r"[^A-Z]+"), lambda x: x != "")))
+    return F.when(F.size(parts) > 0, parts)
+
+
+def quality_specs() -> dict[str, quality.Spec]:
+    replay = quality.Spec("load_id", {"id": ID_FORM, "sha256": SHA_FORM, "feature_file_sha256": SHA_FORM}, "features", [*S_NAMES, *DRP_NAMES, *FHSC_NAMES, *BC_NAMES], family_of, F.coalesce(families(F.col("combination")), F.array().cast("array<string>")))
+    reference = quality.Spec("load_id", {"id": ID_FORM, "feature_file_sha256": SHA_FORM}, "features", FHSC_NAMES)
+    return {"native30_replay": replay, "sample_reference_features": reference}
+
+
+def _both(spark: SparkSession, d: str, f) -> DataFrame:
+    a, b = [f(table(spark, d, n), s).withColumn("table_name", F.lit(n)) for n, s in quality_specs().items()]
+    return a.unionByName(b)
+
+
+def p5_profile(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d, quality.profile).select("table_name", "load_id", "column_name", "rows", "missing", "distinct_values", "violations", "lowest", "highest", "average", "deviation", "top")
+
+
+def p5_changes(spark: SparkSession, d: str) -> DataFrame:
+    return _both(spark, d, quality.changed_columns)
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return p5_changes(spark, d).select("table_name", "load_id", "column_name")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
