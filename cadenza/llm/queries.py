@@ -5,22 +5,51 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import mixing, overlap, packing, splits
+from cadenza.llm import dyadic, mixing, overlap, packing, splits
 from cadenza.llm.tokens import n_tokens
+from cadenza.queries.problems import BC_NAMES, DRP_NAMES, FHSC_NAMES, S_NAMES, families
 from cadenza.session import cut, table
 
-#: The measurements of sample_reference_features.
-MEASURED = (
-    [f"F_{m}_{p}" for m in ("phase_residual_cvar", "group_delay_iqr_ms", "group_delay_cross_band_iqr_ms") for p in ("all", "attack", "sustain", "decay", "decay_minus_sustain")]
-    + ["H_pitch_class_entropy_norm", "H_pc_token_entropy_norm", "H_chroma_path_change_median", "H_chroma_path_change_iqr", "H_pc_path_step_median", "H_pc_path_large_step_rate"]
-    + [f"SC_{b}hz_{m}_median" for b in ("80_500", "500_2000", "2000_6000") for m in ("abs_iid_db", "side_energy_fraction")]
-)
+MEASURED = FHSC_NAMES
+ALL_NAMES = [*S_NAMES, *DRP_NAMES, *FHSC_NAMES, *BC_NAMES]
 
 
 def _drive_keys() -> dict[str, Column]:
     return {"g": splits.normal_key(F.col("group_id")), "c": splits.numeric_key(F.col("component_id"))}
 
 
+#: Percentiles that are reported.
+PERCENTILES = (0.01, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.99)
+
+
+def _load_sketches(spark: SparkSession, d: str) -> DataFrame:
+    """A sketch per load, group and measurement; combinations by their families, source groups by the recording's id."""
+    replay = table(spark, d, "native30_replay").select("id", "load_id", F.concat_ws("+", families(F.col("combination"))).alias("combo"), "features")
+    packed = dyadic.pack_values(replay.select("id", "load_id", F.when(F.col("combo") != "", F.col("combo")).alias("combination"), "features"), ALL_NAMES, "features", ["id", "load_id", "combination"])
+    sources = table(spark, d, "drive_sources").where("id is not null").groupBy("id").agg(F.min("source_group").alias("source_group"))
+    joined = packed.join(sources, "id", "left")
+    return dyadic.partial_sketches(joined, ["combination", "source_group"], "load_id")
+
+
+def p2_percentiles(spark: SparkSession, d: str) -> DataFrame:
+    """Percentiles of all measurements per combination and per source group, over all loads."""
+    keys = ["grouping", "group_value", "c"]
+    return dyadic.percentiles(dyadic.merge_sketches(_load_sketches(spark, d).drop("load_id"), keys), ALL_NAMES, PERCENTILES, keys)
+
+
+def p2_by_load(spark: SparkSession, d: str) -> DataFrame:
+    """Medians per load, whose sketches add up to those of p2_percentiles."""
+    keys = ["grouping", "group_value", "load_id", "c"]
+    return dyadic.percentiles(dyadic.merge_sketches(_load_sketches(spark, d), keys), ALL_NAMES, (0.5,), keys)
+
+
+def p2_counts(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each group's joined sketches hold."""
+    keys = ["grouping", "group_value", "c"]
+    p = dyadic.percentiles(dyadic.merge_sketches(dyadic.merge_sketches(_load_sketches(spark, d)).drop("load_id"), keys), ALL_NAMES, (0.5,), keys)
+    return p.select("grouping", "group_value", "feature", "n")
+
+
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     drive = table(spark, d, "drive_sources")
     r = drive.select("id", "member_name", F.col("canonical.input_sha256").alias("input_sha256"), F.col("canonical.waveform_float32_sha256").alias("waveform_sha256")).where("id is not null").distinct()
