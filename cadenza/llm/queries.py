@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadenza.llm import dyadic, mixing, overlap, packing, splits
+from cadenza.llm import abuse, dyadic, mixing, overlap, packing, splits
 from cadenza.llm.tokens import n_tokens
 from cadenza.queries.problems import BC_NAMES, DRP_NAMES, FHSC_NAMES, S_NAMES, families
 from cadenza.session import cut, table
@@ -126,6 +126,26 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return _mixed(spark, d)[1].where("cannot_reach").select("source")
 
 
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    sample = abuse.labelled(docs, table(spark, d, "content_labels"))
+    return abuse.score(docs, abuse.fit(sample["text"].tolist(), sample["y"].to_numpy()), ["doc_id", "source"])
+
+
+def p8_scores(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).select("doc_id", "score", "flagged")
+
+
+def p8_rates(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, those flagged, their rate and the mean score."""
+    s = _scored(spark, d).withColumn("source", F.coalesce(mixing.normal_source(F.col("source")), F.lit("(none)")))
+    return s.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("flagged").cast("int")).alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return _scored(spark, d).where("flagged").select("doc_id")
+
+
 def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
