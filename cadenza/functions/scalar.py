@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cents_between(reference: Column, estimate: Column) -> Column:
@@ -95,12 +96,12 @@ def clean_text(c: Column) -> Column:
 
 
 def comma_tags(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, ","), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(c, ","), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def duration_token(c: Column) -> Column:
     """Seconds of a token like 30s or 7.5s; null for other texts."""
-    return F.expr("1") * F.when(c.rlike(r"^[0-9]+(\.[0-9]+)?s$"), F.regexp_extract(c, r"^([0-9]+(?:\.[0-9]+)?)s$", 1).cast("double"))
+    return F.when(c.rlike(r"^[0-9]+(\.[0-9]+)?s$"), F.regexp_extract(c, r"^([0-9]+(?:\.[0-9]+)?)s$", 1).cast("double"))
 
 
 def safe_name(c: Column) -> Column:
@@ -108,19 +109,19 @@ def safe_name(c: Column) -> Column:
     return c.isNotNull() & (c != "") & ~c.startswith("/") & ~c.contains("\\") & ~c.contains("\x00") & ~F.exists(F.split(c, "/"), lambda p: p.isin("", ".", ".."))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def normal_text(s: pd.Series) -> pd.Series:
     """NFKC, case folded, white space collapsed; Arrow batches, as there is no built-in for it."""
     return s.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_tail(z: pd.Series) -> pd.Series:
     """P(Z > z) of the standard normal distribution."""
     return z.map(lambda x: None if x is None or np.isnan(x) else 0.5 * math.erfc(x / math.sqrt(2)))
 
 
-@F.pandas_udf("struct<mantissa:double,exponent:int>")
+@F.pandas_udf(T.StructType([T.StructField("mantissa", T.DoubleType()), T.StructField("exponent", T.IntegerType())]))
 def frexp(x: pd.Series) -> pd.DataFrame:
     m, e = np.frexp(x.to_numpy(float))
     return pd.DataFrame({"mantissa": m, "exponent": e.astype(np.int32)})
