@@ -105,7 +105,8 @@ def _both(spark: SparkSession, d: str, f) -> DataFrame:
 
 
 def p5_profile(spark: SparkSession, d: str) -> DataFrame:
-    return _both(spark, d, quality.profile).select("table_name", "load_id", "column_name", "rows", "missing", "distinct_values", "violations", "lowest", "highest", "average", "deviation", "top")
+    p = _both(spark, d, quality.profile)
+    return p.select("table_name", "load_id", "column_name", "rows", "missing", "distinct_values", "violations", "lowest", "highest", F.format_string("%.6e", "average").alias("average"), "top").withColumn("average", F.when(F.col("lowest").isNotNull(), F.col("average")))
 
 
 def p5_changes(spark: SparkSession, d: str) -> DataFrame:
@@ -120,5 +121,54 @@ def queries() -> dict:
     return {k: v for k, v in globals().items() if k[0] == "p" and k[1:2].isdigit() and callable(v)}
 
 
+def _decoded(x: str) -> str:
+    """A JSON value, read in place where it is a text that holds JSON."""
+    return f"case when json_type({x}) = 'VARCHAR' then try_cast(({x}) ->> '$' as json) else {x} end"
+
+
+def _listed(x: str) -> str:
+    return f"case json_type({x}) when 'OBJECT' then json_array({x}) when 'ARRAY' then {x} end"
+
+
+def _children(name: str, records: str, outer: str, inner: str, child: str) -> str:
+    return f"""{name}1 as (select record_id, {_decoded(outer)} as o from {records}), {name}2 as (select record_id, {_listed('o')} as o from {name}1), {name}3 as (select record_id, o, unnest(range(json_array_length(o)::bigint)) as pp from {name}2 where o is not null),
+    {name}4 as (select record_id, pp, {_decoded('(o -> pp)')} as el from {name}3), {name}5 as (select record_id, pp, {_decoded(f"(el -> '{inner}')")} as i from {name}4 where json_type(el) = 'OBJECT'), {name}6 as (select record_id, pp, {_listed('i')} as i from {name}5),
+    {name}7 as (select record_id, pp, i, unnest(range(json_array_length(i)::bigint)) as cp from {name}6 where i is not null), {name} as (select record_id, '{child}' as child, pp::int as parent_pos, cp::int as child_pos from {name}7 where json_type({_decoded('(i -> cp)')}) = 'OBJECT')"""
+
+
+_P1 = f"""with b0 as (select distinct record_id, record_kind, try_cast(ltrim(body, chr(65279)) as json) as v from neural_records where record_id is not null), b1 as (select record_id, record_kind, {_decoded('v')} as v from b0), b2 as (select record_id, record_kind, {_decoded('v')} as v from b1),
+  b3 as (select record_id, record_kind, case when json_type(v -> 'payload') = 'OBJECT' then v -> 'payload' else v end as v from b2 where json_type(v) = 'OBJECT'),
+  st as (select record_id, {_decoded("(v -> 'structure')")} as s from b3 where record_kind like 'real_sample%'), hc as (select record_id, v from b3 where record_kind like 'historical_comparison%'),
+  {_children('bt', 'st', "(s -> 'segments')", 'beats', 'beat')}, {_children('df', 'hc', "(v -> 'samples')", 'differences', 'difference')}
+  select distinct * from bt union all select distinct * from df"""
+
+_FORMS = {"native30_replay": {"id": ID_FORM, "sha256": SHA_FORM, "feature_file_sha256": SHA_FORM}, "sample_reference_features": {"id": ID_FORM, "feature_file_sha256": SHA_FORM}}
+
+
+def _profile_sql(t: str) -> str:
+    names = ", ".join(repr(n) for n in quality_specs_names(t))
+    family = "case split_part(k, '_', 1) when 's8' then 'S' when 'd' then 'D' when 'r' then 'R' when 'p' then 'P' else split_part(k, '_', 1) end"
+    expected = (
+        "list_distinct(list_filter(string_split_regex(upper(regexp_replace(coalesce(combination, ''), '\\s+', '', 'g')), '[^A-Z]+'), lambda e: e <> ''))" if t == "native30_replay" else "['F', 'H', 'SC']"
+    )
+    texts = " union all ".join(
+        f"""select '{t}' as table_name, load_id, '{c}' as column_name, count(*) as rows, count(*) filter (trim(coalesce({c}, '')) = '') as missing, count(distinct {c}) filter (trim({c}) <> '') as distinct_values,
+        count(*) filter (trim({c}) <> '' and not regexp_matches({c}, '{form}')) as violations, null::double as lowest, null::double as highest, null::double as average, null::double as deviation, coalesce((select max(n) from (select count(*) n from {t} z where z.load_id = {t}.load_id and trim(z.{c}) <> '' group by z.{c})), 0) as top from {t} group by load_id"""
+        for c, form in _FORMS[t].items()
+    )
+    return f"""select * from (with x as (select load_id, unnest(map_keys(features)) as k, unnest(map_values(features)) as v from {t}), u as (select load_id, k, v, count(*) as n from x where v is not null and isfinite(v) and v <> -999 group by 1, 2, 3),
+      w as (select load_id, fam, count(*) as n from (select load_id, unnest({expected}) as fam from {t}) group by 1, 2), cols as (select k, {family} as fam from (select unnest([{names}]) as k)),
+      s as (select load_id, k, sum(n)::bigint as used, count(*) as dv, min(v) as lo, max(v) as hi, sum(v * n) / sum(n) as av, sqrt(greatest(sum(v * v * n) / sum(n) - (sum(v * n) / sum(n)) * (sum(v * n) / sum(n)), 0)) as sd, max(n) as top from u group by 1, 2)
+      select '{t}' as table_name, w.load_id, cols.k as column_name, greatest(w.n, coalesce(used, 0))::bigint as rows, (greatest(w.n, coalesce(used, 0)) - coalesce(used, 0))::bigint as missing, coalesce(dv, 0) as distinct_values, null::bigint as violations, lo as lowest, hi as highest, av as average, sd as deviation, coalesce(s.top, 0) as top
+      from w join cols using (fam) left join s on s.load_id = w.load_id and s.k = cols.k) union all {texts}"""
+
+
+def quality_specs_names(t: str) -> list[str]:
+    return [*S_NAMES, *DRP_NAMES, *FHSC_NAMES, *BC_NAMES] if t == "native30_replay" else FHSC_NAMES
+
+
+_ROUNDED = "table_name, load_id, column_name, rows, missing, distinct_values, violations, lowest, highest, case when average is not null then printf('%.6e', average) end as average, top"
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"p1_found": _P1, "p5_profile": f"select {_ROUNDED} from ({_profile_sql('native30_replay')} union all {_profile_sql('sample_reference_features')})"}
