@@ -43,7 +43,7 @@ _ZERO = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿]")
 _TAG = re.compile(r"<[^<>]{1,60}>|&[a-z]{2,6};")
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*·]{1,2}){2,}[^\W\d_](?![^\W\d_])")
 _INNER = re.compile(r"(?<=[^\W_])[.\-_*·'’|/\\]+(?=[^\W_])")
-_MIXED = re.compile(r"\w*[^\W\d_][\d@$!|+€][\w@$!|+€]*|[@$\d][^\W\d_][\w@$!|+€]*")
+_MIXED = re.compile(r"(?:\w*[^\W\d_][\d@$!|+€][\w@$!|+€]*|[@$\d][^\W\d_][\w@$!|+€]*)(?<=\w)")
 _RUN = re.compile(r"(\w)\1{2,}")
 _WORD = re.compile(r"[^\W_]+")
 _BREAK = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -141,6 +141,8 @@ class Trees:
 
     @classmethod
     def fit(cls, x: np.ndarray, y: np.ndarray, rounds: int = 80, depth: int = 3, rate: float = 0.15, bins: int = 32, least: int = 12, ridge: float = 2.0) -> Trees:
+        if not len(y):
+            return cls([np.empty(0)] * x.shape[1], 0.0, rate, [])
         cuts = [np.unique(np.quantile(c, np.linspace(0, 1, bins + 1)[1:-1])) for c in x.T]
         self = cls(cuts, float(np.log((y.sum() + 1) / ((1 - y).sum() + 1))), rate, [])
         b = self._bins(x)
@@ -205,7 +207,7 @@ class Model:
     steps: tuple[np.ndarray, np.ndarray]
 
     def probability(self, x: np.ndarray) -> np.ndarray:
-        return np.interp(self.trees.raw(x), *self.steps)
+        return np.interp(self.trees.raw(x), *self.steps) if len(self.steps[0]) else np.full(len(x), 0.0)
 
 
 def _weights(pos: dict[str, int], neg: dict[str, int], rate: float, least: int = 3, prior: float = 4.0) -> dict[str, float]:

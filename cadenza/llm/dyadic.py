@@ -29,9 +29,10 @@ def encode(values: np.ndarray) -> np.ndarray:
 
 
 def decode(codes: np.ndarray) -> np.ndarray:
-    """The middle of a code's cell; at most 2**-13 of a normal value's size from any value in it."""
+    """The middle of a code's cell, at most 2**-12 of a normal value's size from any value in it; 0 for values too small to be normal."""
     b = (codes.astype(np.uint64) << np.uint64(64 - BITS)) + np.uint64(1 << (63 - BITS))
-    return np.where(b >> np.uint64(63), b & np.uint64((1 << 63) - 1), ~b).view(np.float64)
+    v = np.where(b >> np.uint64(63), b & np.uint64((1 << 63) - 1), ~b).view(np.float64)
+    return np.where(np.abs(v) < np.finfo(float).tiny, 0.0, v)
 
 
 def _hash(level: int, row: int, prefix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -321,7 +322,7 @@ def percentiles(sketches: DataFrame, names: Sequence[str], ps: Sequence[float],
                     continue
                 err = k.rank_error()
                 for p, q in zip(ps, k.quantiles(ps)):
-                    for col, v in zip(out, (*key, names[c], n, p, float(q), err, abs(float(q)) * 2.0**-12)):
+                    for col, v in zip(out, (*key, names[c], n, p, float(q), err, abs(float(q)) * 2.0**-12 + np.finfo(float).tiny)):
                         col.append(v)
             kinds = [*[b.column(k).type for k in keys], pa.string(), pa.int64(), *[pa.float64()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds)], names=[*keys, "feature", "n", "p", "estimate", "rank_error", "value_error"])
