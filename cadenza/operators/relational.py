@@ -98,6 +98,49 @@ def match_events(reference: DataFrame, predicted: DataFrame, key: str, at: str,
     return both.where("t is not null").groupBy("key").applyInPandas(run, f"key {kind}, t_reference double, t_predicted double").withColumnRenamed("key", key)
 
 
+def window_hashes(text: str, width: int) -> np.ndarray:
+    """Hashes of all windows of ``width`` characters: sums of code times B**k (mod 2**64, B odd), shifted to a common exponent."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
+    if len(c) < width:
+        return np.empty(0, np.int64)
+    b, inverse = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
+    one = np.ones(1, np.uint64)
+    up = np.concatenate([one, np.cumprod(np.full(len(c) - 1, b, np.uint64))])
+    down = np.concatenate([one, np.cumprod(np.full(len(c) - width, inverse, np.uint64))])
+    total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c * up)])
+    return ((total[width:] - total[:-width]) * down).view(np.int64)
+
+
+def containing(texts: DataFrame, queries: DataFrame, key: str, text: str, width: int = 32) -> DataFrame:
+    """(key, item, exact): texts that contain a query's text (columns ``item`` and ``query``) of ``width`` characters or more, or equal it.
+
+    Hashes of every window of a text meet the hashes of the queries' first windows in an equi join; the texts
+    themselves are joined only for those pairs, and containment is checked on them. Shorter and null texts match nothing.
+    """
+    kind = dict(texts.dtypes)[key]
+
+    def rows(held: list) -> pd.DataFrame:
+        return pd.DataFrame({"k": np.repeat(np.array([k for k, _ in held], object), [len(h) for _, h in held]), "h": np.concatenate([h for _, h in held]) if held else np.empty(0, np.int64)})
+
+    def run(batches):
+        for pdf in batches:
+            held, size = [], 0
+            for k, t in zip(pdf["k"], pdf["t"]):
+                held.append((k, np.unique(window_hashes(t, width))))
+                size += len(held[-1][1])
+                if size > 500_000:
+                    yield rows(held)
+                    held, size = [], 0
+            yield rows(held)
+
+    t = texts.where(F.length(text) >= width).select(F.col(key).alias("k"), F.col(text).alias("t"))
+    q = queries.where(F.length("query") >= width)
+    head = q.select(F.col("item").alias("k"), F.substring("query", 1, width).alias("t")).mapInPandas(run, f"k {dict(queries.dtypes)['item']}, h bigint").withColumnRenamed("k", "item")
+    near = t.mapInPandas(run, f"k {kind}, h bigint").join(head, "h").select("k", "item").distinct()
+    x = near.join(t, "k").join(q, "item").where(F.col("t").contains(F.col("query")))
+    return x.select(F.col("k").alias(key), "item", (F.col("t") == F.col("query")).alias("exact"))
+
+
 def best_assignment(edges: pd.DataFrame) -> list[tuple]:
     """A matching of most pairs of a bipartite graph (columns a, b) by augmenting paths, trying vertices in order."""
     near: dict = {}
