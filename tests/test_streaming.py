@@ -3,10 +3,9 @@ from pyspark.sql import functions as F
 from cadenza.streaming import jobs
 
 
-def drain(df, name, mode="append"):
-    q = df.writeStream.format("memory").queryName(name).outputMode(mode).start()
-    q.processAllAvailable()
-    q.stop()
+def drain(df, name, mode="append", **trigger):
+    q = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(**(trigger or {"availableNow": True})).start()
+    assert q.awaitTermination(60)
     return df.sparkSession.table(name).collect()
 
 
@@ -14,7 +13,7 @@ def test_jobs_stream_equals_batch(spark, tmp_path):
     rows = [(u, i, float(i * 40), 1.0 + i % 3) for u in (1, 2) for i in range(20)]
     df = spark.createDataFrame(rows, "user_id bigint, id bigint, at double, seconds double")
     df.coalesce(1).write.parquet(p := str(tmp_path / "in"))
-    got = drain(jobs.stream_jobs(spark.readStream.schema(df.schema).parquet(p), 2, 3600.0), "jobs")
+    got = drain(jobs.stream_jobs(spark.readStream.schema(df.schema).parquet(p), 2, 3600.0), "jobs", once=True)  # a query with timeouts never runs out of batches
     want = jobs.replay_jobs(df, 2, 3600.0).collect()
     assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and {r["outcome"] for r in want} == {"admitted", "rejected"}
 
