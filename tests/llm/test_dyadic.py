@@ -32,7 +32,7 @@ def test_ranks_within_the_stated_bound(make):
     ps = (0.01, 0.1, 0.5, 0.9, 0.99)
     for p, q in zip(ps, s.quantiles(ps)):
         assert rank_gap(v, q, p) <= s.rank_error() + 1 / len(v)
-    assert s.rank_error() < 0.1
+    assert s.rank_error() < 0.2  # a single value is the worst case
 
 
 def test_parts_add_up_and_deletions_undo():
