@@ -17,6 +17,8 @@ from cadenza.session import cut
 HEAVY = 0.02
 #: Values are clipped to this many interquartile ranges from the usual median before they enter a mean or the classifier.
 CLIP = 4.0
+#: Measures of how many different values a load has; the classifier sees single rows and is blind to them.
+EXACT = ("distinct", "repeats", "top")
 
 
 @dataclass(frozen=True)
@@ -296,7 +298,8 @@ def departures(stats: DataFrame, sigmas: float = 8.0) -> DataFrame:
 
     Usual is the median over the loads; a departure is counted in the larger of its spread over loads (1.4826 median absolute
     deviations) and of its sampling error, and must pass a least size: 0.1 in shares, 0.3 interquartile ranges in level, a factor
-    of 1.5 in spread, a third in the share of distinct values. A column has to be in three loads at least.
+    of 1.5 in spread, a third in the share of distinct values or a factor of 3 in both their number and their share ('repeats', for
+    columns that usually repeat; a load that is only larger or smaller moves the two apart). A column has to be in three loads at least.
     """
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -325,6 +328,15 @@ def departures(stats: DataFrame, sigmas: float = 8.0) -> DataFrame:
                 s = np.abs(v - mid) / np.maximum(err, 1e-9)
                 for i in np.flatnonzero(ok & (s > sigmas) & (np.abs(v - mid) > least)):
                     out.append((pdf["load_id"].iloc[i], pdf["column_name"].iloc[i], name, float(v[i]), float(mid), float(s[i])))
+            count = pdf["distinct_values"].to_numpy(float)
+            ok = count > 0
+            if ok.sum() >= 3:
+                logs = [np.log(np.where(ok, v, np.nan)) for v in (count, distinct)]
+                far = [v - np.median(v[ok]) for v in logs]
+                err = [np.maximum(1.4826 * np.median(np.abs(g[ok])), 1 / np.sqrt(np.median(count[ok]))) for g in far]
+                s = np.maximum(*[np.abs(g) / e for g, e in zip(far, err)])  # one of the two is steady where loads differ in size
+                for i in np.flatnonzero(ok & (s > sigmas) & (far[0] * far[1] > 0) & (np.minimum(*np.abs(far)) > np.log(3))):
+                    out.append((pdf["load_id"].iloc[i], pdf["column_name"].iloc[i], "repeats", float(distinct[i]), float(np.exp(np.median(logs[1][ok]))), float(s[i])))
         return pd.DataFrame(out, columns=["load_id", "column_name", "measure", "value", "usual", "sigmas"])
 
     kind = dict(stats.dtypes)["load_id"]
@@ -335,10 +347,12 @@ def changed_columns(df: DataFrame, spec: Spec, shift: float = 6.0, alone: float
     """(load_id, column_name, auc, auc_without, auc_alone, shift, measures): columns that in one load depart plainly.
 
     Candidates are the columns by which the two-sample classifier tells the load's rows from the others' (``shift`` standard
-    errors and a discrimination of ``alone`` of the column's own block); the exact aggregates then have to depart, too.
+    errors and a discrimination of ``alone`` of the column's own block); the exact aggregates then have to depart, too. How often
+    values repeat is no feature of a single row, so departures of EXACT measures need no candidate.
     """
     scale = scales(df, spec)
     stats = cut(profile(df, spec, scale))
-    found = two_sample(df, spec, stats, scale).where((F.col("shift") > shift) & (F.col("auc_alone") > alone))
+    told = two_sample(df, spec, stats, scale)
     why = departures(stats).groupBy("load_id", "column_name").agg(F.sort_array(F.collect_set("measure")).alias("measures"))
-    return found.join(why, ["load_id", "column_name"])
+    x = told.join(why, ["load_id", "column_name"], "right")
+    return x.where(((F.col("shift") > shift) & (F.col("auc_alone") > alone)) | F.arrays_overlap("measures", F.array(*map(F.lit, EXACT)))).select(*told.columns, "measures")

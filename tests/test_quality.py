@@ -70,3 +70,18 @@ def test_logistic_separates():
     y = x[:, 1] > 0
     w = q.logistic(x, y)
     assert abs(w[1]) > 5 * max(abs(w[0]), abs(w[2]))
+
+
+def test_changed_columns_finds_repetition(spark):
+    """Well-formed texts that collapse, a measurement rounded to many levels, a column that usually repeats and repeats far more."""
+    rng = random.Random(5)
+    out = []
+    for load, n in enumerate((1200, 1500, 1000, 1300, 1200, 400)):
+        few = [f"ai_x_{i:016x}" for i in range(40)]
+        for i in range(n):
+            m = {"a": rng.gauss(10, 2), "b": float(rng.randrange(10_000)), "c": rng.gauss(10, 2), "d": float(rng.randrange(200 if load != 4 else 25))}
+            m["d"] = m["d"] * 8 if load == 4 else m["d"]
+            m["a"] = round(m["a"] * 20) / 20 if load == 1 else m["a"]
+            out.append((load, few[i % 40] if load == 2 else f"ai_x_{rng.getrandbits(64):016x}", f"{rng.getrandbits(256):064x}" if load == 3 else f"{i % 9:064x}", m, "clash"))
+    got = {(r["load_id"], r["column_name"]) for r in q.changed_columns(spark.createDataFrame(out, SCHEMA), SPEC).collect()}
+    assert got == {(1, "a"), (2, "id"), (3, "sha256"), (4, "d")}
