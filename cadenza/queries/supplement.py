@@ -18,7 +18,7 @@ from cadenza.queries._cohort import C, cohort
 from cadenza.queries.aggregates import FOLD, with_fold
 from cadenza.queries.signals import recordings
 from cadenza.registry import Registry
-from cadenza.session import table
+from cadenza.session import cut, table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -161,6 +161,20 @@ def sup_18_group_identity(spark: SparkSession, d: str) -> DataFrame:
     return x.join(small, "root").groupBy("root", "keys").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256).alias("group_id")).select("group_id", "keys")
 
 
+@R()
+def sup_18_group_identity_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Every component of artists and titles: of up to 50 keys the digest of the sorted keys, above it one of sums of the keys' hashes, which no task has to hold."""
+    k_ = table(spark, d, "drive_sources").select("id", F.col("provenance.artist").alias("a"), F.col("provenance.title").alias("t")).distinct()
+    both = graph.components(graph.closure_edges(k_, {"a": "a", "t": "t"}))
+    nodes = k_.select(F.explode(F.array_compact(F.array(F.concat(F.lit("a:"), "a"), F.concat(F.lit("t:"), "t")))).alias("node")).distinct()
+    x = cut(nodes.join(both, "node", "left").withColumn("root", F.coalesce("root", "node")))
+    part = lambda i: F.conv(F.substring(F.sha2("node", 256), 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    sums = x.groupBy("root").agg(F.count(F.lit(1)).alias("keys"), *[F.sum(part(i)).alias(f"h{i}") for i in range(4)])
+    large = sums.where("keys > 50").select(F.sha2(F.concat_ws("|", F.lit("sum"), "keys", *[F.col(f"h{i}").cast("string") for i in range(4)]), 256).alias("group_id"), "keys")
+    small = x.join(sums.where("keys <= 50").select("root", "keys"), "root").groupBy("root", "keys").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256).alias("group_id"))
+    return small.select("group_id", "keys").unionAll(large)
+
+
 @R()
 def sup_19_proportional_targets(spark: SparkSession, d: str) -> DataFrame:
     x = cohort(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("order", rank_key(F.col("user_id").cast("string")))
