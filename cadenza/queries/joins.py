@@ -132,6 +132,15 @@ def jn_14_interval_join(spark: SparkSession, d: str) -> DataFrame:
     return r.interval_join(pt, seg, ["user_id"], "t", "s", "e", 64.0).select("pid", "segment")
 
 
+@R()
+def jn_14_interval_join_whole(spark: SparkSession, d: str) -> DataFrame:
+    """jn_14 with every row as a point and every row of k > 0 as an interval."""
+    c = cohort(spark, d)
+    seg = c.where("k > 0").select("user_id", (F.col("value") * 10).alias("s"), (F.col("value") * 10 + F.col("k")).alias("e"), F.col("id").alias("segment"))
+    pt = c.select("user_id", (F.col("value") * 10 + F.col("id") % 7).alias("t"), F.col("id").alias("pid"))
+    return r.interval_join(pt, seg, ["user_id"], "t", "s", "e", 64.0).select("pid", "segment")
+
+
 @R()
 def jn_15_event_matching(spark: SparkSession, d: str) -> DataFrame:
     c = cohort(spark, d).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 60).alias("t"), "id")
@@ -142,7 +151,7 @@ def jn_15_event_matching(spark: SparkSession, d: str) -> DataFrame:
 def jn_16_overlap_assignment(spark: SparkSession, d: str) -> DataFrame:
     """Events matched one to one, as many as possible, among pairs that overlap and begin within a tolerance."""
     c = cohort(spark, d).select("user_id", "id", F.col("f4").alias("s"), (F.col("f4") + F.col("k") / 20).alias("e"))
-    a, b = c.where("id % 6 = 0"), c.where("id % 6 = 1").select("user_id", F.col("id").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
+    a, b = c.where("id % 2 = 0"), c.where("id % 2 = 1").select("user_id", F.col("id").alias("b"), F.col("s").alias("s2"), F.col("e").alias("e2"))
     near = a.withColumn("w", F.explode(F.sequence(F.floor(F.col("s") / 2) - 1, F.floor(F.col("s") / 2) + 1))).join(b.withColumn("w", F.floor(F.col("s2") / 2)), ["user_id", "w"])
     near = near.where("abs(s - s2) <= 1.0 and s < e2 and s2 < e").select("user_id", F.col("id").alias("a"), "b").distinct()
     return r.quota_matching(near, "user_id")
@@ -151,7 +160,7 @@ def jn_16_overlap_assignment(spark: SparkSession, d: str) -> DataFrame:
 @R()
 def jn_17_quota_matching(spark: SparkSession, d: str) -> DataFrame:
     """Each human row of a group gets at most one generated row of its k within ten, each used once."""
-    c = cohort(spark, d).where("id % 3 = 0").select("user_id", "id", "label", F.floor(F.col("k") / 10).alias("b"))
+    c = cohort(spark, d).select("user_id", "id", "label", F.floor(F.col("k") / 10).alias("b"))
     near = c.where("label = 0").select("user_id", "b", F.col("id").alias("a")).join(c.where("label = 1").select("user_id", "b", F.col("id").alias("b_id")), ["user_id", "b"])
     return r.quota_matching(near.select("user_id", "a", F.col("b_id").alias("b")), "user_id")
 
@@ -175,6 +184,14 @@ def jn_19_nearest_snap(spark: SparkSession, d: str) -> DataFrame:
     return r.nearest(b, m, "user_id", "t", "i")
 
 
+@R()
+def jn_19_nearest_snap_whole(spark: SparkSession, d: str) -> DataFrame:
+    """jn_19 with the points of every row."""
+    c = cohort(spark, d)
+    m = c.select("user_id", (F.col("k") * 1.5).cast("double").alias("t")).distinct().withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("t")) - 1)
+    return r.nearest(c.select("user_id", F.col("value").alias("t")).distinct(), m, "user_id", "t", "i")
+
+
 @R(f"with {C}, p as (select * from c where id % 10 = 0) select a.id as a, b.id as b from p a join p b on a.user_id = b.user_id and a.id < b.id and b.k - a.k >= 20 and b.score - a.score >= 0.1")
 def jn_20_pairs_within_source(spark: SparkSession, d: str) -> DataFrame:
     """Pairs within a recording under gap conditions; pairs are the result, a recording's rows are bounded."""
@@ -183,6 +200,14 @@ def jn_20_pairs_within_source(spark: SparkSession, d: str) -> DataFrame:
     return p.join(b, "user_id").where("id < b and k2 - k >= 20 and s2 - score >= 0.1").select(F.col("id").alias("a"), "b")
 
 
+@R()
+def jn_20_pairs_within_source_whole(spark: SparkSession, d: str) -> DataFrame:
+    """jn_20 with every row on both sides."""
+    p = cohort(spark, d).select("user_id", "id", "k", "score")
+    b = p.select("user_id", F.col("id").alias("b"), F.col("k").alias("k2"), F.col("score").alias("s2"))
+    return p.join(b, "user_id").where("id < b and k2 - k >= 20 and s2 - score >= 0.1").select(F.col("id").alias("a"), "b")
+
+
 @R(f"""with {C}, a as (select user_id, value as s, row_number() over (partition by user_id order by ts, id) as n from c where id % 2 = 0), b as (select user_id, value as s, row_number() over (partition by user_id order by ts, id) as n from c where id % 2 = 1)
   select user_id, count(*) as rows, count(*) filter (abs(a.s - b.s) <= 5) as close, (max(abs(a.s - b.s)) <= 5) as same from a join b using (user_id, n) group by 1""")
 def jn_21_row_zip(spark: SparkSession, d: str) -> DataFrame:

@@ -1,8 +1,12 @@
 """Queries that cover their whole table, against plain Python on small tables."""
 
 import hashlib
+from collections import Counter, defaultdict
+from datetime import datetime, timedelta
 
-from cadenza.queries import supplement
+import pytest
+
+from cadenza.queries import joins, supplement
 
 
 def test_sup_18_reports_large_components(spark, tmp_path):
@@ -17,3 +21,58 @@ def test_sup_18_reports_large_components(spark, tmp_path):
         h = hashlib.sha256(node.encode()).hexdigest()
         sums = [s + int(h[16 * i : 16 * i + 16], 16) for i, s in enumerate(sums)]
     assert got[hashlib.sha256("|".join(["sum", "61", *map(str, sums)]).encode()).hexdigest()] == 61
+
+
+@pytest.fixture(scope="module")
+def events(spark, tmp_path_factory):
+    d = tmp_path_factory.mktemp("events")
+    kinds = ("click", "view", "error", "purchase")
+    rows = [(i, datetime(2024, 1, 1) + timedelta(minutes=i), i % 3, kinds[i * 7 % 4], (i * 37 % 50) / 4, f'{{"k": {i * 13 % 100}}}') for i in range(90)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp, user_id bigint, event_type string, value double, props string").write.parquet(f"{d}/events.parquet")
+    out = [{"id": i, "user": u, "value": v, "k": i * 13 % 100, "label": int(e in ("error", "purchase"))} for i, _, u, e, v, _ in rows]
+    for x in out:
+        x["score"] = (x["id"] * 37 + x["k"] * 101 + x["label"] * 250) % 1000 / 1000
+    return str(d), out
+
+
+def pairs(rows, ok):
+    return {(a["id"], b["id"]) for a in rows for b in rows if a["user"] == b["user"] and ok(a, b)}
+
+
+def most(edges):
+    owner = {}
+
+    def grow(a, seen):
+        for b in edges[a] - seen:
+            seen.add(b)
+            if b not in owner or grow(owner[b], seen):
+                owner[b] = a
+                return True
+        return False
+
+    return sum(grow(a, set()) for a in edges)
+
+
+def test_joins_use_all_rows(spark, events):
+    d, rows = events
+    got = lambda q: [tuple(r) for r in q(spark, d).collect()]
+    inside = lambda p, s: s["k"] > 0 and s["value"] * 10 <= p["value"] * 10 + p["id"] % 7 < s["value"] * 10 + s["k"]
+    assert Counter(got(joins.jn_14_interval_join_whole)) == Counter(pairs(rows, inside))
+    gap = lambda a, b: a["id"] < b["id"] and b["k"] - a["k"] >= 20 and b["score"] - a["score"] >= 0.1
+    assert Counter(got(joins.jn_20_pairs_within_source_whole)) == Counter(pairs(rows, gap))
+    grid = {u: sorted({r["k"] * 1.5 for r in rows if r["user"] == u}) for u in range(3)}
+    want = {(u, t, min(range(len(grid[u])), key=lambda i: (abs(grid[u][i] - t), i))) for u, t in {(r["user"], r["value"]) for r in rows}}
+    assert Counter(got(joins.jn_19_nearest_snap_whole)) == Counter(want)
+
+
+def test_matchings_use_all_rows(spark, events):
+    d, rows = events
+    start, end = lambda r: r["id"] % 97 / 10, lambda r: r["id"] % 97 / 10 + r["k"] / 20
+    overlap = lambda a, b: a["id"] % 2 == 0 and b["id"] % 2 == 1 and abs(start(a) - start(b)) <= 1.0 and start(a) < end(b) and start(b) < end(a)
+    alike = lambda a, b: a["label"] == 0 and b["label"] == 1 and a["k"] // 10 == b["k"] // 10
+    for query, ok in ((joins.jn_16_overlap_assignment, overlap), (joins.jn_17_quota_matching, alike)):
+        allowed, edges = pairs(rows, ok), defaultdict(set)
+        for a, b in allowed:
+            edges[a].add(b)
+        got = [(r["a"], r["b"]) for r in query(spark, d).collect()]
+        assert set(got) <= allowed and len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == most(edges)
