@@ -25,7 +25,7 @@ def recordings(spark: SparkSession, d: str) -> DataFrame:
     """(label, x, y): each label's vectors joined; y is the signal delayed by one vector. A recording's length is bounded by its source."""
     e = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     x = F.flatten(F.transform("v", lambda e: F.transform(e["embedding"], lambda z: z.cast("double"))))
-    return e.select("label", x.alias("x")).withColumn("y", F.concat(F.slice("x", 65, 1_000_000), F.slice("x", 1, 64)))
+    return e.select("label", x.alias("x")).withColumn("y", F.concat(F.slice("x", F.lit(65), F.size("x")), F.slice("x", 1, 64)))
 
 
 def measured(spark: SparkSession, d: str, kernel, inputs=("x",)) -> DataFrame:

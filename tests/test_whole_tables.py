@@ -6,7 +6,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
-from cadenza.queries import joins, supplement
+from cadenza.queries import joins, signals, supplement
 
 
 def test_sup_18_reports_large_components(spark, tmp_path):
@@ -76,3 +76,10 @@ def test_matchings_use_all_rows(spark, events):
             edges[a].add(b)
         got = [(r["a"], r["b"]) for r in query(spark, d).collect()]
         assert set(got) <= allowed and len({a for a, _ in got}) == len({b for _, b in got}) == len(got) == most(edges)
+
+
+def test_delayed_channel_is_as_long_as_the_signal(spark, tmp_path):
+    e = spark.range(15_700).selectExpr("id as vec_id", "0 as label", "transform(sequence(0, 63), i -> cast(id * 64 + i as float)) as embedding")
+    e.write.parquet(f"{tmp_path}/embeddings.parquet")
+    x = signals.recordings(spark, str(tmp_path)).selectExpr("size(x) as n", "size(y) as m", "y[0] as first", "element_at(y, size(y) - 64) as last").first()
+    assert tuple(x) == (15_700 * 64, 15_700 * 64, 64.0, 15_700 * 64 - 1.0)
