@@ -12,7 +12,7 @@ from cadenza.plans import schedule
 from cadenza.queries._cohort import C, cohort
 from cadenza.queries.aggregates import FOLD, with_fold
 from cadenza.registry import Registry
-from cadenza.session import cut, table
+from cadenza.session import cut, table, with_running_total
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -23,12 +23,17 @@ ROOTS = """n as (select id, 'group:' || group_id as node from c union select id,
 
 
 @R(f"with {C} select id, 'events' as origin, score, f2 as extra from c where k < 5 union all select vec_id, 'embeddings', null, label::double from embeddings where vec_id < 100")
-def set_01_union_by_name(spark: SparkSession, d: str) -> DataFrame:
-    a = cohort(spark, d).where("k < 5").select("id", F.lit("events").alias("origin"), "score", F.col("f2").alias("extra"))
-    b = table(spark, d, "embeddings").where("vec_id < 100").select(F.col("vec_id").alias("id"), F.lit("embeddings").alias("origin"), F.col("label").cast("double").alias("extra"))
+def set_01_union_by_name(spark: SparkSession, d: str, rows: str = "k < 5", vectors: str = "vec_id < 100") -> DataFrame:
+    a = cohort(spark, d).where(rows).select("id", F.lit("events").alias("origin"), "score", F.col("f2").alias("extra"))
+    b = table(spark, d, "embeddings").where(vectors).select(F.col("vec_id").alias("id"), F.lit("embeddings").alias("origin"), F.col("label").cast("double").alias("extra"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
+@R()
+def set_01_union_by_name_whole(spark: SparkSession, d: str) -> DataFrame:
+    return set_01_union_by_name(spark, d, "true", "true")
+
+
 @R(f"with {C} select id, 'first' as origin, score from c where k < 30 union all select id, 'second', 1 - score from c where k between 20 and 60 and id not in (select id from c where k < 30)")
 def set_02_union_with_precedence(spark: SparkSession, d: str) -> DataFrame:
     c = cohort(spark, d)
@@ -230,6 +235,14 @@ def fld_09_stratified_folds(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", (F.row_number().over(W.partitionBy("label").orderBy(rank_key(F.col("id").cast("string"), "cv"))) % 5).alias("fold"))
 
 
+@R()
+def fld_09_stratified_folds_whole(spark: SparkSession, d: str) -> DataFrame:
+    """fld_09 over all rows: places come from ranges of the hash, no task holds a label."""
+    x = cohort(spark, d).select("id", "label", rank_key(F.col("id").cast("string"), "cv").alias("h"))
+    y = with_running_total(x, ["label"], F.conv(F.substring("h", 1, 3), 16, 10).cast("int"), [F.col("h"), F.col("id")], F.lit(1), "before")
+    return y.select("id", ((F.col("before") + 1) % 5).cast("int").alias("fold"))
+
+
 @R(f"with {C}, {HELD.format(fold=FOLD, key='source_group').replace('select held as held_source', 'h as (select held as held_source').replace(' from y', ' from y)').replace('from g group by 1, 2, 3)', 'from g group by 1, 2, 3),', 1)} select status, count(*) as cells, sum(test_rows)::bigint as test_rows, sum(train_rows)::bigint as train_rows from h group by 1")
 def fld_10_cell_accounting(spark: SparkSession, d: str) -> DataFrame:
     """Intended, eligible and omitted cells with their rows, per reason."""

@@ -261,12 +261,17 @@ IV = "iv as (select user_id, source_group, value * 20 as s, value * 20 + k + 1 a
 
 
 @R(f"with {C}, {IV}, x as (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) m from iv), g as (select *, sum(case when s < m then 0 else 1 end) over (partition by user_id order by s, e rows unbounded preceding) g from x), z as (select user_id, g, min(s) s, max(e) e, count(*) n from g group by 1, 2) select user_id, count(*) as merged, sum(n)::bigint as events, round(sum(e - s), 6) as covered from z group by 1")
-def sup_31_merged_events(spark: SparkSession, d: str) -> DataFrame:
-    iv = cohort(spark, d).where("id % 3 = 0").select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
+def sup_31_merged_events(spark: SparkSession, d: str, rows: str = "id % 3 = 0") -> DataFrame:
+    iv = cohort(spark, d).where(rows).select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
     z = q.merge_intervals(iv, ["user_id"], "s", "e")
     return z.groupBy("user_id").agg(F.count(F.lit(1)).alias("merged"), F.sum("parts").alias("events"), six(F.sum(F.col("end") - F.col("start")), "covered"))
 
 
+@R()
+def sup_31_merged_events_whole(spark: SparkSession, d: str) -> DataFrame:
+    return sup_31_merged_events(spark, d, "true")
+
+
 @R("select id, f as name, f is not null as ok from (select id, unnest(verification.mismatched_feature_names) as f from drive_sources where verification is not null)")
 def sup_32_nested_flattening(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "drive_sources").where("verification is not null").select("id", F.explode("verification.mismatched_feature_names").alias("name"))

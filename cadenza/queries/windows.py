@@ -73,11 +73,16 @@ IV = "iv as (select user_id, value * 20 as s, value * 20 + k + 1 as e from c whe
 
 
 @R(f"with {C}, {IV}, x as (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) m from iv), g as (select *, sum(case when s < m then 0 else 1 end) over (partition by user_id order by s, e rows unbounded preceding) g from x) select user_id, round(min(s), 6) as start, round(max(e), 6) as end, count(*) as parts from g group by user_id, g")
-def win_08_interval_merge(spark: SparkSession, d: str) -> DataFrame:
-    iv = cohort(spark, d).where("id % 3 = 0").select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
+def win_08_interval_merge(spark: SparkSession, d: str, rows: str = "id % 3 = 0") -> DataFrame:
+    iv = cohort(spark, d).where(rows).select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
     return s.merge_intervals(iv, ["user_id"], "s", "e").select("user_id", six("start", "start"), six("end", "end"), "parts")
 
 
+@R()
+def win_08_interval_merge_whole(spark: SparkSession, d: str) -> DataFrame:
+    return win_08_interval_merge(spark, d, "true")
+
+
 @R()
 def win_09_chord_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Onsets per recording within 0.5 of the first of a cluster are one chord."""
@@ -243,6 +248,18 @@ def top_04_canonical_sort(spark: SparkSession, d: str) -> DataFrame:
     return y.select("id", (F.col("before") + 1).alias("place"))
 
 
+@R()
+def top_04_canonical_sort_whole(spark: SparkSession, d: str) -> DataFrame:
+    """top_04 over all rows: each source's rows are cut into ranges of the id."""
+    from cadenza.session import with_running_total
+
+    place = F.array_position(F.array(*[F.lit(x) for x in ("purchase", "error", "view", "click")]), F.col("source_group"))
+    x = cohort(spark, d).select("id", F.coalesce(place, F.lit(0)).alias("o"))
+    step = ((x.agg(F.max("id")).first()[0] or 0) >> 10) + 1
+    y = with_running_total(x, [], (F.col("o") * 1024 + F.floor(F.col("id") / step)).cast("int"), [F.lpad(F.col("id").cast("string"), 10, "0")], F.lit(1), "before")
+    return y.select("id", (F.col("before") + 1).alias("place"))
+
+
 @R("with e as (select vec_id, unnest(range(64)) as i, unnest(list_transform(embedding, lambda x: round(x::double * x::double, 9))) as p from embeddings), r as (select *, row_number() over (partition by vec_id order by p desc, i) o from e) select vec_id, string_agg(i::varchar, ',' order by o) as strongest from r where o <= 16 group by 1")
 def top_05_strongest_bins(spark: SparkSession, d: str) -> DataFrame:
     from cadenza.session import table
@@ -258,12 +275,17 @@ def top_06_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R(f"with {C} select id, score >= 0.9 as passed from c where k = 7 order by score >= 0.9 desc, case when score >= 0.9 then {H.format('id::varchar')} end, score desc, id limit 40")
-def top_07_threshold_then_backfill(spark: SparkSession, d: str) -> DataFrame:
+def top_07_threshold_then_backfill(spark: SparkSession, d: str, rows: str = "k = 7") -> DataFrame:
     ok = F.col("score") >= 0.9
-    c = cohort(spark, d).where("k = 7")
+    c = cohort(spark, d).where(rows)
     return c.orderBy(F.desc(ok), F.when(ok, rank_key(F.col("id").cast("string"))), F.desc("score"), "id").limit(40).select("id", ok.alias("passed"))
 
 
+@R()
+def top_07_threshold_then_backfill_whole(spark: SparkSession, d: str) -> DataFrame:
+    return top_07_threshold_then_backfill(spark, d, "true")
+
+
 @R(f"""with {C}, {WEIGHTS}, s as (select score, sum(case when label = 1 then weight else 0 end) p, sum(case when label = 0 then weight else 0 end) n from w group by 1), t as (select score, sum(p) over (order by score desc) / sum(p) over () as tpr, 1 - sum(n) over (order by score desc) / sum(n) over () as tnr from s)
   select score as threshold, round((tpr + tnr) / 2, 6) as balanced_accuracy from t order by round((tpr + tnr) / 2, 9) desc, abs(score - 0.5), score limit 1""")
 def top_08_threshold_search(spark: SparkSession, d: str) -> DataFrame:

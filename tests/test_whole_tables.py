@@ -4,7 +4,9 @@ import hashlib
 from collections import Counter, defaultdict
 from datetime import datetime, timedelta
 
+import pandas as pd
 import pytest
+from test_queries import CORE, DATA, SQL, con, normal  # noqa: F401
 
 from cadenza.queries import joins, signals, supplement
 
@@ -83,3 +85,21 @@ def test_delayed_channel_is_as_long_as_the_signal(spark, tmp_path):
     e.write.parquet(f"{tmp_path}/embeddings.parquet")
     x = signals.recordings(spark, str(tmp_path)).selectExpr("size(x) as n", "size(y) as m", "y[0] as first", "element_at(y, size(y) - 64) as last").first()
     assert tuple(x) == (15_700 * 64, 15_700 * 64, 64.0, 15_700 * 64 - 1.0)
+
+
+FILTERS = {
+    "fld_09_stratified_folds": ["where k = 3"], "top_04_canonical_sort": ["where k = 5"], "top_07_threshold_then_backfill": ["where k = 7"], "win_08_interval_merge": ["where id % 3 = 0"], "sup_31_merged_events": ["where id % 3 = 0"],
+    "sig_13_rhythm_family": ["where id % 2 = 0"], "sig_14_phrase_family": ["where id % 5 = 0"], "sig_15_bar_features": ["where id % 2 = 0"], "sig_16_structure_features": ["where id % 5 = 0"], "set_01_union_by_name": ["where k < 5", "where vec_id < 100"], "src_07_rows_by_id": ["where event_id % 50 = 0"],
+}
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test data")
+@pytest.mark.parametrize("name", FILTERS)
+def test_whole_equals_sql_without_its_filter(spark, con, name):
+    sql = SQL[name]
+    for x in FILTERS[name]:
+        assert sql.count(x) == 1
+        sql = sql.replace(x, "")
+    got, want = CORE[f"{name}_whole"](spark, str(DATA)).toPandas(), con.execute(sql).df()
+    assert len(want)
+    pd.testing.assert_frame_equal(normal(got), normal(want))
