@@ -53,11 +53,10 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     drive = table(spark, d, "drive_sources")
     r = drive.select("id", "member_name", F.col("canonical.input_sha256").alias("input_sha256"), F.col("canonical.waveform_float32_sha256").alias("waveform_sha256")).where("id is not null").distinct()
-    length = drive.groupBy("id").agg(F.max(F.col("canonical.native_frames") / F.col("canonical.native_sample_rate_hz")).alias("seconds"))
-    f = table(spark, d, "sample_reference_features").where("id is not null and features is not null").groupBy("id").agg(F.max_by("features", "measured_at").alias("m"))
-    measured = length.join(f, "id").select("id", "seconds", "m")
+    length = drive.where("id is not null").groupBy("id").agg(F.max(F.try_divide("canonical.native_frames", "canonical.native_sample_rate_hz")).alias("seconds"))
+    found = overlap.measurements([(table(spark, d, "sample_reference_features"), "id", "features", "measured_at"), (table(spark, d, "native30_replay"), "id", "features", "scored_at")], MEASURED)
     s = drive.select("id", F.lower(F.trim("split")).alias("split"), "source_group").where("id is not null").distinct()
-    return overlap.overlap_classes(r, table(spark, d, "generated_cleanup"), measured, MEASURED), s
+    return overlap.overlap_classes(r, table(spark, d, "generated_cleanup"), cut(length.join(found, "id")), len(MEASURED)), s
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -65,6 +64,12 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
     return overlap.cross_split_pairs(classes, s.select("id", "split")).select("id_a", "id_b")
 
 
+def p3_classes(spark: SparkSession, d: str) -> DataFrame:
+    """A row per recording that is in train and elsewhere: its class and how many records it meets on the other side."""
+    classes, s = _classes(spark, d)
+    return overlap.cross_split_classes(classes, s.select("id", "split"))
+
+
 def p3_report(spark: SparkSession, d: str) -> DataFrame:
     """Records of validation and test that are in train too, per split and source."""
     classes, s = _classes(spark, d)

@@ -13,15 +13,16 @@ _P3 = f"""with recursive r as (select distinct id, member_name, {_D.format('cano
   inv as (select distinct {_PATH.format('path')} as path, {_PATH.format('source')} as source, case when coalesce(bytes, 1) > 0 then {_D.format('sha256')} end as sha, byte_identical_copy as same from generated_cleanup),
   node as (select p.path, coalesce('r:' || m.id, 'f:' || p.path) as node from (select path from inv where path <> '' union select source from inv where source <> '') p left join (select member_name, min(id) as id from r group by 1) m on m.member_name = string_split(p.path, '/')[-1]),
   bear as (select 'r:' || id as node, 'd:' || i as t from r where i is not null union select 'r:' || id, 'w:' || w from r where w is not null union select node, 'd:' || sha from inv join node using (path) where sha is not null),
-  f as (select id, arg_max(features, measured_at) as m from sample_reference_features where id is not null and features is not null group by 1), l as (select id, max(canonical.native_frames::double / canonical.native_sample_rate_hz) as sec from drive_sources group by 1),
-  x as (select id, unnest(map_keys(m)) as k, unnest(map_values(m)) as v from f), q as (select k, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) as iqr from x where isfinite(v) group by 1),
-  z as (select x.id, any_value(l.sec) as sec, map_from_entries(list((k, v / iqr))) as m from x join q using (k) join l on l.id = x.id where isfinite(v) and k in ({', '.join(repr(n) for n in FHSC_NAMES)}) group by x.id),
+  l as (select id, max(canonical.native_frames::double / canonical.native_sample_rate_hz) as sec from drive_sources where id is not null group by 1),
+  x0 as (select id, 1 as trust, coalesce(epoch_us(measured_at), 0) as t, unnest(map_keys(features)) as k, unnest(map_values(features)) as v from sample_reference_features where id is not null union all select id, 0, coalesce(epoch_us(scored_at), 0), unnest(map_keys(features)), unnest(map_values(features)) from native30_replay where id is not null),
+  x as (select id, k, arg_max(v, (trust, t, v)) as v from x0 semi join l using (id) where isfinite(v) and v <> -999 and k in ({', '.join(repr(n) for n in FHSC_NAMES)}) group by 1, 2), q as (select k, quantile_cont(v, 0.75) - quantile_cont(v, 0.25) as iqr from x group by 1),
+  z as (select x.id, any_value(l.sec) as sec, map_from_entries(list((k, v / iqr))) as m from x join q using (k) join l on l.id = x.id group by x.id),
   p as (select a.id as a, b.id as b, list_sort(list_filter(list_transform(map_keys(a.m), lambda n: abs(a.m[n] - b.m[n])), lambda e: e is not null)) as d from z a join z b on a.id < b.id and coalesce(abs(a.sec - b.sec) < 0.5, true)),
   near as (select a, b from p where len(d) >= 8 and d[(len(d) + 1) // 2] <= 0.02 and len(list_filter(d, lambda e: e <= 0.05)) >= 0.6 * len(d)),
   e0 as (select x.node as u, y.least as v from bear x join (select t, min(node) as least from bear group by 1) y using (t) union select n.node, s.node from inv join node n using (path) join node s on s.path = inv.source where same union select 'r:' || a, 'r:' || b from near),
   e as (select u, v from e0 union select v, u from e0), reach(u, v) as (select u, v from e union select reach.u, e.v from reach join e on e.u = reach.v),
-  c as (select substr(u, 3) as id, min(v) as root from reach where u like 'r:%' group by u), s as (select distinct id, lower(trim(split)) as split from drive_sources)
-  select distinct least(x.id, y.id) as id_a, greatest(x.id, y.id) as id_b from c x join c y on x.root = y.root and x.id <> y.id join s sx on sx.id = x.id and sx.split = 'train' join s sy on sy.id = y.id and sy.split in ('validation', 'test')"""
+  c as (select substr(u, 3) as id, min(v) as root from reach where u like 'r:%' group by u), s as (select distinct id, lower(trim(split)) as split from drive_sources),
+  m as (select distinct x.id, y.id as other, sx.split from c x join c y on x.root = y.root and x.id <> y.id join s sx on sx.id = x.id join s sy on sy.id = y.id where sx.split in ('train', 'validation', 'test') and sy.split in ('train', 'validation', 'test') and (sx.split = 'train') <> (sy.split = 'train'))"""
 
 SQL = {
     "p6_found": f"select distinct doc_id from ({_SIZES}) where tokens > 1024",
@@ -44,5 +45,8 @@ SQL = {
           left join (select id, min(source_group) as source_group from drive_sources where id is not null group by 1) d on d.id = r.id),
         y as (select *, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(upper(regexp_replace(combination, '\s+', '', 'g')), '[^A-Z]+'), lambda e: e <> ''))), '+') as combo from x where v is not null and isfinite(v))
         select 'combination' as grouping, nullif(combo, '') as group_value, k as feature, count(*) as n from y group by 2, 3 union all select 'source_group', source_group, k, count(*) from y group by 2, 3""",
-    "p3_found": _P3,
+    "p3_found": f"{_P3} select distinct least(id, other) as id_a, greatest(id, other) as id_b from m",
+    "p3_classes": f"{_P3}, r0 as (select root, min(id) as class_id from c group by 1) select m.id, class_id, split, count(distinct other) as links from m join c using (id) join r0 using (root) group by 1, 2, 3",
+    "p3_report": f"""{_P3}, n as (select distinct id, lower(trim(split)) as split, source_group from drive_sources where id is not null)
+        select n.split, n.source_group, count(distinct n.id) as records, count(distinct m.id) as also_in_train from n left join m on m.id = n.id and m.split = n.split where n.split in ('validation', 'test') group by 1, 2""",
 }

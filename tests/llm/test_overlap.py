@@ -1,16 +1,19 @@
+import datetime
 import random
 
+import pytest
 from cadenza.llm import overlap
 
 NAMES = [f"m{i}" for i in range(27)]
 REC = "id string, member_name string, input_sha256 string, waveform_sha256 string"
 INV = "path string, source string, bytes bigint, sha256 string, byte_identical_copy boolean"
-MEA = "id string, seconds double, m map<string,double>"
+MEA = "id string, seconds double, v array<double>"
 A, B, C, D = ("a" * 64, "b" * 64, "c" * 64, "d" * 64)
 
 
 def classes(spark, rec, inv=(), mea=(), **kw):
-    c = overlap.overlap_classes(spark.createDataFrame(list(rec), REC), spark.createDataFrame(list(inv), INV), spark.createDataFrame(list(mea), MEA), NAMES, **kw).collect()
+    mea = [(i, s, [m.get(k) for k in NAMES]) for i, s, m in mea]
+    c = overlap.overlap_classes(spark.createDataFrame(list(rec), REC), spark.createDataFrame(list(inv), INV), spark.createDataFrame(mea, MEA), len(NAMES), **kw).collect()
     out = {}
     for r in c:
         out.setdefault(r["class_id"], set()).add(r["id"])
@@ -46,13 +49,69 @@ def test_near_recordings_are_found_and_others_are_not(spark):
     assert got == [[f"u{i:04d}", f"v{i:04d}"] for i in range(40)]
 
 
-def test_a_group_of_a_third_of_all_rows_stays_connected_by_leaders(spark):
+def test_a_group_of_a_third_of_all_rows_stays_connected(spark):
     base = measured(300)
     hot = [near(base[0], f"h{i:04d}", i, broken=i % 5, shift=0.3 * random.Random(i).random() - 0.15) for i in range(200)] + [(f"c{i}", base[0][1], dict(base[0][2])) for i in range(20)]
-    got = classes(spark, [(m[0], m[0], None, None) for m in base + hot], mea=base + hot, most=60, small=16)
+    got = classes(spark, [(m[0], m[0], None, None) for m in base + hot], mea=base + hot, most=60)
     assert got == [sorted(["u0000", *[h[0] for h in hot]])]
 
 
+def same(a, b, unit):
+    """The rule in plain Python, on exact values."""
+    if a[1] is not None and b[1] is not None and abs(a[1] - b[1]) >= 0.5:
+        return False
+    usable = lambda x: x is not None and x == x and abs(x) < 30
+    d = sorted(abs(a[2][k] - b[2][k]) / unit[k] for k in NAMES if usable(a[2][k]) and usable(b[2][k]))
+    return len(d) >= 8 and d[(len(d) + 1) // 2 - 1] <= 0.02 and sum(x <= 0.05 for x in d) >= 0.6 * len(d)
+
+
+@pytest.mark.parametrize("most", [20_000, 40])
+def test_chains_in_small_and_large_blocks_equal_all_pairs(spark, most):
+    """Takes that drift, so that ends of a chain are not the same and only what lies between ties them; cut blocks give the same classes as whole ones."""
+    r = random.Random(5)
+    base = measured(200, seed=9)
+    rows = list(base)
+    for c in range(3):
+        m, t = dict(base[0][2]), base[0][1]
+        m.update({k: r.gauss(0, 1) for k in NAMES[12 + 5 * c : 17 + 5 * c]})  # takes that share most cells and are not the same
+        for i in range(60):
+            m = {k: v + r.gauss(0, 0.008) for k, v in m.items()}
+            rows.append((f"k{c}{i:03d}", t, dict(m)))
+    quartile = lambda k, q: sorted(x[2][k] for x in rows)[int(q * len(rows))]
+    unit = {k: quartile(k, 0.75) - quartile(k, 0.25) for k in NAMES}
+    root = {x[0]: x[0] for x in rows}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, a in enumerate(rows):
+        for b in rows[:i]:
+            if same(a, b, unit):
+                root[find(a[0])] = find(b[0])
+    want = {}
+    for x in rows:
+        want.setdefault(find(x[0]), []).append(x[0])
+    got = classes(spark, [(x[0], x[0], None, None) for x in rows], mea=rows, most=most)
+    assert got == sorted(sorted(v) for v in want.values() if len(v) > 1)
+
+
+def test_measurements_are_merged_by_trust_then_time(spark):
+    t = "id string, features map<string,double>, at timestamp, v int"
+    day = lambda n: datetime.datetime(2030, 1, n)
+    a = spark.createDataFrame([("x", {"m0": 1.0, "m1": None, "q": 5.0}, day(1), 0), ("x", {"m0": 2.0, "m1": float("nan")}, day(2), 0), (None, {"m0": 9.0}, day(1), 0), ("e", {}, day(1), 0), ("n", None, None, 0)], t)
+    b = spark.createDataFrame([("x", {"m0": 7.0, "m1": 3.0, "m2": -999.0}, day(9), 0), ("y", {"m2": float("inf"), "m0": 4.0}, None, 0)], t)
+    got = {r["id"]: r["v"] for r in overlap.measurements([(a, "id", "features", "at"), (b, "id", "features", "at")], ["m0", "m1", "m2"]).collect()}
+    assert got == {"x": [2.0, 3.0, None], "y": [4.0, None, None]}
+
+
+def test_classes_across_splits_carry_their_links(spark):
+    c = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "a"), ("e", "e"), ("f", "e")], "id string, class_id string")
+    s = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "train"), ("d", None), ("b", "test"), ("e", "test"), ("f", "validation")], "id string, split string")
+    assert sorted(map(tuple, overlap.cross_split_classes(c, s).collect())) == [("a", "a", "train", 1), ("b", "a", "test", 2), ("c", "a", "train", 1)]
+
+
 def test_pairs_only_across_splits(spark):
     c = spark.createDataFrame([("a", "a"), ("b", "a"), ("c", "a"), ("d", "a")], "id string, class_id string")
     s = spark.createDataFrame([("a", "train"), ("b", "test"), ("c", "train"), ("d", None), ("b", "test")], "id string, split string")
