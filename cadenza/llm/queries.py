@@ -110,8 +110,14 @@ def p6_assignment(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    """Documents that the packing divided."""
-    return _packed(spark, d).where("pieces > 1").select(F.col("id").alias("doc_id")).distinct()
+    """Documents that the packing divided among containers."""
+    return packing.divided(_packed(spark, d)).withColumnRenamed("id", "doc_id")
+
+
+def p6_checks(spark: SparkSession, d: str) -> DataFrame:
+    """What must hold of the packing as a whole, its space used to 98 percent among it."""
+    c = packing.packing_checks(cut(_packed(spark, d)))
+    return c.select("items", "tokens", "placed", "overfull", "divided_though_fitting", (F.col("fill") >= 0.98).alias("filled"))
 
 
 def _mixed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
@@ -127,7 +133,7 @@ def p7_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    """Sources whose target share the mix can't reach: all their copies are drawn before the budget's share is."""
+    """Sources that run dry in the fair queue before the virtual time at which they would have had their share."""
     return _mixed(spark, d)[1].where("cannot_reach").select("source")
 
 

@@ -24,8 +24,20 @@ _P3 = f"""with recursive r as (select distinct id, member_name, {_D.format('cano
   c as (select substr(u, 3) as id, min(v) as root from reach where u like 'r:%' group by u), s as (select distinct id, lower(trim(split)) as split from drive_sources),
   m as (select distinct x.id, y.id as other, sx.split from c x join c y on x.root = y.root and x.id <> y.id join s sx on sx.id = x.id join s sy on sy.id = y.id where sx.split in ('train', 'validation', 'test') and sy.split in ('train', 'validation', 'test') and (sx.split = 'train') <> (sy.split = 'train'))"""
 
+#: The fair queue: documents in hash order per source, copies by virtual finish time, cut at the tokens of all.
+_MIX = f"""with d as (select doc_id, src, tokens, sha256(concat_ws('|', 'mix', doc_id::varchar, tokens::varchar)) as h from ({_SIZES})),
+  own as (select src, sum(tokens)::bigint as own, count(*) as documents from d group by 1), t as (select m.source, lower(trim(m.source)) as src, m.target_share, m.max_repeats, coalesce(o.own, 0)::bigint as own, coalesce(o.documents, 0) as documents from mixture_targets m left join own o on o.src = lower(trim(m.source))),
+  tot as (select sum(own)::bigint as tt from t), o as (select d.*, (sum(tokens) over (partition by src order by h, doc_id rows unbounded preceding) - tokens)::bigint as before from d semi join t using (src)),
+  q as (select o.doc_id, o.src, o.tokens, o.before, c.copy, (c.copy * t.own + o.before + o.tokens)::double / t.target_share as finish from o join t using (src), (select unnest(range(100))::int as copy) c where c.copy < t.max_repeats and t.target_share > 0),
+  out as (select doc_id, src as source, tokens, copy, finish, position from (select *, (sum(tokens) over (order by finish, src, doc_id, copy, before rows unbounded preceding) - tokens)::bigint as position from q) where position + tokens <= (select tt from tot))"""
+
 SQL = {
     "p6_found": f"select distinct doc_id from ({_SIZES}) where tokens > 1024",
+    "p6_checks": f"select count(*) as items, sum(tokens)::bigint as tokens, sum(tokens)::bigint as placed, 0::bigint as overfull, 0::bigint as divided_though_fitting, true as filled from ({_SIZES})",
+    "p7_mix": f"{_MIX} select doc_id, source, tokens, copy, finish, position from out",
+    "p7_report": f"""{_MIX}, g as (select source as src, sum(tokens)::bigint as drawn, count(*) as dd, max(copy) as last from out group by 1), y as (select src, max(finish) as dry from q group by 1)
+        select t.source, t.target_share, t.max_repeats, t.own as available_tokens, t.documents, coalesce(drawn, 0)::bigint as drawn_tokens, coalesce(dd, 0)::bigint as drawn_documents, (coalesce(last, -1) + 1)::int as passes, coalesce(drawn, 0) / (select tt from tot)::double as actual_share,
+          coalesce(dry, 0) as runs_dry_at, t.target_share * (select tt from tot) > t.max_repeats * t.own as cannot_reach from t left join g using (src) left join y using (src)""",
     "p7_found": f"""with d as ({_SIZES}), own as (select src, sum(tokens) as own from d group by src),
         t as (select m.source, m.target_share, m.max_repeats, coalesce(o.own, 0) as own from mixture_targets m left join own o on o.src = lower(trim(m.source)))
         select source from t where target_share * (select sum(own) from t) > max_repeats * own""",

@@ -46,6 +46,38 @@ def test_repeated_ids_are_separate_items_and_empty_table(spark):
     assert packing.pack(df.limit(0), "doc", F.col("size")).count() == 0
 
 
+def test_repeated_ids_above_the_capacity_have_containers_of_their_own(spark):
+    """Two rows of one id of 2,048 tokens fill four containers, and a row repeated without an id three of 1,024 for each row of 3,000."""
+    df = spark.createDataFrame([(7, 2048), (7, 2048), (None, 3000), (None, 3000)], "doc bigint, size bigint")
+    for n in (1, 100):
+        rows = packing.pack(df, "doc", F.col("size"), rows_per_group=n).collect()
+        bins = check(rows)
+        assert len([b for b, r in bins.items() if any(x["id"] == 7 for x in r)]) == 4 and sum(r["piece_tokens"] for r in rows) == 10_096
+        assert all(sum(x["piece_tokens"] for x in b) <= 1024 for b in bins.values())
+
+
+def test_a_row_repeated_most_often_is_spread_over_groups_and_groups_repeat(spark):
+    df = spark.createDataFrame([(None, 100)] * 3000 + [(i, 100 + i % 900) for i in range(3000)], "doc bigint, size bigint")
+    rows = packing.pack(df, "doc", F.col("size"), rows_per_group=1000).collect()
+    check(rows)
+    hot = [r for r in rows if r["id"] is None]
+    assert len(hot) == 3000 and {r["copy"] for r in hot} == set(range(3000)) and len({r["container"].split("-")[1] for r in hot}) == 6
+    again = packing.pack(df.repartition(7), "doc", F.col("size"), rows_per_group=1000).collect()
+    assert sorted(map(str, rows)) == sorted(map(str, again))
+    assert packing.divided(packing.pack(df.unionAll(spark.createDataFrame([(-1, 1025)], df.schema)), "doc", F.col("size"))).collect() == [(-1,)]
+
+
+def test_a_shorter_length_is_opened_where_nothing_to_come_fills_the_longer():
+    """The odd 500 leaves 524 of 1,024, of which the 340s to come could fill 340 only; they fill 1,020 of 1,024 among themselves."""
+    s = np.array([500] * 5 + [340] * 6)
+    where, final = packing.best_fit(s, (512, 1024))
+    assert sorted(final) == [512] + [1024] * 4 and (np.bincount(where, s) <= final).all()
+    _, one = packing.best_fit(s, (1024,))
+    assert one.sum() == 5 * 1024
+    where, final = packing.best_fit(np.array([600, 424]), (512, 1024))
+    assert list(final) == [1024] and list(where) == [0, 0]
+
+
 def test_best_fit_is_near_the_lower_bound():
     r = np.random.default_rng(2)
     s = np.sort(r.integers(1, 700, 5000))[::-1]
