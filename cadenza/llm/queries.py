@@ -153,6 +153,12 @@ def p8_rates(spark: SparkSession, d: str) -> DataFrame:
     return s.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum(F.col("flagged").cast("int")).alias("flagged"), F.avg(F.col("flagged").cast("double")).alias("rate"), F.avg("score").alias("mean_score"))
 
 
+def p8_coverage(spark: SparkSession, d: str) -> DataFrame:
+    """Per source: documents, those with a score from 0 to 1, and those flagged by their score and no others."""
+    s = _scored(spark, d).withColumn("source", F.coalesce(mixing.normal_source(F.col("source")), F.lit("(none)")))
+    return s.groupBy("source").agg(F.count_distinct("doc_id").alias("documents"), F.count_if(F.col("score").between(0, 1)).alias("scored"), F.count_if(F.col("flagged") == (F.col("score") >= 0.5)).alias("consistent"))
+
+
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
     return _scored(spark, d).where("flagged").select("doc_id")
 
