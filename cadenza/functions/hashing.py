@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SEED = "20260907"
@@ -28,9 +30,19 @@ def rank_key(value: Column, seed: str = SEED) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(seed), value), 256)
 
 
-def id_set_hash(id_: Column) -> Column:
-    """Aggregate: SHA-256 of the sorted distinct ids, each followed by a line feed. For bounded groups: it holds the group's ids."""
-    return F.sha2(F.concat(F.array_join(F.array_sort(F.collect_set(id_)), "\n"), F.lit("\n")), 256)
+def set_digest(df: DataFrame, by: Sequence[str], id_: str, out: str, count: str) -> DataFrame:
+    """(<by>, count, out): how many different ids each group has, and a digest of the set of them.
+
+    The digest is the SHA-256 of the count and of four sums, of the 64-bit quarters of the ids' SHA-256, so it doesn't depend on order, parts
+    of a group are added up map-side, and no task holds a group's ids. Null ids don't count.
+    """
+    part = lambda i: F.conv(F.substring(F.sha2(F.col(id_), 256), 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
+    x = df.where(F.col(id_).isNotNull()).select(*by, id_).distinct().groupBy(*by).agg(F.count(F.lit(1)).alias(count), *[F.sum(part(i)).alias(f"__h{i}") for i in range(4)])
+    return x.select(*by, count, F.sha2(F.concat_ws("|", F.lit("sum"), F.col(count).cast("string"), *[F.col(f"__h{i}").cast("string") for i in range(4)]), 256).alias(out))
+
+
+#: The same over a group of different ids, for DuckDB.
+SET_DIGEST = "sha256(concat_ws('|', 'sum', count(*)::varchar, " + ", ".join(f"sum(('0x' || substr(sha256({{0}}), {16 * i + 1}, 16))::ubigint::hugeint)::varchar" for i in range(4)) + "))"
 
 
 def stable_seed(*parts: Column) -> Column:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadenza.functions.hashing import hash_fold, rank_key
+from cadenza.functions.hashing import SEED, hash_fold, rank_key
 from cadenza.operators.relational import power_set
+from cadenza.session import cut, hash_bucket, with_running_total
+
+#: The golden ratio's fraction, whose multiples are spread most evenly over the unit interval.
+GOLDEN = 0.6180339887498949
 
 
 def with_buckets(c: DataFrame, folds: int = 5, seed: str = "20260907") -> DataFrame:
@@ -49,57 +52,41 @@ def comparison_lattice(old: Sequence[str], new: Sequence[str]) -> list[tuple[str
     return [(o, n, arm, o if arm == "baseline" else f"{o}+{n}") for o in power_set(old) for n in power_set(new) for arm in ("baseline", "added")]
 
 
-def greedy_partition(closures: pd.DataFrame, shares: Sequence[tuple[str, float]]) -> pd.DataFrame:
-    """Closures to partitions: for the rarest sources first one closure in each, then the largest by least squared imbalance.
+def partition_closures(closures: DataFrame, shares: Sequence[tuple[str, float]] = (("train", 0.6), ("calibration", 0.2), ("test", 0.2)), seed: str = SEED) -> DataFrame:
+    """(root, part): whole closures dealt to parts so that every source is in every part, as far as it has closures, and near its share of each.
 
-    ``closures``: root, source, n (rows); one row per closure and source. Returns root, part. Ties go by seeded hash.
+    ``closures``: root, source, n (rows), one row per closure and source. A closure's stratum is the rarest of its sources (the one with the fewest
+    closures, then by name), so rare sources are dealt by themselves. A stratum's first closures in seeded hash order go to one part each. The
+    others are laid out by size class (powers of two, large ones first) and hash, and their places are spread over the shares by a
+    low-discrepancy sequence (multiples of the golden ratio): each part's number of closures of each class stays within a few of its share, and
+    so does its number of rows. Places are running totals over ranges of class and hash, so no task holds a stratum. A null source is one of its own.
     """
-    import hashlib
-
-    key = lambda r: hashlib.sha256(f"20260907|{r}".encode()).hexdigest()
-    rows = {r: dict(zip(g["source"], g["n"])) for r, g in closures.groupby("root")}
-    count = closures.groupby("source")["root"].nunique().to_dict()
-    total = closures.groupby("source")["n"].sum().to_dict()
-    names = [s for s, _ in shares]
-    goal = {p: {s: (count[s] * w, total[s] * w) for s in count} for p, w in shares}
-    have = {p: {s: [0.0, 0.0] for s in count} for p in names}
-    part: dict = {}
-
-    def cost(r, p) -> float:
-        out = 0.0
-        for s, n in rows[r].items():
-            for k, inc in ((0, 1), (1, n)):
-                t, cur = max(goal[p][s][k], 1e-9), have[p][s][k]
-                out += ((cur + inc - t) ** 2 - (cur - t) ** 2) / t
-        return out
-
-    def put(r, p) -> None:
-        part[r] = p
-        for s, n in rows[r].items():
-            have[p][s][0] += 1
-            have[p][s][1] += n
-
-    for s in sorted(count, key=lambda s: (count[s], s)):
-        for p in names:
-            if have[p][s][0] == 0 and (free := [r for r in rows if s in rows[r] and r not in part]):
-                put(min(free, key=lambda r: (cost(r, p), key(r))), p)
-    for r in sorted((r for r in rows if r not in part), key=lambda r: (-sum(1 / count[s] for s in rows[r]), -sum(rows[r].values()), key(r))):
-        put(r, min(names, key=lambda p: (cost(r, p), names.index(p))))
-    return pd.DataFrame({"root": list(part), "part": list(part.values())})
-
-
-def partition_closures(closures: DataFrame, shares: Sequence[tuple[str, float]] = (("train", 0.6), ("calibration", 0.2), ("test", 0.2))) -> DataFrame:
-    """(root, part) by greedy_partition. A sequential choice over closures (not records), in one group by design of the operator."""
-    return closures.withColumn("one", F.lit(1)).groupBy("one").applyInPandas(lambda p: greedy_partition(p, shares), "root string, part string")
+    c = closures.select("root", F.coalesce("source", F.lit("")).alias("source"), "n").groupBy("root", "source").agg(F.sum("n").alias("n"))
+    rare = c.groupBy("source").agg(F.count(F.lit(1)).alias("m"))
+    x = c.join(rare, "source").groupBy("root").agg(F.min(F.struct("m", "source")).alias("r"), F.sum("n").alias("n"))
+    x = cut(x.select("root", F.col("r.source").alias("stratum"), "n", rank_key(F.col("root"), seed).alias("h")))
+    first = F.conv(F.substring("h", 1, 2), 16, 10).cast("int")
+    size = F.floor(F.log2(F.greatest("n", F.lit(1))) + 1e-9).cast("int")
+    k = len(shares)
+    x = with_running_total(x, ["stratum"], first, [F.col("h"), F.col("root")], F.lit(1), "__drawn")
+    x = with_running_total(x.withColumn("__rest", (F.col("__drawn") >= k).cast("int")), ["stratum", "__rest"], (62 - size) * 256 + first, [F.col("h"), F.col("root")], F.lit(1), "__place")
+    at = (F.col("__place") + 0.5) * GOLDEN
+    at = at - F.floor(at)
+    total, up = sum(w for _, w in shares), 0.0
+    rest = anchor = None
+    for i, (name, w) in enumerate(shares):
+        up += w / total
+        rest = (F if rest is None else rest).when(at < round(up, 12), name)
+        anchor = (F if anchor is None else anchor).when(F.col("__drawn") == i, name)
+    last = shares[-1][0]
+    return x.select("root", F.when(F.col("__rest") == 0, anchor.otherwise(last)).otherwise(rest.otherwise(last)).alias("part"))
 
 
 def shards(df: DataFrame, id_: str, size: int) -> DataFrame:
     """Rows with the shard of their place in hash order: equal shards of ``size`` by running totals over ranges of the hash."""
-    from cadenza.session import hash_bucket, with_running_total
-
     h = F.xxhash64(id_)
     x = with_running_total(df, [], hash_bucket(h, 256), [h, F.col(id_)], F.lit(1), "__at")
     return x.withColumn("shard", F.floor(F.col("__at") / size)).drop("__at")
 
 
-__all__ = ["comparison_lattice", "greedy_partition", "held_source_cells", "partition_closures", "rank_key", "shards", "with_buckets"]
+__all__ = ["comparison_lattice", "held_source_cells", "partition_closures", "rank_key", "shards", "with_buckets"]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.functions.hashing import SET_DIGEST, set_digest
 from cadenza.operators import metrics as m
 from cadenza.operators.metrics import ratio, six
 from cadenza.queries._cohort import C, cohort
@@ -197,12 +198,11 @@ def agg_22_frequency_tables(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R(f"""with {C} select role, count(*) as rows, count(distinct group_id) as groups, count(distinct component_id) as components, count(*) filter (label = 0) as humans, count(*) filter (label = 1) as generated,
-  sha256(string_agg(distinct lpad(id::varchar, 12, '0'), chr(10) order by lpad(id::varchar, 12, '0')) || chr(10)) as id_hash from c group by role""")
+  {SET_DIGEST.format("lpad(id::varchar, 12, '0')")} as id_hash from c group by role""")
 def agg_23_population_digest(spark: SparkSession, d: str) -> DataFrame:
-    from cadenza.functions.hashing import id_set_hash
-
     c = cohort(spark, d).withColumn("pid", F.lpad(F.col("id").cast("string"), 12, "0"))
-    return c.groupBy("role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("group_id").alias("groups"), F.count_distinct("component_id").alias("components"), F.count(F.when(F.col("label") == 0, 1)).alias("humans"), F.count(F.when(F.col("label") == 1, 1)).alias("generated"), id_set_hash(F.col("pid")).alias("id_hash"))
+    n = c.groupBy("role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("group_id").alias("groups"), F.count_distinct("component_id").alias("components"), F.count(F.when(F.col("label") == 0, 1)).alias("humans"), F.count(F.when(F.col("label") == 1, 1)).alias("generated"))
+    return n.join(set_digest(c, ["role"], "pid", "id_hash", "ids").drop("ids"), "role")
 
 
 @R(f"""with {C}, g as (select group_id, count(*) n, count(distinct source_group) s, count(distinct label) l from c group by 1) select count(*) as groups, count(*) filter (n > 1) as shared, count(*) filter (s > 1) as cross_source, count(*) filter (l > 1) as cross_label from g""")

@@ -24,12 +24,13 @@ def jn_01_left_join(spark: SparkSession, d: str) -> DataFrame:
     return a.join(f, "id", "left").groupBy("id").agg(F.max("load_id").alias("load_id"), F.count("load_id").alias("measured"))
 
 
-@R("""with o as (select o_custkey as k, round(sum(o_totalprice), 2) as v, count(*)::double as n from orders where o_orderkey % 2 = 0 group by 1), p as (select o_custkey as k, round(sum(o_totalprice), 2) as v, count(*)::double as n from orders where o_orderkey % 3 = 0 group by 1)
+@R("""with o as (select o_custkey as k, round(sum(o_totalprice), 2) as v, count(*)::double as n from orders where o_orderkey % 2 = 0 group by 1), p as (select o_custkey as k, round(sum(o_totalprice), 2) as v, count(*)::double as n from orders where o_orderkey % 2 = 1 or o_orderkey % 3 = 0 group by 1)
   select k, round(coalesce(o.v, p.v), 2) as v, coalesce(o.n, p.n) as n, (case when abs(o.v - p.v) > 1e-6 + 1e-9 * abs(p.v) then 1 else 0 end + case when abs(o.n - p.n) > 1e-6 + 1e-9 * abs(p.n) then 1 else 0 end)::int as conflicts from o full join p using (k)""")
 def jn_02_coalescing_full_join(spark: SparkSession, d: str) -> DataFrame:
+    """Orders of even keys against those of odd keys or keys divisible by three."""
     o = table(spark, d, "orders")
-    side = lambda m: o.where(F.col("o_orderkey") % m == 0).groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
-    return r.coalescing_join(side(2), side(3), "k", ["v", "n"], atol=1e-6)
+    side = lambda rows: o.where(rows).groupBy(F.col("o_custkey").alias("k")).agg(F.round(F.sum("o_totalprice"), 2).alias("v"), F.count(F.lit(1)).cast("double").alias("n"))
+    return r.coalescing_join(side("o_orderkey % 2 = 0"), side("o_orderkey % 2 = 1 or o_orderkey % 3 = 0"), "k", ["v", "n"], atol=1e-6)
 
 
 @R(f"with {C} select group_id, round(h.m, 6) as human_mean, round(a.m, 6) as ai_mean from (select group_id, avg(score) m from c where label = 0 group by 1) h join (select group_id, avg(score) m from c where label = 1 group by 1) a using (group_id)")
@@ -121,20 +122,12 @@ def jn_13_text_containment(spark: SparkSession, d: str) -> DataFrame:
     return r.containing(t, q, "doc_id", "norm").where("doc_id <> item")
 
 
-SEG = "seg as (select user_id, value * 10 as s, value * 10 + k as e, id from c where k > 0 and id % 5 = 0), pt as (select user_id, (value * 10) + (id % 7) as t, id as pid from c where id % 5 = 1)"
+SEG = "seg as (select user_id, value * 10 as s, value * 10 + k as e, id from c where k > 0), pt as (select user_id, (value * 10) + (id % 7) as t, id as pid from c)"
 
 
 @R(f"with {C}, {SEG} select pid, seg.id as segment from pt join seg on pt.user_id = seg.user_id and t >= s and t < e")
 def jn_14_interval_join(spark: SparkSession, d: str) -> DataFrame:
-    c = cohort(spark, d)
-    seg = c.where("k > 0 and id % 5 = 0").select("user_id", (F.col("value") * 10).alias("s"), (F.col("value") * 10 + F.col("k")).alias("e"), F.col("id").alias("segment"))
-    pt = c.where("id % 5 = 1").select("user_id", (F.col("value") * 10 + F.col("id") % 7).alias("t"), F.col("id").alias("pid"))
-    return r.interval_join(pt, seg, ["user_id"], "t", "s", "e", 64.0).select("pid", "segment")
-
-
-@R()
-def jn_14_interval_join_whole(spark: SparkSession, d: str) -> DataFrame:
-    """jn_14 with every row as a point and every row of k > 0 as an interval."""
+    """Every row as a point, every row of k > 0 as an interval."""
     c = cohort(spark, d)
     seg = c.where("k > 0").select("user_id", (F.col("value") * 10).alias("s"), (F.col("value") * 10 + F.col("k")).alias("e"), F.col("id").alias("segment"))
     pt = c.select("user_id", (F.col("value") * 10 + F.col("id") % 7).alias("t"), F.col("id").alias("pid"))
@@ -175,37 +168,21 @@ def jn_18_asof_interpolation(spark: SparkSession, d: str) -> DataFrame:
     return r.asof_interpolate(g, s, "user_id", "t", "v", "ok").select("user_id", "t", six("v", "v"))
 
 
-@R(f"""with {C}, b as (select distinct user_id, value as t from c where id % 4 = 0), m as (select user_id, t, row_number() over (partition by user_id order by t) - 1 as i from (select distinct user_id, (k * 1.5)::double as t from c)), x as (select b.user_id, b.t, m.i, row_number() over (partition by b.user_id, b.t order by abs(b.t - m.t), m.i) as r from b join m using (user_id))
+@R(f"""with {C}, b as (select distinct user_id, value as t from c), m as (select user_id, t, row_number() over (partition by user_id order by t) - 1 as i from (select distinct user_id, (k * 1.5)::double as t from c)), x as (select b.user_id, b.t, m.i, row_number() over (partition by b.user_id, b.t order by abs(b.t - m.t), m.i) as r from b join m using (user_id))
   select user_id, t, i from x where r = 1""")
 def jn_19_nearest_snap(spark: SparkSession, d: str) -> DataFrame:
     c = cohort(spark, d)
-    b = c.where("id % 4 = 0").select("user_id", F.col("value").alias("t")).distinct()
+    b = c.select("user_id", F.col("value").alias("t")).distinct()
     m = c.select("user_id", (F.col("k") * 1.5).cast("double").alias("t")).distinct().withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("t")) - 1)
     return r.nearest(b, m, "user_id", "t", "i")
 
 
-@R()
-def jn_19_nearest_snap_whole(spark: SparkSession, d: str) -> DataFrame:
-    """jn_19 with the points of every row."""
-    c = cohort(spark, d)
-    m = c.select("user_id", (F.col("k") * 1.5).cast("double").alias("t")).distinct().withColumn("i", F.row_number().over(W.partitionBy("user_id").orderBy("t")) - 1)
-    return r.nearest(c.select("user_id", F.col("value").alias("t")).distinct(), m, "user_id", "t", "i")
-
-
-@R(f"with {C}, p as (select * from c where id % 10 = 0) select a.id as a, b.id as b from p a join p b on a.user_id = b.user_id and a.id < b.id and b.k - a.k >= 20 and b.score - a.score >= 0.1")
+@R(f"with {C} select a.id as id, count(*) as partners, min(b.id) as first_partner from c a join c b on a.user_id = b.user_id and a.id < b.id and b.k - a.k >= 20 and b.score - a.score >= 0.1 group by 1")
 def jn_20_pairs_within_source(spark: SparkSession, d: str) -> DataFrame:
-    """Pairs within a recording under gap conditions; pairs are the result, a recording's rows are bounded."""
-    p = cohort(spark, d).where("id % 10 = 0").select("user_id", "id", "k", "score")
-    b = p.select("user_id", F.col("id").alias("b"), F.col("k").alias("k2"), F.col("score").alias("s2"))
-    return p.join(b, "user_id").where("id < b and k2 - k >= 20 and s2 - score >= 0.1").select(F.col("id").alias("a"), "b")
-
-
-@R()
-def jn_20_pairs_within_source_whole(spark: SparkSession, d: str) -> DataFrame:
-    """jn_20 with every row on both sides."""
+    """Pairs within a recording under gap conditions: a row per record with the number of its later partners and the first; pairs are counted where they are met."""
     p = cohort(spark, d).select("user_id", "id", "k", "score")
     b = p.select("user_id", F.col("id").alias("b"), F.col("k").alias("k2"), F.col("score").alias("s2"))
-    return p.join(b, "user_id").where("id < b and k2 - k >= 20 and s2 - score >= 0.1").select(F.col("id").alias("a"), "b")
+    return p.join(b, "user_id").where("id < b and k2 - k >= 20 and s2 - score >= 0.1").groupBy("id").agg(F.count(F.lit(1)).alias("partners"), F.min("b").alias("first_partner"))
 
 
 @R(f"""with {C}, a as (select user_id, value as s, row_number() over (partition by user_id order by ts, id) as n from c where id % 2 = 0), b as (select user_id, value as s, row_number() over (partition by user_id order by ts, id) as n from c where id % 2 = 1)

@@ -22,23 +22,19 @@ ROOTS = """n as (select id, 'group:' || group_id as node from c union select id,
   reach(u, v) as (select u, v from e union select r.u, e.v from reach r join e on e.u = r.v), roots as (select u as node, min(v) as root from reach group by 1)"""
 
 
-@R(f"with {C} select id, 'events' as origin, score, f2 as extra from c where k < 5 union all select vec_id, 'embeddings', null, label::double from embeddings where vec_id < 100")
-def set_01_union_by_name(spark: SparkSession, d: str, rows: str = "k < 5", vectors: str = "vec_id < 100") -> DataFrame:
-    a = cohort(spark, d).where(rows).select("id", F.lit("events").alias("origin"), "score", F.col("f2").alias("extra"))
-    b = table(spark, d, "embeddings").where(vectors).select(F.col("vec_id").alias("id"), F.lit("embeddings").alias("origin"), F.col("label").cast("double").alias("extra"))
+@R(f"with {C} select id, 'events' as origin, score, f2 as extra from c union all select vec_id, 'embeddings', null, label::double from embeddings")
+def set_01_union_by_name(spark: SparkSession, d: str) -> DataFrame:
+    a = cohort(spark, d).select("id", F.lit("events").alias("origin"), "score", F.col("f2").alias("extra"))
+    b = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("embeddings").alias("origin"), F.col("label").cast("double").alias("extra"))
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@R()
-def set_01_union_by_name_whole(spark: SparkSession, d: str) -> DataFrame:
-    return set_01_union_by_name(spark, d, "true", "true")
-
-
-@R(f"with {C} select id, 'first' as origin, score from c where k < 30 union all select id, 'second', 1 - score from c where k between 20 and 60 and id not in (select id from c where k < 30)")
+@R(f"with {C} select id, 'first' as origin, score from c where k < 30 union all select id, 'second', 1 - score from c where k >= 20 and id not in (select id from c where k < 30)")
 def set_02_union_with_precedence(spark: SparkSession, d: str) -> DataFrame:
+    """Two tables that overlap and together are all rows: the first one's rows, then what only the second has."""
     c = cohort(spark, d)
     a = c.where("k < 30").select("id", F.lit("first").alias("origin"), "score")
-    b = c.where("k between 20 and 60").select("id", F.lit("second").alias("origin"), (1 - F.col("score")).alias("score"))
+    b = c.where("k >= 20").select("id", F.lit("second").alias("origin"), (1 - F.col("score")).alias("score"))
     return a.unionAll(b.join(a.select("id"), "id", "left_anti"))
 
 
@@ -218,26 +214,20 @@ def fld_07_eight_families(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(c, "BC" in c.split("+")) for c in relational.power_set([*FAMILIES, "BC"])], "combination string, is_new boolean")
 
 
-@R()
-def fld_08_greedy_partition(spark: SparkSession, d: str) -> DataFrame:
-    """Closures to train, calibration and test: anchors for rare sources, then least squared imbalance."""
+@R(f"""with recursive {C}, {ROOTS}, x as (select coalesce(r.root, 'group:' || c.group_id) as root, c.label::varchar || ':' || c.source_group as source, count(*) as n from c left join roots r on r.node = 'group:' || c.group_id group by 1, 2),
+  m as (select source, count(*) as m from x group by 1), y as (select root, arg_min(source, (m, source)) as stratum, sum(n)::bigint as n, sha256('20260907|' || root) as h from x join m using (source) group by root),
+  z as (select *, row_number() over (partition by stratum order by h, root) - 1 as drawn from y), w as (select *, row_number() over (partition by stratum, drawn >= 3 order by floor(log2(n) + 1e-9) desc, h, root) - 1 as place from z), v as (select *, (place + 0.5::double) * 0.6180339887498949::double as a from w)
+  select root, case when drawn = 0 then 'train' when drawn = 1 then 'calibration' when drawn = 2 then 'test' when a - floor(a) < 0.6 then 'train' when a - floor(a) < 0.8 then 'calibration' else 'test' end as part from v""")
+def fld_08_closure_partition(spark: SparkSession, d: str) -> DataFrame:
+    """Closures to train, calibration and test: one of each for every rare source, the others spread by size within their rarest source."""
     x = cohort(spark, d).withColumn("node", F.concat(F.lit("group:"), "group_id")).join(roots(spark, d), "node", "left").withColumn("root", F.coalesce("root", "node"))
     c = x.groupBy("root", F.concat_ws(":", F.col("label").cast("string"), "source_group").alias("source")).agg(F.count(F.lit(1)).alias("n"))
     return schedule.partition_closures(c)
 
 
-@R(f"with {C}, x as (select id, label, row_number() over (partition by label order by sha256('cv|' || id::varchar)) as n from c where k = 3) select id, (n % 5)::int as fold from x")
+@R(f"with {C}, x as (select id, label, row_number() over (partition by label order by sha256('cv|' || id::varchar)) as n from c) select id, (n % 5)::int as fold from x")
 def fld_09_stratified_folds(spark: SparkSession, d: str) -> DataFrame:
-    """Stratified folds in a seeded hash order: the generator of the reference's numbers is not imitated."""
-    from pyspark.sql import Window as W
-
-    x = cohort(spark, d).where("k = 3")
-    return x.select("id", (F.row_number().over(W.partitionBy("label").orderBy(rank_key(F.col("id").cast("string"), "cv"))) % 5).alias("fold"))
-
-
-@R()
-def fld_09_stratified_folds_whole(spark: SparkSession, d: str) -> DataFrame:
-    """fld_09 over all rows: places come from ranges of the hash, no task holds a label."""
+    """Stratified folds in a seeded hash order (the generator of another language's numbers is not imitated); places come from ranges of the hash."""
     x = cohort(spark, d).select("id", "label", rank_key(F.col("id").cast("string"), "cv").alias("h"))
     y = with_running_total(x, ["label"], F.conv(F.substring("h", 1, 3), 16, 10).cast("int"), [F.col("h"), F.col("id")], F.lit(1), "before")
     return y.select("id", ((F.col("before") + 1) % 5).cast("int").alias("fold"))

@@ -1,4 +1,4 @@
-"""Queries of signal operators (SIG). Signals: the vectors of a label joined in order of vec_id, at 1 kHz."""
+"""Queries of signal operators (SIG). Signals: the vectors of a label and span of ids joined in order of vec_id, at 1 kHz."""
 
 from __future__ import annotations
 
@@ -18,18 +18,22 @@ from cadenza.session import table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
-SR, SIZE, HOP = 1000, 64, 16
+SR, SIZE, HOP, SPAN = 1000, 64, 16, 500
 
 
 def recordings(spark: SparkSession, d: str) -> DataFrame:
-    """(label, x, y): each label's vectors joined; y is the signal delayed by one vector. A recording's length is bounded by its source."""
-    e = table(spark, d, "embeddings").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
+    """(recording, x, y): the vectors of a label and of a span of SPAN ids joined; y is the signal delayed by one vector.
+
+    A recording holds up to SPAN vectors whatever the table's size, so recordings grow in number and not in length.
+    """
+    name = F.concat_ws("-", F.col("label").cast("string"), F.floor(F.col("vec_id") / SPAN).cast("string"))
+    e = table(spark, d, "embeddings").groupBy(name.alias("recording")).agg(F.array_sort(F.collect_list(F.struct("vec_id", "embedding"))).alias("v"))
     x = F.flatten(F.transform("v", lambda e: F.transform(e["embedding"], lambda z: z.cast("double"))))
-    return e.select("label", x.alias("x")).withColumn("y", F.concat(F.slice("x", F.lit(65), F.size("x")), F.slice("x", 1, 64)))
+    return e.select("recording", x.alias("x")).withColumn("y", F.concat(F.slice("x", F.lit(65), F.size("x")), F.slice("x", 1, 64)))
 
 
 def measured(spark: SparkSession, d: str, kernel, inputs=("x",)) -> DataFrame:
-    return s.long(s.measure(recordings(spark, d), "label", list(inputs), kernel), "label")
+    return s.long(s.measure(recordings(spark, d), "recording", list(inputs), kernel), "recording")
 
 
 @R("select distinct id, case when canonical.native_frames >= 30 * canonical.native_sample_rate_hz then (canonical.native_frames - 30 * canonical.native_sample_rate_hz) // 2 end as start_frame, 30 * canonical.native_sample_rate_hz as frames from drive_sources where canonical.native_frames is not null and canonical.native_sample_rate_hz is not null")
@@ -72,7 +76,7 @@ def sig_06_stereo_family(spark: SparkSession, d: str) -> DataFrame:
 @R()
 def sig_07_bicoherence_grid(spark: SparkSession, d: str) -> DataFrame:
     """Pools of 512 samples, triads of every fourth bin."""
-    return s.produce(recordings(spark, d), "label", ["x"], lambda x: k.bicoherence_pools(x, 512, SIZE, HOP, k.triads(4, 24, 32)), "pool int, f1 int, f2 int, eligible boolean, b2 double, biphase double")
+    return s.produce(recordings(spark, d), "recording", ["x"], lambda x: k.bicoherence_pools(x, 512, SIZE, HOP, k.triads(4, 24, 32)), "pool int, f1 int, f2 int, eligible boolean, b2 double, biphase double")
 
 
 @R()
@@ -114,20 +118,20 @@ def sig_12_dynamics_family(spark: SparkSession, d: str) -> DataFrame:
     return measured(spark, d, lambda x: k.dynamics_family(k.event_levels(x, SR, SIZE, 8)))
 
 
-BEATS = "b as (select user_id, sum(0.3 + k / 400.0::double) over (partition by user_id order by ts, id) as t, 1 + (row_number() over (partition by user_id order by ts, id) - 1) % 4 as number from c where id % 2 = 0)"
+BEATS = "b as (select user_id, sum(0.3 + k / 400.0::double) over (partition by user_id order by ts, id) as t, 1 + (row_number() over (partition by user_id order by ts, id) - 1) % 4 as number from c)"
 
 
-def beats(spark: SparkSession, d: str, rows: str) -> DataFrame:
+def beats(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("ts", "id")
-    return cohort(spark, d).where(rows).select("user_id", F.sum(0.3 + F.col("k") / 400).over(w).alias("t"), (1 + (F.row_number().over(w) - 1) % 4).alias("number"))
+    return cohort(spark, d).select("user_id", F.sum(0.3 + F.col("k") / 400).over(w).alias("t"), (1 + (F.row_number().over(w) - 1) % 4).alias("number"))
 
 
 @R(f"""with {C}, {BEATS}, i as (select user_id, t, t - lag(t) over w as ibi, round(60 / nullif(t - lag(t) over w, 0), 6) as bpm from b window w as (partition by user_id order by t)), q as (select user_id, count(ibi) n, (quantile_cont(ibi, 0.75) - quantile_cont(ibi, 0.25)) / median(ibi) as cv from i group by 1),
   v as (select user_id, t, bpm, lag(bpm) over (partition by user_id order by t) as before from i where bpm between 30 and 300), tv as (select user_id, count(*) n, median(abs(bpm - before)) / median(bpm) as tv from v group by 1), h as (select user_id, least(floor((bpm - 30) / 5), 53) bin, count(*)::double n from v group by 1, 2), p as (select user_id, n / sum(n) over (partition by user_id) p from h), e as (select user_id, -sum(p * ln(p)) / ln(54) as ent from p group by 1)
   select user_id, round(cv, 6) as ibi_cv, round(tv, 6) as tempo_tv, round(ent, 6) as tempo_entropy from q join tv using (user_id) join e using (user_id) where q.n >= 15 and tv.n >= 14""")
-def sig_13_rhythm_family(spark: SparkSession, d: str, rows: str = "id % 2 = 0") -> DataFrame:
+def sig_13_rhythm_family(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("t")
-    i = beats(spark, d, rows).select("user_id", "t", (F.col("t") - F.lag("t").over(w)).alias("ibi")).where("ibi > 0").withColumn("bpm", F.round(60 / F.col("ibi"), 6))
+    i = beats(spark, d).select("user_id", "t", (F.col("t") - F.lag("t").over(w)).alias("ibi")).where("ibi > 0").withColumn("bpm", F.round(60 / F.col("ibi"), 6))
     q = i.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), ((F.percentile("ibi", F.lit(0.75)) - F.percentile("ibi", F.lit(0.25))) / F.median("ibi")).alias("cv")).where("n >= 15")
     v = i.where("bpm between 30 and 300").withColumn("before", F.lag("bpm").over(w))
     tv = v.groupBy("user_id").agg(F.count(F.lit(1)).alias("m"), (F.median(F.abs(F.col("bpm") - F.col("before"))) / F.median("bpm")).alias("tv")).where("m >= 14")
@@ -136,55 +140,35 @@ def sig_13_rhythm_family(spark: SparkSession, d: str, rows: str = "id % 2 = 0")
     return q.join(tv, "user_id").join(e, "user_id").select("user_id", six("cv", "ibi_cv"), six("tv", "tempo_tv"), six("e", "tempo_entropy"))
 
 
-@R()
-def sig_13_rhythm_family_whole(spark: SparkSession, d: str) -> DataFrame:
-    return sig_13_rhythm_family(spark, d, "true")
-
-
-SECTIONS = "s as (select user_id, row_number() over (partition by user_id order by ts, id) as n, 2 + k / 10.0::double as dur from c where id % 5 = 0)"
+SECTIONS = "s as (select user_id, row_number() over (partition by user_id order by ts, id) as n, 2 + k / 10.0::double as dur from c)"
 
 
 @R(f"""with {C}, {SECTIONS}, q as (select user_id, count(*) n, (quantile_cont(dur, 0.75) - quantile_cont(dur, 0.25)) / median(dur) as cv, median(dur) md from s group by 1), h as (select user_id, floor(dur / 2) bin, count(*)::double n from s group by 1, 2), p as (select user_id, n / sum(n) over (partition by user_id) p from h), e as (select user_id, -sum(p * ln(p)) / ln(16) as ent from p group by 1)
   select user_id, round(cv, 6) as section_duration_cv, round(ent, 6) as section_duration_entropy, round(md, 6) as section_duration_median from q join e using (user_id) where n >= 3""")
-def sig_14_phrase_family(spark: SparkSession, d: str, rows: str = "id % 5 = 0") -> DataFrame:
-    x = cohort(spark, d).where(rows).select("user_id", (2 + F.col("k") / 10).alias("dur"))
+def sig_14_phrase_family(spark: SparkSession, d: str) -> DataFrame:
+    x = cohort(spark, d).select("user_id", (2 + F.col("k") / 10).alias("dur"))
     q = x.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), ((F.percentile("dur", F.lit(0.75)) - F.percentile("dur", F.lit(0.25))) / F.median("dur")).alias("cv"), F.median("dur").alias("md")).where("n >= 3")
     h = x.groupBy("user_id", F.floor(F.col("dur") / 2).alias("b")).agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"))
     e = h.select("user_id", ((F.log("t") - F.col("s") / F.col("t")) / math.log(16)).alias("e"))
     return q.join(e, "user_id").select("user_id", six("cv", "section_duration_cv"), six("e", "section_duration_entropy"), six("md", "section_duration_median"))
 
 
-@R()
-def sig_14_phrase_family_whole(spark: SparkSession, d: str) -> DataFrame:
-    return sig_14_phrase_family(spark, d, "true")
-
-
-@R(f"""with {C}, b as (select user_id, k % 5 + 2 as len from c where id % 2 = 0), h as (select user_id, len, count(*) n from b group by 1, 2), t as (select user_id, sum(n)::double t, count(*) m from h group by 1), mo as (select user_id, len, n, row_number() over (partition by user_id order by n desc, len) r from h)
+@R(f"""with {C}, b as (select user_id, k % 5 + 2 as len from c), h as (select user_id, len, count(*) n from b group by 1, 2), t as (select user_id, sum(n)::double t, count(*) m from h group by 1), mo as (select user_id, len, n, row_number() over (partition by user_id order by n desc, len) r from h)
   select user_id, mo.len as mode, round(1 - mo.n / t.t, 6) as offmode_fraction, round((select -sum(h.n / t.t * ln(h.n / t.t)) from h where h.user_id = mo.user_id) / ln(8), 6) as length_entropy from mo join t using (user_id) where r = 1 and t.t >= 8""")
-def sig_15_bar_features(spark: SparkSession, d: str, rows: str = "id % 2 = 0") -> DataFrame:
-    h = cohort(spark, d).where(rows).groupBy("user_id", (F.col("k") % 5 + 2).alias("len")).agg(F.count(F.lit(1)).alias("n"))
+def sig_15_bar_features(spark: SparkSession, d: str) -> DataFrame:
+    h = cohort(spark, d).groupBy("user_id", (F.col("k") % 5 + 2).alias("len")).agg(F.count(F.lit(1)).alias("n"))
     a = h.groupBy("user_id").agg(F.sum("n").alias("t"), F.min(F.struct((-F.col("n")).alias("m"), "len")).alias("b"), F.sum(F.col("n") * F.log("n")).alias("s")).where("t >= 8")
     return a.select("user_id", F.col("b.len").alias("mode"), six(1 + ratio(F.col("b.m"), F.col("t")), "offmode_fraction"), six((F.log("t") - F.col("s") / F.col("t")) / math.log(8), "length_entropy"))
 
 
-@R()
-def sig_15_bar_features_whole(spark: SparkSession, d: str) -> DataFrame:
-    return sig_15_bar_features(spark, d, "true")
-
-
 @R(f"""with {C}, {SECTIONS}, m as (select user_id, max(dur) mx, count(*) n from s group by 1), h as (select user_id, floor(dur / 2) bin, count(*)::double n from s group by 1, 2), p as (select user_id, n / sum(n) over (partition by user_id) p from h), e as (select user_id, -sum(p * ln(p)) as ent from p group by 1)
   select user_id, round(ent / ln(greatest(62, ceil(mx / 2) * 2 + 2) / 2), 6) as duration_entropy, round(mx, 6) as longest from m join e using (user_id) where n >= 3""")
-def sig_16_structure_features(spark: SparkSession, d: str, rows: str = "id % 5 = 0") -> DataFrame:
-    x = cohort(spark, d).where(rows).select("user_id", (2 + F.col("k") / 10).alias("dur"))
+def sig_16_structure_features(spark: SparkSession, d: str) -> DataFrame:
+    x = cohort(spark, d).select("user_id", (2 + F.col("k") / 10).alias("dur"))
     h = x.groupBy("user_id", F.floor(F.col("dur") / 2).alias("b")).agg(F.count(F.lit(1)).alias("n"), F.max("dur").alias("mx")).groupBy("user_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"), F.max("mx").alias("mx")).where("t >= 3")
     return h.select("user_id", six((F.log("t") - F.col("s") / F.col("t")) / F.log(F.greatest(F.lit(62.0), F.ceil(F.col("mx") / 2) * 2.0 + 2) / 2), "duration_entropy"), six("mx", "longest"))
 
 
-@R()
-def sig_16_structure_features_whole(spark: SparkSession, d: str) -> DataFrame:
-    return sig_16_structure_features(spark, d, "true")
-
-
 @R()
 def sig_17_timbre_family(spark: SparkSession, d: str) -> DataFrame:
     return measured(spark, d, lambda x: k.timbre_family(x, SR, SIZE, HOP, 0.1))
@@ -202,11 +186,12 @@ def _pitch(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 @R()
 def sig_19_pitch_microstructure(spark: SparkSession, d: str) -> DataFrame:
-    def kernel(x: np.ndarray) -> dict:
+    """Every window of a second, twice a second, of the whole contour."""
+    def kernel(x: np.ndarray) -> list[dict]:
         t, hz, _ = _pitch(x)
-        return dict(zip(("rate_hz", "extent_cents", "regularity"), k.vibrato_windows(t[:100], 1200 * np.log2(hz[:100]))))
+        return [dict(zip(("rate_hz", "extent_cents", "regularity"), k.vibrato_windows(t[i : i + 100], 1200 * np.log2(hz[i : i + 100])))) | {"window": i // 50} for i in range(0, max(len(t) - 99, 1), 50)]
 
-    return measured(spark, d, kernel)
+    return s.produce(recordings(spark, d), "recording", ["x"], kernel, "window int, rate_hz double, extent_cents double, regularity double")
 
 
 @R()
@@ -221,7 +206,7 @@ def sig_22_frame_descriptors(spark: SparkSession, d: str) -> DataFrame:
         c, f = k.cepstra(x, SR, SIZE, SIZE), k.frames(x, SIZE, SIZE)
         return [{"frame": i, "cepstra": c[i, 1:13].round(6).tolist(), "level_db": float(20 * np.log10(np.sqrt(np.mean(f[i] ** 2)) + 1e-12))} for i in range(len(f))]
 
-    return s.produce(recordings(spark, d), "label", ["x"], kernel, "frame int, cepstra array<double>, level_db double")
+    return s.produce(recordings(spark, d), "recording", ["x"], kernel, "frame int, cepstra array<double>, level_db double")
 
 
 @R(f"with {C}, b as (select user_id, (id % 8) as band, sum(value) m, sum(value) filter (k < 60) a from c group by 1, 2) select user_id, round(10 * log10((sum(m - coalesce(a, 0)) + 1e-9) / (sum(m) + 1e-9)), 6) as residual_db, round(corr(ln(m + 1), ln(coalesce(a, 0) + 1)), 6) as envelope_correlation, round(quantile_cont(m, 0.95) / median(m), 6) as burstiness from b group by 1 having count(*) >= 4 and stddev_pop(coalesce(a, 0)) > 0.001 and stddev_pop(m) > 0.001")
@@ -261,7 +246,7 @@ def sig_27_note_levels(spark: SparkSession, d: str) -> DataFrame:
         p, f = np.abs(k.spectra(x, SIZE, HOP)) ** 2, np.fft.rfftfreq(SIZE, 1 / SR)
         return [{"onset": float(t), "level_db": float(10 * np.log10(sum(p[min(int(t * SR / HOP), len(p) - 1), np.abs(f - h * 60.0).argmin()] for h in (1, 2, 3)) + 1e-12))} for t in np.arange(0, len(x) / SR, 0.25)]
 
-    return s.produce(recordings(spark, d), "label", ["x"], kernel, "onset double, level_db double")
+    return s.produce(recordings(spark, d), "recording", ["x"], kernel, "onset double, level_db double")
 
 
 @R("with e as (select vec_id, unnest(range(64)) as i, unnest(embedding)::double as v from embeddings) select vec_id, round(sum(v * pow(10, (case when i < 32 then i * 6.0 / 32 else (64 - i) * 6.0 / 32 end) / 20.0::double)), 6) as changed_sum from e group by 1")

@@ -48,17 +48,12 @@ def src_06_parquet_pruned(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").where(F.col("l_shipdate") >= F.lit("1998-06-01").cast("timestamp")).select("l_orderkey", "l_shipdate")
 
 
-@R("select vec_id, label from embeddings where vec_id in (select event_id from events where event_id % 50 = 0)")
-def src_07_rows_by_id(spark: SparkSession, d: str, rows: str = "event_id % 50 = 0") -> DataFrame:
-    ids = table(spark, d, "events").where(rows).select(F.col("event_id").alias("vec_id"))
+@R("select vec_id, label from embeddings where vec_id in (select event_id from events)")
+def src_07_rows_by_id(spark: SparkSession, d: str) -> DataFrame:
+    ids = table(spark, d, "events").select(F.col("event_id").alias("vec_id"))
     return table(spark, d, "embeddings").select("vec_id", "label").join(ids, "vec_id", "left_semi")
 
 
-@R()
-def src_07_rows_by_id_whole(spark: SparkSession, d: str) -> DataFrame:
-    return src_07_rows_by_id(spark, d, "true")
-
-
 @R("select o_orderstatus, count(*) as n from orders group by 1")
 def src_08_sql_over_parquet(spark: SparkSession, d: str) -> DataFrame:
     return spark.sql("select o_orderstatus, count(*) as n from {orders} group by 1", orders=table(spark, d, "orders"))

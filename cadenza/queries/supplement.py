@@ -8,7 +8,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cadenza.functions import kernels as k
-from cadenza.functions.hashing import hash_fold, id_set_hash, rank_key, stable_fraction
+from cadenza.functions.hashing import SET_DIGEST, hash_fold, rank_key, set_digest, stable_fraction
 from cadenza.operators import graph
 from cadenza.operators import relational as r
 from cadenza.operators import sequences as q
@@ -151,28 +151,15 @@ def sup_17_schema_adapters(spark: SparkSession, d: str) -> DataFrame:
     return a.unionByName(b)
 
 
-@R(f"""with recursive {C}, k as (select distinct id, provenance.artist as a, provenance.title as t from drive_sources where provenance.artist is not null or provenance.title is not null), n as (select id, 'a:' || a as node from k where a is not null union select id, 't:' || t from k where t is not null), e as (select distinct x.node as u, y.node as v from n x join n y using (id)), reach(u, v) as (select u, v from e union select r.u, e.v from reach r join e on e.u = r.v), roots as (select u as node, min(v) as root from reach group by 1), g as (select root, sha256(string_agg(node, chr(10) order by node)) as group_id, count(*) as keys from roots group by 1) select group_id, keys from g where keys <= 50""")
+@R(f"""with recursive k as (select distinct id, provenance.artist as a, provenance.title as t from drive_sources where provenance.artist is not null or provenance.title is not null), n as (select id, 'a:' || a as node from k where a is not null union select id, 't:' || t from k where t is not null), e as (select distinct 'a:' || a as u, 't:' || t as v from k where a is not null and t is not null),
+  e2 as (select u, v from e union select v, u from e), reach(u, v) as (select u, v from e2 union select r.u, e2.v from reach r join e2 on e2.u = r.v), roots as (select node, coalesce(min(v), node) as root from (select distinct node from n) z left join reach on reach.u = z.node group by node) select {SET_DIGEST.format('node')} as group_id, count(*) as keys from roots group by root""")
 def sup_18_group_identity(spark: SparkSession, d: str) -> DataFrame:
+    """Every component of artists and titles, named by the digest of its keys; no task has to hold a component's keys."""
     k_ = table(spark, d, "drive_sources").select("id", F.col("provenance.artist").alias("a"), F.col("provenance.title").alias("t")).distinct()
     both = graph.components(graph.closure_edges(k_, {"a": "a", "t": "t"}))
     nodes = k_.select(F.explode(F.array_compact(F.array(F.concat(F.lit("a:"), "a"), F.concat(F.lit("t:"), "t")))).alias("node")).distinct()
     x = nodes.join(both, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    small = x.groupBy("root").agg(F.count(F.lit(1)).alias("keys")).where("keys <= 50")
-    return x.join(small, "root").groupBy("root", "keys").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256).alias("group_id")).select("group_id", "keys")
-
-
-@R()
-def sup_18_group_identity_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Every component of artists and titles: of up to 50 keys the digest of the sorted keys, above it one of sums of the keys' hashes, which no task has to hold."""
-    k_ = table(spark, d, "drive_sources").select("id", F.col("provenance.artist").alias("a"), F.col("provenance.title").alias("t")).distinct()
-    both = graph.components(graph.closure_edges(k_, {"a": "a", "t": "t"}))
-    nodes = k_.select(F.explode(F.array_compact(F.array(F.concat(F.lit("a:"), "a"), F.concat(F.lit("t:"), "t")))).alias("node")).distinct()
-    x = cut(nodes.join(both, "node", "left").withColumn("root", F.coalesce("root", "node")))
-    part = lambda i: F.conv(F.substring(F.sha2("node", 256), 16 * i + 1, 16), 16, 10).cast("decimal(20,0)")
-    sums = x.groupBy("root").agg(F.count(F.lit(1)).alias("keys"), *[F.sum(part(i)).alias(f"h{i}") for i in range(4)])
-    large = sums.where("keys > 50").select(F.sha2(F.concat_ws("|", F.lit("sum"), "keys", *[F.col(f"h{i}").cast("string") for i in range(4)]), 256).alias("group_id"), "keys")
-    small = x.join(sums.where("keys <= 50").select("root", "keys"), "root").groupBy("root", "keys").agg(F.sha2(F.array_join(F.array_sort(F.collect_list("node")), "\n"), 256).alias("group_id"))
-    return small.select("group_id", "keys").unionAll(large)
+    return set_digest(x, ["root"], "node", "group_id", "keys").select("group_id", "keys")
 
 
 @R()
@@ -219,12 +206,12 @@ def sup_24_perturbation(spark: SparkSession, d: str) -> DataFrame:
 
 @R()
 def sup_25_lag_estimation(spark: SparkSession, d: str) -> DataFrame:
-    return s.long(s.measure(recordings(spark, d), "label", ["x", "y"], lambda x, y: dict(zip(("lag", "peak", "runner_up"), map(float, k.best_lag(x, y))))), "label")
+    return s.long(s.measure(recordings(spark, d), "recording", ["x", "y"], lambda x, y: dict(zip(("lag", "peak", "runner_up"), map(float, k.best_lag(x, y))))), "recording")
 
 
 @R()
 def sup_26_template_search(spark: SparkSession, d: str) -> DataFrame:
-    return s.long(s.measure(recordings(spark, d), "label", ["x"], lambda x: dict(zip(("start", "error"), map(float, k.template_search(x, x[100:164] if len(x) > 164 else x))))), "label")
+    return s.long(s.measure(recordings(spark, d), "recording", ["x"], lambda x: dict(zip(("start", "error"), map(float, k.template_search(x, x[100:164] if len(x) > 164 else x))))), "recording")
 
 
 @R("select vec_id, round(list_max(list_transform(embedding, lambda x: abs(x)))::double, 6) as peak, round(sqrt(list_sum(list_transform(embedding, lambda x: x::double * x::double)) / 64), 6) as rms, len(list_filter(embedding, lambda x: abs(x) >= 0.3))::int as loud from embeddings")
@@ -244,34 +231,32 @@ def sup_28_waveform_comparison(spark: SparkSession, d: str) -> DataFrame:
     return e.select((F.col("p") * 2).alias("vec_id"), six(F.sqrt(F.aggregate(gap, F.lit(0.0), lambda t, v: t + v * v) / 64), "rmse"), six(F.array_max(F.transform(gap, lambda v: F.abs(v))), "largest"), six(cosine(F.col("a"), F.col("b")), "cosine"))
 
 
-@R(f"with {C}, x as (select {FOLD} as shard, lpad(id::varchar, 12, '0') as pid from c) select shard, count(*) as rows, sha256(string_agg(pid, chr(10) order by pid) || chr(10)) as id_hash from x group by 1")
+@R(f"with {C}, x as (select {FOLD} as shard, lpad(id::varchar, 12, '0') as pid from c) select shard, count(*) as rows, {SET_DIGEST.format('pid')} as id_hash from x group by 1")
 def sup_29_hashed_shards(spark: SparkSession, d: str) -> DataFrame:
     x = cohort(spark, d).select(hash_fold(F.col("group_id")).alias("shard"), F.lpad(F.col("id").cast("string"), 12, "0").alias("pid"))
-    return x.groupBy("shard").agg(F.count(F.lit(1)).alias("rows"), id_set_hash(F.col("pid")).alias("id_hash"))
+    return set_digest(x, ["shard"], "pid", "id_hash", "rows")
 
 
 @R("select role, count(*) as rows, count(distinct group_id) filter (n > 1) as leaked_groups from (select role, group_id, id from drive_sources) d join (select group_id as g, count(distinct role) n from drive_sources group by 1) x on x.g is not distinct from d.group_id group by 1")
 def sup_30_role_leakage(spark: SparkSession, d: str) -> DataFrame:
-    t = table(spark, d, "drive_sources").select("role", "group_id", "id")
-    n = t.groupBy("group_id").agg(F.count_distinct("role").alias("n")).select(F.col("group_id").alias("g"), "n")
-    return t.join(n, F.col("group_id").eqNullSafe(F.col("g"))).groupBy("role").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct(F.when(F.col("n") > 1, F.col("group_id"))).alias("leaked_groups"))
+    """Groups are summed first; a missing group is no group, so its rows are counted and can't leak."""
+    g = table(spark, d, "drive_sources").groupBy("role", "group_id").agg(F.count(F.lit(1)).alias("m"))
+    n = g.where("group_id is not null").groupBy("group_id").agg(F.count(F.lit(1)).alias("all_roles"), F.count("role").alias("n"))
+    one = lambda x: x.groupBy("role").agg(F.sum("m").alias("m"), F.sum("leak").alias("leak"))
+    known = one(g.where("group_id is not null").join(n, "group_id").withColumn("leak", (F.col("n") > 1).cast("bigint")))
+    return known.unionAll(one(g.where("group_id is null").withColumn("leak", F.lit(0).cast("bigint")))).groupBy("role").agg(F.sum("m").alias("rows"), F.sum("leak").alias("leaked_groups"))
 
 
-IV = "iv as (select user_id, source_group, value * 20 as s, value * 20 + k + 1 as e from c where id % 3 = 0)"
+IV = "iv as (select user_id, source_group, value * 20 as s, value * 20 + k + 1 as e from c)"
 
 
 @R(f"with {C}, {IV}, x as (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) m from iv), g as (select *, sum(case when s < m then 0 else 1 end) over (partition by user_id order by s, e rows unbounded preceding) g from x), z as (select user_id, g, min(s) s, max(e) e, count(*) n from g group by 1, 2) select user_id, count(*) as merged, sum(n)::bigint as events, round(sum(e - s), 6) as covered from z group by 1")
-def sup_31_merged_events(spark: SparkSession, d: str, rows: str = "id % 3 = 0") -> DataFrame:
-    iv = cohort(spark, d).where(rows).select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
+def sup_31_merged_events(spark: SparkSession, d: str) -> DataFrame:
+    iv = cohort(spark, d).select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
     z = q.merge_intervals(iv, ["user_id"], "s", "e")
     return z.groupBy("user_id").agg(F.count(F.lit(1)).alias("merged"), F.sum("parts").alias("events"), six(F.sum(F.col("end") - F.col("start")), "covered"))
 
 
-@R()
-def sup_31_merged_events_whole(spark: SparkSession, d: str) -> DataFrame:
-    return sup_31_merged_events(spark, d, "true")
-
-
 @R("select id, f as name, f is not null as ok from (select id, unnest(verification.mismatched_feature_names) as f from drive_sources where verification is not null)")
 def sup_32_nested_flattening(spark: SparkSession, d: str) -> DataFrame:
     t = table(spark, d, "drive_sources").where("verification is not null").select("id", F.explode("verification.mismatched_feature_names").alias("name"))
@@ -289,9 +274,12 @@ def sup_34_quantity_ranges(spark: SparkSession, d: str) -> DataFrame:
     return with_fold(cohort(spark, d)).groupBy("fold", "source_group").agg(F.count(F.lit(1)).alias("n")).groupBy("source_group").agg(F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-@R("select split, count(*) as rows, count(distinct id) as ids, count(distinct group_id) as groups, count(distinct component_id) as components, sha256(string_agg(distinct id, chr(10) order by id) || chr(10)) as id_hash from drive_sources group by 1")
+@R(f"select split, count(*) as rows, ids, count(distinct group_id) as groups, count(distinct component_id) as components, id_hash from drive_sources join (select split as s, count(*) as ids, {SET_DIGEST.format('id')} as id_hash from (select distinct split, id from drive_sources where id is not null) group by 1) x on x.s is not distinct from split group by 1, 3, 6")
 def sup_35_split_record(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "drive_sources").groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"), F.count_distinct("group_id").alias("groups"), F.count_distinct("component_id").alias("components"), id_set_hash(F.col("id")).alias("id_hash"))
+    t = table(spark, d, "drive_sources")
+    n = t.groupBy("split").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("group_id").alias("groups"), F.count_distinct("component_id").alias("components"))
+    h = set_digest(t.select(F.col("split").alias("s"), "id"), ["s"], "id", "id_hash", "ids")
+    return n.join(h, F.col("split").eqNullSafe(F.col("s"))).select("split", "rows", "ids", "groups", "components", "id_hash")  # a row per split on both sides
 
 
 @R("select distinct id, round(('0x' || substr(sha256(id), 1, 16))::ubigint::double / 18446744073709551615.0 * greatest(canonical.native_frames::double / canonical.native_sample_rate_hz - 30, 0), 3) as start_s from drive_sources where canonical.native_frames is not null and canonical.native_sample_rate_hz is not null")
@@ -310,28 +298,24 @@ def _frames(spark: SparkSession, d: str) -> DataFrame:
 
 @R()
 def str_01_running_decode(spark: SparkSession, d: str) -> DataFrame:
-    """Blocks in order to the end: frames, digest of all and a bounded capture."""
+    """Blocks in order to the end, per recording of bounded length: frames, digest of all and a bounded capture."""
     import hashlib
 
-    def run(pdf):
-        import pandas as pd
-
-        pdf = pdf.sort_values("vec_id")
+    def kernel(x: np.ndarray) -> list[dict]:
         h, frames, cap = hashlib.sha256(), 0, []
-        for v in pdf["embedding"]:
-            b = np.asarray(v, "<f8")
-            h.update(b.tobytes())
+        for b in np.split(x, range(64, len(x), 64)):
+            h.update(b.astype("<f8").tobytes())
             cap += b[max(0, 100 - frames) : max(0, 200 - frames)].tolist() if frames < 200 else []
             frames += len(b)
-        return pd.DataFrame({"label": [pdf["label"].iloc[0]], "frames": [frames], "digest": [h.hexdigest()], "captured": [len(cap)]})
+        return [{"frames": frames, "digest": h.hexdigest(), "captured": len(cap)}]
 
-    return table(spark, d, "embeddings").groupBy("label").applyInPandas(run, "label int, frames bigint, digest string, captured int")
+    return s.produce(recordings(spark, d), "recording", ["x"], kernel, "frames bigint, digest string, captured int")
 
 
-@R("select label, true as same from embeddings group by 1")
+@R("select label::varchar || '-' || (vec_id // 500)::varchar as recording, true as same from embeddings group by 1")
 def str_02_two_pass_equality(spark: SparkSession, d: str) -> DataFrame:
-    a, b = str_01_running_decode(spark, d), str_01_running_decode(spark, d).select("label", F.col("digest").alias("again"))
-    return a.join(b, "label").select("label", (F.col("digest") == F.col("again")).alias("same"))
+    a, b = str_01_running_decode(spark, d), str_01_running_decode(spark, d).select("recording", F.col("digest").alias("again"))
+    return a.join(b, "recording").select("recording", (F.col("digest") == F.col("again")).alias("same"))
 
 
 @R(f"with {C}, {FR} select user_id, (n // 16)::bigint as block, round(sum(value), 6) as total from fr group by 1, 2 having count(*) = 16")

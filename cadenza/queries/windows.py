@@ -69,20 +69,15 @@ def win_07_gap_filling(spark: SparkSession, d: str) -> DataFrame:
     return s.fill_gaps(frames(spark, d), ["user_id"], "n", F.col("a"), F.col("v"), 3, 3)
 
 
-IV = "iv as (select user_id, value * 20 as s, value * 20 + k + 1 as e from c where id % 3 = 0)"
+IV = "iv as (select user_id, value * 20 as s, value * 20 + k + 1 as e from c)"
 
 
 @R(f"with {C}, {IV}, x as (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) m from iv), g as (select *, sum(case when s < m then 0 else 1 end) over (partition by user_id order by s, e rows unbounded preceding) g from x) select user_id, round(min(s), 6) as start, round(max(e), 6) as end, count(*) as parts from g group by user_id, g")
-def win_08_interval_merge(spark: SparkSession, d: str, rows: str = "id % 3 = 0") -> DataFrame:
-    iv = cohort(spark, d).where(rows).select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
+def win_08_interval_merge(spark: SparkSession, d: str) -> DataFrame:
+    iv = cohort(spark, d).select("user_id", (F.col("value") * 20).alias("s"), (F.col("value") * 20 + F.col("k") + 1).alias("e"))
     return s.merge_intervals(iv, ["user_id"], "s", "e").select("user_id", six("start", "start"), six("end", "end"), "parts")
 
 
-@R()
-def win_08_interval_merge_whole(spark: SparkSession, d: str) -> DataFrame:
-    return win_08_interval_merge(spark, d, "true")
-
-
 @R()
 def win_09_chord_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Onsets per recording within 0.5 of the first of a cluster are one chord."""
@@ -200,17 +195,17 @@ def win_25_head_per_group(spark: SparkSession, d: str) -> DataFrame:
     return r.top_per_group(cohort(spark, d), ["source_group"], [F.desc("value"), F.col("id")], 5).select("source_group", "id", "value")
 
 
-@R(f"""with {C}, p as (select component_id, source_group, count(*) n, sum(label) pos from c where k < 50 group by 1, 2), t as (select source_group, sum(n)::bigint n, sum(pos)::bigint pos from p group by 1) select p.component_id, p.source_group, p.n as held, t.n - p.n as kept, t.pos - p.pos as kept_positive from p join t using (source_group)""")
+@R(f"""with {C}, p as (select component_id, source_group, count(*) n, sum(label) pos from c group by 1, 2), t as (select source_group, sum(n)::bigint n, sum(pos)::bigint pos from p group by 1) select p.component_id, p.source_group, p.n as held, t.n - p.n as kept, t.pos - p.pos as kept_positive from p join t using (source_group)""")
 def win_26_leave_group_out(spark: SparkSession, d: str) -> DataFrame:
     """Each group left out in turn: what remains is the total less the group's own, so no fold repeats the rows."""
-    p = cohort(spark, d).where("k < 50").groupBy("component_id", "source_group").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
+    p = cohort(spark, d).groupBy("component_id", "source_group").agg(F.count(F.lit(1)).alias("n"), F.sum("label").alias("pos"))
     t = p.groupBy("source_group").agg(F.sum("n").alias("tn"), F.sum("pos").alias("tp"))
     return p.join(t, "source_group").select("component_id", "source_group", F.col("n").alias("held"), (F.col("tn") - F.col("n")).alias("kept"), (F.col("tp") - F.col("pos")).alias("kept_positive"))
 
 
-@R(f"with {C} select id, {H.format('id::varchar')} as key from c where k % 7 <> 0 order by 2 limit 25")
+@R(f"with {C} select id, {H.format('id::varchar')} as key from c order by 2 limit 25")
 def top_01_least_hashes(spark: SparkSession, d: str) -> DataFrame:
-    return cohort(spark, d).where("k % 7 <> 0").select("id", rank_key(F.col("id").cast("string")).alias("key")).orderBy("key").limit(25)
+    return cohort(spark, d).select("id", rank_key(F.col("id").cast("string")).alias("key")).orderBy("key").limit(25)
 
 
 @R(f"with {C}, s as (select source_group, role, round(avg(score), 2) as v, count(distinct group_id) as parts from c group by 1, 2) select source_group, role from s where v >= (select max(v) from s) - 1e-12 order by parts, source_group, role limit 1")
@@ -237,20 +232,9 @@ def top_03_evidence(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", (F.col("o") + 1).cast("bigint").alias("rank"), "e.name", six("e.c", "contribution"))
 
 
-@R(f"with {C} select id, row_number() over (order by list_position(['purchase', 'error', 'view', 'click'], source_group) nulls first, lpad(id::varchar, 10, '0')) as place from c where k = 5")
+@R(f"with {C} select id, row_number() over (order by list_position(['purchase', 'error', 'view', 'click'], source_group) nulls first, lpad(id::varchar, 10, '0')) as place from c")
 def top_04_canonical_sort(spark: SparkSession, d: str) -> DataFrame:
-    """Rows of one k in canonical source order; places come from ranges of the order, not one task over all rows."""
-    place = F.array_position(F.array(*[F.lit(x) for x in ("purchase", "error", "view", "click")]), F.col("source_group"))
-    x = cohort(spark, d).where("k = 5").withColumn("o", F.when(place > 0, place))
-    from cadenza.session import with_running_total
-
-    y = with_running_total(x, [], F.coalesce("o", F.lit(0)).cast("int"), [F.lpad(F.col("id").cast("string"), 10, "0")], F.lit(1), "before")
-    return y.select("id", (F.col("before") + 1).alias("place"))
-
-
-@R()
-def top_04_canonical_sort_whole(spark: SparkSession, d: str) -> DataFrame:
-    """top_04 over all rows: each source's rows are cut into ranges of the id."""
+    """Rows in canonical source order; places come from ranges: each source's rows are cut into ranges of the id."""
     from cadenza.session import with_running_total
 
     place = F.array_position(F.array(*[F.lit(x) for x in ("purchase", "error", "view", "click")]), F.col("source_group"))
@@ -274,18 +258,13 @@ def top_06_seeded_sample(spark: SparkSession, d: str) -> DataFrame:
     return r.top_per_group(cohort(spark, d), ["label"], [rank_key(F.col("id").cast("string"))], 30).select("label", "id")
 
 
-@R(f"with {C} select id, score >= 0.9 as passed from c where k = 7 order by score >= 0.9 desc, case when score >= 0.9 then {H.format('id::varchar')} end, score desc, id limit 40")
-def top_07_threshold_then_backfill(spark: SparkSession, d: str, rows: str = "k = 7") -> DataFrame:
+@R(f"with {C} select id, score >= 0.9 as passed from c order by score >= 0.9 desc, case when score >= 0.9 then {H.format('id::varchar')} end, score desc, id limit 40")
+def top_07_threshold_then_backfill(spark: SparkSession, d: str) -> DataFrame:
     ok = F.col("score") >= 0.9
-    c = cohort(spark, d).where(rows)
+    c = cohort(spark, d)
     return c.orderBy(F.desc(ok), F.when(ok, rank_key(F.col("id").cast("string"))), F.desc("score"), "id").limit(40).select("id", ok.alias("passed"))
 
 
-@R()
-def top_07_threshold_then_backfill_whole(spark: SparkSession, d: str) -> DataFrame:
-    return top_07_threshold_then_backfill(spark, d, "true")
-
-
 @R(f"""with {C}, {WEIGHTS}, s as (select score, sum(case when label = 1 then weight else 0 end) p, sum(case when label = 0 then weight else 0 end) n from w group by 1), t as (select score, sum(p) over (order by score desc) / sum(p) over () as tpr, 1 - sum(n) over (order by score desc) / sum(n) over () as tnr from s)
   select score as threshold, round((tpr + tnr) / 2, 6) as balanced_accuracy from t order by round((tpr + tnr) / 2, 9) desc, abs(score - 0.5), score limit 1""")
 def top_08_threshold_search(spark: SparkSession, d: str) -> DataFrame:

@@ -136,16 +136,24 @@ def test_bootstrap_multiplicity_one_is_the_estimate(spark):
     assert bootstrap.replicate_sums(df, one, "g", ["s"], {"v": "v"}).first()["v"] == 9.0
 
 
-def test_power_set_and_partition():
-    import pandas as pd
-
+def test_power_set():
     assert relational.power_set(["S", "D", "R"]) == ["S", "D", "R", "S+D", "S+R", "D+R", "S+D+R"]
-    c = pd.DataFrame([(f"r{i}", f"s{i % 3}", 1 + i % 5) for i in range(60)], columns=["root", "source", "n"])
-    p = schedule.greedy_partition(c, [("train", 0.6), ("calibration", 0.2), ("test", 0.2)])
-    assert len(p) == 60 and set(p["part"]) == {"train", "calibration", "test"}
-    x = c.merge(p, on="root")
-    assert set(x.groupby("source")["part"].nunique()) == {3}
-    assert 0.5 < x[x["part"] == "train"]["n"].sum() / x["n"].sum() < 0.7
+
+
+def test_closures_are_dealt_whole_with_every_source_in_every_part(spark):
+    r = random.Random(4)
+    rows = [(f"r{i:05d}", f"s{i % 4}", 1 + int(r.paretovariate(1.2)) % 400) for i in range(4000)] + [(f"r{i:05d}", "rare", 2) for i in range(0, 4000, 800)] + [("solo", "single", 5), ("none", None, 3), ("none", None, 4)]
+    shares = [("train", 0.6), ("calibration", 0.2), ("test", 0.2)]
+    c = spark.createDataFrame(rows, "root string, source string, n int")
+    got = {x["root"]: x["part"] for x in schedule.partition_closures(c, shares).collect()}
+    assert set(got) == {x[0] for x in rows} and got == {x["root"]: x["part"] for x in schedule.partition_closures(c.repartition(5), shares).collect()}
+    for s in ("s0", "s1", "s2", "s3", "rare"):
+        own = [x for x in rows if x[1] == s]
+        count, mass = ({p: sum(w(x) for x in own if got[x[0]] == p) / sum(map(w, own)) for p, _ in shares} for w in (lambda x: 1, lambda x: x[2]))
+        assert min(count.values()) > 0
+        if s != "rare":
+            assert all(abs(count[p] - w) < 0.02 and abs(mass[p] - w) < 0.05 for p, w in shares)
+    assert schedule.partition_closures(c.limit(0), shares).collect() == []
 
 
 def test_containment_at_any_place(spark):
