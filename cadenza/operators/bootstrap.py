@@ -2,55 +2,75 @@
 
 from __future__ import annotations
 
-import hashlib
+import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
+#: Upper bounds, in 2**32nds, of a uniform number for which a Poisson(1) count is 0, 1, 2, ...
+POISSON = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(11)]
+
+
 def multiplicities(groups: DataFrame, key: str, replicates: int, seed: int = 20260907) -> DataFrame:
     """(key, draws array<int>): how often each group is drawn in each replicate, as Poisson(1) counts given by group, replicate and seed.
 
-    One draw is shared by all models, folds and sources. Poisson counts make each group's draws independent of the others, so
-    the table is made where the groups are, at any number of them, and is the same after a retry.
+    Eight uniform numbers of 32 bits come from each SHA-256 of seed, group and number of the eight. One draw is shared by all
+    models, folds and sources. Poisson counts make each group's draws independent of the others, so the table is made where the groups
+    are, in the JVM, at any number of them, and is the same after a retry. A null group is not drawn.
     """
-    kind = dict(groups.dtypes)[key]
+    h = F.transform(F.sequence(F.lit(0), F.lit((replicates - 1) // 8)), lambda i: F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")), 256))
+    u = F.flatten(F.transform(h, lambda x: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substring(x, j * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))))
+    draws = F.transform(F.slice(u, 1, replicates), lambda v: sum(((v >= F.lit(t)).cast("int") for t in POISSON), F.lit(0)))
+    return groups.where(F.col(key).isNotNull()).select(key).distinct().select(key, draws.alias("draws"))
 
-    def run(batches):
-        for pdf in batches:
-            draws = [np.random.default_rng([seed, int.from_bytes(hashlib.sha256(str(k).encode()).digest()[:7], "big")]).poisson(1.0, replicates).astype(np.int32).tolist() for k in pdf[key]]
-            yield pd.DataFrame({key: pdf[key], "draws": draws})
 
-    return groups.select(key).distinct().mapInPandas(run, f"{key} {kind}, draws array<int>")
+def draws_sql(replicates: int, seed: int = 20260907) -> str:
+    """The same for DuckDB, from a table g (key varchar): (key, rep, k)."""
+    u = "('0x' || substr(h, j * 8 + 1, 8))::bigint"
+    return f"""d0 as (select key, i, sha256('{seed}|' || key || '|' || i::varchar) as h from (select distinct key from g where key is not null), (select unnest(range({(replicates - 1) // 8 + 1})) as i)), d1 as (select key, i * 8 + j as rep, {u} as u from d0, (select unnest(range(8)) as j)),
+  draws as (select key, rep::int as rep, ({' + '.join(f'(u >= {t})::int' for t in POISSON)}) as k from d1 where rep < {replicates})"""
 
 
 def replicate_sums(df: DataFrame, draws: DataFrame, key: str, by: Sequence[str], sums: dict[str, str]) -> DataFrame:
-    """(<by>, rep, <sums>): weighted sums per replicate. Rows are summed per group first; only groups meet their draws."""
+    """(<by>, rep, <sums>): weighted sums per replicate. Rows are summed per group first; only groups meet their draws.
+
+    The outer explode keeps the planner from deriving a filter on the draws that it would then evaluate on every row below the grouping.
+    """
     g = df.groupBy(*by, key).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
-    x = g.join(draws, key).select(*by, *sums, F.posexplode("draws").alias("rep", "k")).where("k > 0")
+    x = g.join(draws, key).select(*by, *sums, F.posexplode_outer("draws").alias("rep", "k")).where("k > 0")
     return x.groupBy(*by, "rep").agg(*[F.sum(F.col(n) * F.col("k")).alias(n) for n in sums])
 
 
 def interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """Percentile interval, standard error (ddof 1), share above 0 and number of defined replicates of ``value`` over rep."""
+    """Percentile interval, standard error (ddof 1), share above 0 and number of defined replicates of ``value`` over rep; six decimals."""
     v = F.col(value)
-    return df.groupBy(*by).agg(F.percentile(v, F.lit(0.025)).alias("low"), F.percentile(v, F.lit(0.975)).alias("high"), F.stddev_samp(v).alias("se"), F.avg((v > 0).cast("double")).alias("above_zero"), F.count(v).alias("valid"), F.count_if(v.isNull()).alias("undefined"))
+    r = lambda c: F.round(c, 6)
+    return df.groupBy(*by).agg(r(F.percentile(v, F.lit(0.025))).alias("low"), r(F.percentile(v, F.lit(0.975))).alias("high"), r(F.stddev_samp(v)).alias("se"), r(F.avg((v > 0).cast("double"))).alias("above_zero"), F.count(v).alias("valid"), F.count_if(v.isNull()).alias("undefined"))
+
 
+INTERVAL_SQL = "round(quantile_cont({0}, 0.025), 6) as low, round(quantile_cont({0}, 0.975), 6) as high, round(stddev_samp({0}), 6) as se, round(avg(({0} > 0)::int) filter ({0} is not null), 6) as above_zero, count({0}) as valid, count(*) filter ({0} is null) as undefined"
 
-def cluster_statistics(df: DataFrame, by: str, cluster: str, value: str, replicates: int, seed: int) -> DataFrame:
-    """(by, mean, mean_low, mean_high, median, median_low, median_high) resampling whole clusters; per value of ``by`` one group of cluster means."""
-    m = df.groupBy(by, cluster).agg(F.avg(value).alias("m"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf["m"].dropna().to_numpy(float))
-        rng = np.random.default_rng(seed)
-        if not len(x):
-            return pd.DataFrame({by: pdf[by].iloc[:1], **{c: [None] for c in ("mean", "mean_low", "mean_high", "median", "median_low", "median_high")}})
-        d = x[rng.integers(0, len(x), (replicates, len(x)))]
-        a, b = d.mean(1), np.median(d, axis=1)
-        return pd.DataFrame({by: pdf[by].iloc[:1].to_numpy(), "mean": [x.mean()], "mean_low": [np.percentile(a, 2.5)], "mean_high": [np.percentile(a, 97.5)], "median": [np.median(x)], "median_low": [np.percentile(b, 2.5)], "median_high": [np.percentile(b, 97.5)]})
+def cluster_statistics(df: DataFrame, by: str, cluster: str, value: str, replicates: int, seed: int, bins: int = 4096) -> DataFrame:
+    """(by, mean, mean_low, mean_high, median, median_low, median_high) resampling whole clusters by multiplicities.
 
-    return m.groupBy(by).applyInPandas(run, f"{by} {dict(df.dtypes)[by]}, mean double, mean_low double, mean_high double, median double, median_low double, median_high double")
+    A cluster counts with the mean of its values. A replicate's mean is exact; its median is that of the clusters' means in ``bins`` equal
+    steps of their range per ``by`` (its error is at most one step), so a replicate is a bounded histogram and not a sorted list of clusters.
+    Clusters without values don't count; a ``by`` without any has no row.
+    """
+    m = df.groupBy(by, cluster).agg(F.avg(value).alias("m")).where("m is not null")
+    span = m.groupBy(by).agg(F.min("m").alias("lo"), F.max("m").alias("hi"))
+    x = m.join(span, by).withColumn("bin", F.floor(F.coalesce(F.try_divide(F.col("m") - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * (bins - 1) + 0.5).cast("int"))
+    x = x.join(multiplicities(m, cluster, replicates, seed), cluster)
+    one = x.select(by, "lo", "hi", "bin", "m", F.posexplode_outer(F.array_prepend("draws", 1)).alias("rep", "k")).where("k > 0")  # replicate 0 is the sample itself
+    h = one.groupBy(by, "rep", "bin").agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.col("m")).alias("s"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    w = W.partitionBy(by, "rep")
+    h = h.withColumns({"upto": F.sum("n").over(w.orderBy("bin")), "all": F.sum("n").over(w)})
+    at = lambda place: F.min(F.when(F.col("upto") >= place, F.col("bin")))
+    r = h.groupBy(by, "rep").agg((F.sum("s") / F.sum("n")).alias("mean"), at(F.floor((F.col("all") + 1) / 2)).alias("a"), at(F.floor(F.col("all") / 2) + 1).alias("b"), F.first("lo").alias("lo"), F.first("hi").alias("hi"))
+    r = r.select(by, "rep", "mean", (F.col("lo") + (F.col("hi") - F.col("lo")) * (F.col("a") + F.col("b")) / 2 / (bins - 1)).alias("median"))
+    again = lambda c: F.when(F.col("rep") > 0, F.col(c))
+    return r.groupBy(by).agg(*[f for c in ("mean", "median") for f in (F.max(F.when(F.col("rep") == 0, F.col(c))).alias(c), F.percentile(again(c), F.lit(0.025)).alias(f"{c}_low"), F.percentile(again(c), F.lit(0.975)).alias(f"{c}_high"))])

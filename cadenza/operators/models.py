@@ -164,3 +164,31 @@ def score_models(df: DataFrame, models: Mapping[str, Ridge], keep: Sequence[str]
     """(<keep>, combination, raw, predicted) of every model for every row, in one pass: the models' terms are literals of the plan."""
     each = F.explode(F.array(*[F.struct(F.lit(n).alias("combination"), raw_score(m).alias("raw")) for n, m in models.items()])).alias("s")
     return df.select(*keep, each).select(*keep, "s.combination", "s.raw", (F.col("s.raw") >= 0.5).alias("predicted"))
+
+
+def receipt_faults(columns: Mapping[str, Sequence[str]], combination: Column, families: Column, mode: Column, digests: Mapping[str, Column], values: Column, modes: Sequence[str] = MODES) -> Column:
+    """array<string> of what is wrong with a receipt's row, in this order; empty for a sound one.
+
+    ``columns``: the columns of each family in canonical order of the families. ``families``: those the row's combination names, however it is
+    written (array<string>). Faults: each of ``digests`` (by name) that isn't 64 hex digits; combination, if not the families in canonical
+    order joined by +; mode, if none of ``modes``; no_values without a map; foreign_column, a column of no family of the combination;
+    missing_column, one of the combination that is absent; infinite_value. A null or NaN value is no fault: it is imputed.
+    """
+    order = F.array(*[F.lit(f) for f in columns])
+    own = F.filter(order, lambda f: F.array_contains(families, f))
+    known = F.create_map(*[x for f, c in columns.items() for x in (F.lit(f), F.array(*[F.lit(n) for n in c]))])
+    want = F.coalesce(F.flatten(F.transform(own, lambda f: F.try_element_at(known, f))), F.array().cast("array<string>"))
+    keys = F.map_keys(values)
+    flag = lambda bad, name: F.when(F.coalesce(bad, F.lit(True)), F.lit(name))
+    has = values.isNotNull()
+    return F.array_compact(
+        F.array(
+            *[flag(~c.rlike("^[0-9a-f]{64}$"), n) for n, c in digests.items()],
+            flag((F.array_join(own, "+") != combination) | (F.size(own) == 0), "combination"),
+            flag(~mode.isin(list(modes)), "mode"),
+            F.when(~has, F.lit("no_values")),
+            F.when(has & (F.size(F.array_except(keys, want)) > 0), F.lit("foreign_column")),
+            F.when(has & (F.size(F.array_except(want, keys)) > 0), F.lit("missing_column")),
+            F.when(has & F.exists(F.map_values(values), lambda v: F.coalesce(F.abs(v) == F.lit(float("inf")), F.lit(False))), F.lit("infinite_value")),
+        )
+    )

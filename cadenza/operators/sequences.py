@@ -40,6 +40,25 @@ def fill_gaps(df: DataFrame, key: Sequence[str], index: str, active: Column, val
     return g.where(F.col("last") - F.col("first") + 1 >= least)
 
 
+def lagged_similarity(blocks: DataFrame, key: Sequence[str], index: str, vector: str, ok: Column, lags: Sequence[int], span: int = 4) -> DataFrame:
+    """(<key>, lag, index, similarity, turn): patterns of ``span`` blocks against the patterns a lag later, in their best turn of the pitch classes.
+
+    ``vector``: array<double> of 12 with length 1. Each block meets the blocks its lags later by an equi join (so a block costs
+    as many rows as there are lags, whatever the recording's length); the products of all 12 turns are averaged over ``span`` blocks in a row, all
+    of which have to be there and ``ok`` on both sides; of equal turns the first counts. ``index`` is the pattern's first block.
+    """
+    keys = list(key)
+    x = blocks.where(ok).select(*keys, index, vector)
+    later = x.select(*keys, F.col(index).alias("__j"), F.col(vector).alias("__v"))
+    a = x.select("*", F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag")).withColumn("__j", F.col(index) + F.col("lag"))
+    turns = [sum((F.get(vector, F.lit((c - t) % 12)) * F.get("__v", F.lit(c)) for c in range(12)), F.lit(0.0)).alias(f"t{t}") for t in range(12)]
+    p = a.join(later, [*keys, "__j"]).select(*keys, "lag", index, *turns)
+    w = W.partitionBy(*keys, "lag").orderBy(index).rangeBetween(0, span - 1)
+    m = p.select(*keys, "lag", index, F.count(F.lit(1)).over(w).alias("__n"), *[F.round(F.avg(f"t{t}").over(w), 9).alias(f"t{t}") for t in range(12)]).where(F.col("__n") == span)
+    best = F.greatest(*[f"t{t}" for t in range(12)])
+    return m.select(*keys, "lag", index, best.alias("similarity"), (F.array_position(F.array(*[f"t{t}" for t in range(12)]), best) - 1).cast("int").alias("turn"))
+
+
 def anchor_clusters(times: Column, width: float) -> Column:
     """Cluster anchors of an ascending array: a time beyond ``width`` of the current anchor starts a new one (not a session: gaps don't count)."""
     return F.aggregate(times, F.array().cast("array<double>"), lambda a, t: F.when(F.coalesce(t - F.get(a, F.size(a) - 1) > width, F.lit(True)), F.array_append(a, t)).otherwise(a))

@@ -12,8 +12,11 @@ from cadenza.operators import models
 from cadenza.operators.metrics import ratio, six
 from cadenza.operators.relational import power_set
 from cadenza.queries._cohort import C, cohort
-from cadenza.queries.aggregates import with_fold
+from cadenza.queries._ridge import fits_sql, mask_of, score_sql
+from cadenza.queries.aggregates import AUC, FOLD, with_fold
+from cadenza.queries.problems import BC_NAMES, DRP_NAMES, FHSC_NAMES, S_NAMES, families
 from cadenza.registry import Registry
+from cadenza.session import table
 
 R = Registry()
 queries, oracle_sql = R.queries, R.oracle_sql
@@ -24,6 +27,15 @@ FIXED = models.Ridge(("f1", "f2", "f5"), "values_plus_missing", np.array([8.0, 0
 FIXED_TERMS = "t as (select id, source_group, label, role, group_id, unnest(['f1', 'f2', 'f5', 'f2', 'f5']) as name, unnest(['value', 'value', 'value', 'missing', 'missing']) as kind, unnest([(coalesce(f1, 8) - 10) / 9.0::double * 0.05::double, (coalesce(f2, 0.5) - 0.5) / 0.3::double * -0.2::double, (coalesce(f5, 10) - 15) / 15.0::double * 0.1::double, (case when f2 is null then 1 else 0 end - 0.14::double) / 0.35::double * 0.04::double, (case when f5 is null then 1 else 0 end - 0.33::double) / 0.47::double * -0.03::double]) as v from c), s as (select id, any_value(source_group) as source_group, any_value(label) as label, any_value(role) as role, any_value(group_id) as group_id, 0.5 + sum(v) as raw from t group by id)"
 
 
+#: The development rows as one training set, and all combinations of families.
+DEV = "select 0 as s, label, source_group, group_id, f1, f2, f3, f4, f5 from c where role = 'development'"
+COMBINATIONS = {c: [x for f in c.split("+") for x in FAM[f]] for c in power_set(list(FAM))}
+BY_COMBINATION = {c: mask_of(x) for c, x in COMBINATIONS.items()}
+BY_MODE = {mode: mask_of(COLUMNS, mode) for mode in models.MODES}
+NAMES = "(select unnest(['f1', 'f2', 'f3', 'f4', 'f5', 'f1', 'f2', 'f3', 'f4', 'f5', 'intercept']) as name, unnest(['value', 'value', 'value', 'value', 'value', 'missing', 'missing', 'missing', 'missing', 'missing', 'intercept']) as kind, unnest(range(1, 12)) as place)"
+BETAS = f"name, kind, round(case when place = 11 then ybar else beta[place] end, 6) + 0.0 as coefficient from fit, {NAMES}"
+
+
 def weighted(spark: SparkSession, d: str) -> DataFrame:
     return m.hierarchical_weights(cohort(spark, d).where("role = 'development'"))
 
@@ -31,15 +43,15 @@ def weighted(spark: SparkSession, d: str) -> DataFrame:
 def _coefficients(spark: SparkSession, model: models.Ridge) -> DataFrame:
     n = len(model.columns)
     rows = [("intercept", "intercept", float(model.intercept))] + [(model.columns[i % n], "value" if i < n else "missing", float(c)) for i, c in enumerate(model.coefficients)]
-    return spark.createDataFrame(rows, "name string, kind string, coefficient double").withColumn("coefficient", F.round("coefficient", 8))
+    return spark.createDataFrame(rows, "name string, kind string, coefficient double").withColumn("coefficient", F.round("coefficient", 6) + 0.0)
 
 
-@R()
+@R(f"with recursive {C}, {fits_sql(DEV, {'all': mask_of(COLUMNS)})} select {BETAS}")
 def mdl_01_weighted_ridge(spark: SparkSession, d: str) -> DataFrame:
     return _coefficients(spark, models.ridge(models.prepare(weighted(spark, d), COLUMNS, "weight")))
 
 
-@R()
+@R(f"with recursive {C}, {fits_sql(DEV, BY_MODE)} select model as mode, {BETAS}")
 def mdl_02_feature_modes(spark: SparkSession, d: str) -> DataFrame:
     prep = models.prepare(weighted(spark, d), COLUMNS, "weight")
     out = None
@@ -49,11 +61,11 @@ def mdl_02_feature_modes(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
-@R()
+@R(f"with recursive {C}, {fits_sql(DEV, BY_COMBINATION)} select model as combination, len(list_filter(mask, lambda m: m = 1))::int // 2 as columns, round(list_sum(list_transform(beta, lambda v: abs(v))), 6) as absolute_sum, round(ybar, 6) as intercept from fit join ms using (model)")
 def mdl_03_shared_preparation(spark: SparkSession, d: str) -> DataFrame:
     """All combinations of families from one Gram matrix."""
     fits = models.fit_combinations(weighted(spark, d), FAM, "weight", power_set(list(FAM)))
-    return spark.createDataFrame([(c, len(f.columns), float(np.abs(f.coefficients).sum()), float(f.intercept)) for c, f in fits.items()], "combination string, columns int, absolute_sum double, intercept double")
+    return spark.createDataFrame([(c, len(f.columns), round(float(np.abs(f.coefficients).sum()), 6), round(float(f.intercept), 6)) for c, f in fits.items()], "combination string, columns int, absolute_sum double, intercept double")
 
 
 @R(f"with {C}, {FIXED_TERMS} select id, round(raw, 6) as raw, round(raw, 9) >= 0.5 as predicted from s")
@@ -70,6 +82,26 @@ def mdl_05_additive_replay(spark: SparkSession, d: str) -> DataFrame:
     return cohort(spark, d).select("id", F.explode(F.array(*part)).alias("e")).select("id", "e.kind", (F.round("e.total", 6) + 0.0).alias("total"))
 
 
+FAMILY_COLUMNS = {"S": S_NAMES, **{f: [n for n in DRP_NAMES if n[0].upper() == f] for f in "DRP"}, **{f: [n for n in FHSC_NAMES if n.startswith(f"{f}_")] for f in ("F", "H", "SC")}, "BC": BC_NAMES}
+_LISTS = "{" + ", ".join(f"'{f}': {c}" for f, c in FAMILY_COLUMNS.items()) + "}"
+
+
+@R(f"""with x as (select *, list_filter({list(FAMILY_COLUMNS)}, lambda f: list_contains(string_split_regex(upper(regexp_replace(coalesce(combination, ''), '\\s+', '', 'g')), '[^A-Z]+'), f)) as own, {_LISTS} as cols from native30_replay),
+  y as (select *, flatten(list_transform(own, lambda f: case f {' '.join(f"when '{f}' then cols.{f}" for f in FAMILY_COLUMNS)} end)) as want, map_keys(features) as keys from x),
+  z as (select load_id, list_filter([case when not coalesce(regexp_full_match(sha256, '[0-9a-f]{{64}}'), false) then 'receipt_digest' end, case when not coalesce(regexp_full_match(model_sha256, '[0-9a-f]{{64}}'), false) then 'model_digest' end, case when not coalesce(regexp_full_match(feature_file_sha256, '[0-9a-f]{{64}}'), false) then 'feature_file_digest' end,
+    case when len(own) = 0 or coalesce(array_to_string(own, '+') <> combination, true) then 'combination' end, case when not coalesce(feature_mode in ('values_plus_missing', 'median_only', 'missingness_only'), false) then 'mode' end, case when features is null then 'no_values' end,
+    case when features is not null and len(list_filter(keys, lambda n: not list_contains(want, n))) > 0 then 'foreign_column' end, case when features is not null and len(list_filter(want, lambda n: not list_contains(keys, n))) > 0 then 'missing_column' end,
+    case when features is not null and len(list_filter(map_values(features), lambda v: coalesce(isinf(v), false))) > 0 then 'infinite_value' end], lambda e: e is not null) as faults from y)
+  select load_id, coalesce(fault, 'sound') as fault, count(*) as rows from (select load_id, unnest(case when len(faults) = 0 then [null] else faults end) as fault from z) group by 1, 2""")
+def mdl_06_receipt_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Per load: sound rows of the archived receipts and those with each fault of digest, combination, mode or columns."""
+    digests = {"receipt_digest": F.col("sha256"), "model_digest": F.col("model_sha256"), "feature_file_digest": F.col("feature_file_sha256")}
+    f = models.receipt_faults(FAMILY_COLUMNS, F.col("combination"), families(F.col("combination")), F.col("feature_mode"), digests, F.col("features"))
+    x = table(spark, d, "native30_replay").select("load_id", f.alias("faults"))
+    one = F.explode(F.when(F.size("faults") == 0, F.array(F.lit("sound"))).otherwise(F.col("faults")))
+    return x.select("load_id", one.alias("fault")).groupBy("load_id", "fault").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @R()
 def mdl_07_platt(spark: SparkSession, d: str) -> DataFrame:
     w = weighted(spark, d)
@@ -83,7 +115,7 @@ def mdl_08_logistic(spark: SparkSession, d: str) -> DataFrame:
     return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(["intercept", *COLUMNS], beta)], "name string, coefficient double")
 
 
-@R()
+@R(f"with recursive {C}, {fits_sql(DEV.replace('label,', '2 * label - 1 as label,'), {'median': mask_of(COLUMNS, 'median_only')}, 1.0, False)} select {BETAS}")
 def mdl_09_unweighted_ridge(spark: SparkSession, d: str) -> DataFrame:
     """Targets of -1 and 1, no weights, threshold 0."""
     c = cohort(spark, d).where("role = 'development'").withColumns({"one": F.lit(1.0), "label": 2 * F.col("label") - 1})
@@ -103,14 +135,16 @@ def _predictions(spark: SparkSession, d: str) -> DataFrame:
     return models.score_models(cohort(spark, d), fits, ["id", "source_group", "group_id", "label", "role"])
 
 
-@R()
+@R(f"""with recursive {C}, {fits_sql(DEV, BY_COMBINATION)}, p as (select model as combination, label, {score_sql()} as score from c, fit where role = 'locked'), x as (select *, rank() over (partition by combination order by score) + (count(*) over (partition by combination, score) - 1) / 2.0::double as rk from p)
+  select combination, round(avg((score >= 0.5)::int) filter (label = 1), 6) as sensitivity, round(avg((score < 0.5)::int) filter (label = 0), 6) as specificity, round((avg((score >= 0.5)::int) filter (label = 1) + avg((score < 0.5)::int) filter (label = 0)) / 2, 6) as balanced_accuracy, round({AUC}, 6) as auc from x group by 1""")
 def mdl_11_all_combinations(spark: SparkSession, d: str) -> DataFrame:
     """Fit on development rows, metrics on locked ones, for every combination."""
     p = _predictions(spark, d).where("role = 'locked'").withColumn("score", F.col("raw"))
     return m.confusion(p, ["combination"]).join(m.auc(p, ["combination"]), "combination").select("combination", *[six(c, c) for c in ("sensitivity", "specificity", "balanced_accuracy", "auc")])
 
 
-@R()
+@R(f"""with recursive {C}, f as (select *, {FOLD} as fold from c), {fits_sql("select b.s, label, source_group, group_id, f1, f2, f3, f4, f5 from f, (select unnest(range(5))::int as s) b where role = 'development' and fold <> b.s", {k: BY_COMBINATION[k] for k in ('S', 'S+D+R')})}
+  select fold, model as combination, count(*) as rows, round(avg((({score_sql('f')} >= 0.5) = (label = 1))::int), 6) as accuracy from f join fit on fit.s = f.fold group by 1, 2""")
 def mdl_12_scheduled_tasks(spark: SparkSession, d: str) -> DataFrame:
     """One model per fold and combination; every row scored by the model of its own fold's schedule cell."""
     c = with_fold(cohort(spark, d))
@@ -122,7 +156,7 @@ def mdl_12_scheduled_tasks(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("fold", "combination").agg(F.count(F.lit(1)).alias("rows"), six(F.avg((F.col("predicted") == (F.col("label") == 1)).cast("double")), "accuracy"))
 
 
-@R()
+@R(f"select unnest({list(models.MODES)}) as mode, true as within_tolerance")
 def mdl_13_residual_audit(spark: SparkSession, d: str) -> DataFrame:
     prep = models.prepare(weighted(spark, d), COLUMNS, "weight")
     rows = [(mode, *models.normal_equation_residual(prep, models.ridge(prep, mode=mode))) for mode in models.MODES]
@@ -144,7 +178,8 @@ def mdl_15_locked_slices(spark: SparkSession, d: str) -> DataFrame:
     return c.groupBy("slice").agg(F.count(F.lit(1)).alias("rows"), F.when(F.count_distinct("label") < 2, "single_class").otherwise("ok").alias("status"), six(F.avg((F.col("p") == (F.col("label") == 1)).cast("double")), "accuracy"))
 
 
-@R()
+@R(f"""with recursive {C}, {fits_sql(DEV, BY_MODE)}, p as (select model as mode, label, source_group, group_id, (({score_sql()} >= 0.5) = (label = 1))::int as hit from c, fit where role = 'locked'), g as (select mode, label, source_group, group_id, avg(hit) v from p group by 1, 2, 3, 4), s1 as (select mode, label, source_group, avg(v) v from g group by 1, 2, 3), l1 as (select mode, label, avg(v) v from s1 group by 1, 2)
+  select mode, round(avg(v), 6) as macro_balanced_accuracy from l1 group by 1""")
 def mdl_16_missingness_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     prep = models.prepare(weighted(spark, d), COLUMNS, "weight")
     p = models.score_models(cohort(spark, d).where("role = 'locked'"), {mode: models.ridge(prep, mode=mode) for mode in models.MODES}, ["source_group", "group_id", "label"])
@@ -152,7 +187,8 @@ def mdl_16_missingness_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return m.nested_mean(p, right, [["combination", "label", "source_group", "group_id"], ["combination", "label", "source_group"], ["combination", "label"], ["combination"]], "r").select(F.col("combination").alias("mode"), six("r", "macro_balanced_accuracy"))
 
 
-@R()
+@R(f"""with recursive {C}, f as (select *, case when label = 1 then case when k % 2 = 0 then 'fam_a' else 'fam_b' end end as family from c), {fits_sql("select b.s, label, source_group, group_id, f1, f2, f3, f4, f5 from f, (select unnest(['fam_a', 'fam_b']) as s) b where role = 'development' and family is distinct from b.s", {'all': mask_of(COLUMNS)})}
+  select family, count(*) as rows, round(avg(({score_sql('f')} >= 0.5)::int), 6) as sensitivity from f join fit on fit.s = f.family where role = 'locked' group by 1""")
 def mdl_17_family_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     """Models without one family of generated rows, scored on that family."""
     c = cohort(spark, d).withColumn("family", F.when(F.col("label") == 1, F.when(F.col("k") % 2 == 0, "fam_a").otherwise("fam_b")))
@@ -164,7 +200,8 @@ def mdl_17_family_diagnostics(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("family").agg(F.count(F.lit(1)).alias("rows"), six(F.avg(F.col("predicted").cast("double")), "sensitivity"))
 
 
-@R()
+@R(f"""with recursive {C}, {fits_sql("select b.s, label, source_group, group_id, f1, f2, f3, f4, f5 from c, (select distinct source_group as s from c where label = 1) b where role = 'development' and (label = 0 or source_group = b.s)", {'all': mask_of(COLUMNS)})}
+  select fit.s as trained_on, source_group, round(avg(({score_sql()} >= 0.5)::int), 6) as sensitivity from c, fit where role = 'locked' and label = 1 group by 1, 2""")
 def mdl_18_cross_domain(spark: SparkSession, d: str) -> DataFrame:
     """Trained on one generated source, tested on each."""
     c = cohort(spark, d)
@@ -177,7 +214,8 @@ def mdl_18_cross_domain(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("trained_on", "source_group").agg(six(F.avg(F.col("predicted").cast("double")), "sensitivity"))
 
 
-@R()
+@R(f"""with recursive {C}, f as (select *, {FOLD} as fold from c), {fits_sql("select b.s, label, source_group, group_id, f1, f2, f3, f4, f5 from f, (select unnest([1, 3, 5]) as s) b where role = 'development' and fold < b.s", {k: BY_COMBINATION[k] for k in ('S', 'S+D+R')})}
+  select fit.s as buckets, model as combination, round(avg((({score_sql()} >= 0.5) = (label = 1))::int), 6) as accuracy from c, fit where role = 'locked' group by 1, 2""")
 def mdl_19_quantity_grid(spark: SparkSession, d: str) -> DataFrame:
     """Training on growing shares of the groups (by hash), accuracy on locked rows."""
     c = cohort(spark, d)
@@ -201,8 +239,6 @@ def mdl_20_refit_comparison(spark: SparkSession, d: str) -> DataFrame:
   select k as name, count(*) as pairs, count(*) filter ((lo is null and hi is null) or abs(hi - lo) <= 1e-9 + 1e-6 * abs(lo)) as close from m group by 1""")
 def mdl_21_feature_replay(spark: SparkSession, d: str) -> DataFrame:
     """Values of recordings measured more than once: equal within tolerance or both missing."""
-    from cadenza.session import table
-
     a = table(spark, d, "sample_reference_features").select("id", F.explode("features").alias("k", "v"))
     v = F.when(~F.isnan("v") & (F.abs("v") < F.lit(float("inf"))), F.col("v"))
     x = a.groupBy("id", "k").agg(F.min(v).alias("lo"), F.max(v).alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -220,7 +256,10 @@ def mdl_22_family_explanation(spark: SparkSession, d: str) -> DataFrame:
     return x.select("id", "family", (F.round("v", 6) + 0.0).alias("value_sum"), (F.round("m", 6) + 0.0).alias("missing_sum"), F.when(total > 0, "generated").when(total < 0, "human").otherwise("neutral").alias("direction"))
 
 
-REPLICATES = 200
+REPLICATES = 1000
+#: Rows of both arms, groups and their draws, and sums per replicate and a key, for DuckDB.
+ARMS = f"{C}, {FIXED_TERMS}, arms as (select s.source_group, s.label, s.group_id, ((round(s.raw, 9) >= 0.5) = (s.label = 1))::int as added, ((c.score >= 0.5) = (c.label = 1))::int as base from s join c using (id))"
+SUMS = ARMS + ", g as (select distinct group_id as key from arms), " + b.draws_sql(REPLICATES) + ", gs as (select group_id, {0}, count(*) n, sum(base) base, sum(added) added from arms group by all), reps as (select {0}, rep, (sum(added * k) - sum(base * k))::double / sum(n * k) as delta from gs join draws on draws.key = gs.group_id where k > 0 group by all)"
 
 
 def _arms(spark: SparkSession, d: str) -> DataFrame:
@@ -236,12 +275,12 @@ def _replicates(spark: SparkSession, d: str, by: list[str]) -> DataFrame:
     return b.replicate_sums(a, draws, "group_id", by, {"n": "n", "base": "base", "added": "added"}).withColumn("delta", ratio(F.col("added") - F.col("base"), F.col("n")))
 
 
-@R()
+@R(f"with {SUMS.format('source_group')} select source_group, {b.INTERVAL_SQL.format('delta')} from reps group by 1")
 def bst_01_paired_group_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return b.interval(_replicates(spark, d, ["source_group"]), ["source_group"], "delta")
 
 
-@R()
+@R(f"with {SUMS.format('label')} select label, {b.INTERVAL_SQL.format('delta')} from reps group by 1")
 def bst_02_intervals(spark: SparkSession, d: str) -> DataFrame:
     return b.interval(_replicates(spark, d, ["label"]), ["label"], "delta")
 
@@ -256,16 +295,17 @@ def bst_03_point_estimates(spark: SparkSession, d: str) -> DataFrame:
     return r.join(g, "source_group").select("source_group", six("r", "delta"), (F.abs(F.col("r") - F.col("g")) <= 1e-12).alias("agrees"))
 
 
-@R()
+@R(f"""with {ARMS}, a as (select label, source_group, avg(added - base) as delta from arms group by 1, 2), g as (select distinct source_group as key from a), {b.draws_sql(REPLICATES)}, x as (select label, rep, sum(k * delta) / nullif(sum(k), 0)::double as m from a join draws on draws.key = a.source_group group by 1, 2),
+  y as (select rep, case when count(m) = 2 then avg(m) end as delta from x group by 1) select {b.INTERVAL_SQL.format('delta')} from y""")
 def bst_04_crossed_sources(spark: SparkSession, d: str) -> DataFrame:
     """Human and generated sources drawn separately; a replicate's pairs weigh as the product, so its mean is the product of sums."""
     a = _arms(spark, d).groupBy("label", "source_group").agg(F.avg(F.col("added") - F.col("base")).alias("delta"))
     draws = b.multiplicities(a, "source_group", REPLICATES)
-    x = a.join(draws, "source_group").select("label", "delta", F.posexplode("draws").alias("rep", "k")).groupBy("label", "rep").agg(F.try_divide(F.sum(F.col("k") * F.col("delta")), F.sum("k").cast("double")).alias("m"))
+    x = a.join(draws, "source_group").select("label", "delta", F.posexplode_outer("draws").alias("rep", "k")).groupBy("label", "rep").agg(F.try_divide(F.sum(F.col("k") * F.col("delta")), F.sum("k").cast("double")).alias("m"))
     return b.interval(x.groupBy("rep").agg(F.when(F.count("m") == 2, F.avg("m")).alias("delta")), [], "delta")
 
 
-@R()
+@R(f"""with {SUMS.format('source_group, label')}, y as (select h.source_group as human_source, a.source_group as ai_source, (h.delta + a.delta) / 2 as delta from reps h join reps a using (rep) where h.label = 0 and a.label = 1) select human_source, ai_source, {b.INTERVAL_SQL.format('delta')} from y group by 1, 2""")
 def bst_05_pair_group_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     """Per pair of sources; a group in both classes is drawn once for both."""
     x = _replicates(spark, d, ["source_group", "label"])
@@ -274,7 +314,7 @@ def bst_05_pair_group_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     return b.interval(h.join(a, "rep").withColumn("delta", (F.col("dh") + F.col("da")) / 2), ["human_source", "ai_source"], "delta")
 
 
-@R()
+@R(f"""with {C}, r as (select id::varchar as key, label, ((score >= 0.5) = (label = 1))::int as hit from c where role = 'locked'), g as (select key from r), {b.draws_sql(REPLICATES)}, x as (select label, rep, sum(hit * k)::double / sum(k) as v from r join draws using (key) where k > 0 group by 1, 2), y as (select rep, avg(v) as ba from x group by 1) select {b.INTERVAL_SQL.format('ba')} from y""")
 def bst_06_stratified_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows drawn within classes: each row is its own group."""
     c = cohort(spark, d).where("role = 'locked'").select("id", "label", F.lit(1).alias("n"), ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int").alias("hit"))
@@ -287,7 +327,7 @@ def bst_07_cluster_statistics(spark: SparkSession, d: str) -> DataFrame:
     return b.cluster_statistics(cohort(spark, d), "source_group", "group_id", "f5", REPLICATES, 20260907)
 
 
-@R()
+@R(f"with {SUMS.format('source_group')}, y as (select rep, avg(delta) as macro from reps group by 1) select {b.INTERVAL_SQL.format('macro')} from y")
 def bst_08_held_source_macro(spark: SparkSession, d: str) -> DataFrame:
     """Macro over sources, each with draws given by its own identity."""
     x = _replicates(spark, d, ["source_group"]).groupBy("rep").agg(F.avg("delta").alias("macro"))

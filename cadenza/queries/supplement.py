@@ -358,3 +358,14 @@ def str_09_job_registry(spark: SparkSession, d: str) -> DataFrame:
     from cadenza.streaming.jobs import replay_jobs
 
     return replay_jobs(cohort(spark, d).select("user_id", "id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("at"), F.col("value").alias("seconds")), slots=2, ttl=3600.0)
+
+
+@R("""with r as (select id, source_group, min(recorded_at) as r, min(ingested_at) as i, bool_or(validation_status = 'verified') as ok from drive_sources where id is not null group by 1, 2), n as (select source_group, strftime(i, '%Y-%m-%d') as day, count(*) as ingested, count(*) filter (ok) as verified from r where i is not null group by 1, 2), t as (select source_group, count(*) as expected from r group by 1)
+  select source_group, day, expected, (sum(ingested) over w)::bigint as ingested, (sum(verified) over w)::bigint as verified, round(sum(ingested) over w / expected::double, 6) as share from n join t using (source_group) window w as (partition by source_group order by day rows unbounded preceding)""")
+def str_10_progress(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots of a staged materialisation at the end of each day: what of each source had come in and been verified. The window runs over days, not records."""
+    x = table(spark, d, "drive_sources").where("id is not null").groupBy("id", "source_group").agg(F.min("ingested_at").alias("i"), F.bool_or(F.col("validation_status") == "verified").alias("ok"))
+    n = x.where("i is not null").groupBy("source_group", F.date_format("i", "yyyy-MM-dd").alias("day")).agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("v"))
+    w = W.partitionBy("source_group").orderBy("day")
+    y = n.join(x.groupBy("source_group").agg(F.count(F.lit(1)).alias("expected")), "source_group").withColumns({"ingested": F.sum("n").over(w), "verified": F.sum("v").over(w)})
+    return y.select("source_group", "day", "expected", "ingested", "verified", six(F.col("ingested") / F.col("expected"), "share"))

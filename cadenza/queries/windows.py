@@ -153,6 +153,21 @@ def win_18_find_peaks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "embeddings").select("vec_id", peak_places(F.transform("embedding", lambda x: x.cast("double"))).alias("peaks"))
 
 
+TURN = ", ".join("round(avg(" + " + ".join(f"a.v[{(c - t) % 12 + 1}] * b.v[{c + 1}]" for c in range(12)) + f") over w, 9) as t{t}" for t in range(12))
+
+
+@R(f"""with {C}, {FR}, u as (select user_id, n, v as ok, list_transform(range(12), lambda i: 1.0::double + (k * (i + 3) + i * i) % 12) as r from fr), b as (select user_id, n, list_transform(r, lambda x: x / sqrt(list_sum(list_transform(r, lambda y: y * y)))) as v from u where ok),
+  p as (select a.user_id, l.lag, a.n, count(*) over w as m, {TURN} from b a, (select unnest(range(8, 13)) as lag) l, b where b.user_id = a.user_id and b.n = a.n + l.lag window w as (partition by a.user_id, l.lag order by a.n range between current row and 3 following))
+  select user_id, lag::int as lag, count(*) as patterns, round(quantile_cont(greatest({', '.join(f't{t}' for t in range(12))}), 0.9), 6) as peak, count(*) filter (greatest({', '.join(f't{t}' for t in range(12))}) >= 0.88) as returning from p where m = 4 group by 1, 2""")
+def win_19_lagged_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """How patterns of four frames return 8 to 12 frames later, in any turn of their twelve classes."""
+    raw = F.transform(F.sequence(F.lit(0), F.lit(11)), lambda i: 1.0 + (F.col("k") * (i + 3) + i * i) % 12)
+    f = frames(spark, d).select("user_id", "n", "v", raw.alias("r"))
+    f = f.withColumn("c", F.transform("r", lambda x: x / F.sqrt(F.aggregate("r", F.lit(0.0), lambda a, y: a + y * y))))
+    x = s.lagged_similarity(f, ["user_id"], "n", "c", F.col("v"), range(8, 13))
+    return x.groupBy("user_id", "lag").agg(F.count(F.lit(1)).alias("patterns"), six(F.percentile("similarity", F.lit(0.9)), "peak"), F.count_if(F.col("similarity") >= 0.88).alias("returning"))
+
+
 @R(f"with {C}, g as (select distinct source_group, group_id, {H.format('group_id')} as h from c), x as (select *, dense_rank() over (partition by source_group order by h, group_id) r from g) select c.source_group, count(*) as rows, count(distinct c.group_id) as groups from c join x using (source_group, group_id) where r <= 10 group by 1")
 def win_20_first_groups_by_hash(spark: SparkSession, d: str) -> DataFrame:
     c = cohort(spark, d)

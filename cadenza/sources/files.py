@@ -16,18 +16,22 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
-    """CSV (or TSV) with a header and a given schema; gzip by suffix. A row that doesn't fit the schema fails."""
-    return spark.read.schema(schema).option("header", True).option("sep", sep).option("mode", "FAILFAST").csv(path)
+#: Texts come back as they were: blanks at the ends are kept, quotes are doubled, an empty text is no null.
+EXACT = {"header": True, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "escape": '"', "emptyValue": "", "nullValue": "\\N"}
+
+
+def read_delimited(spark: SparkSession, path: str, schema: str, sep: str = ",", lines: bool = False) -> DataFrame:
+    """CSV (or TSV) with a header and a given schema; gzip by suffix; ``lines`` if fields hold line breaks (a file is then one task's). A row that doesn't fit the schema fails."""
+    return spark.read.schema(schema).options(**EXACT, sep=sep, multiLine=lines, mode="FAILFAST").csv(path)
 
 
 def write_delimited(df: DataFrame, path: str, sep: str = ",", compression: str | None = None) -> None:
-    """Never overwrites."""
-    df.write.mode("errorifexists").option("header", True).option("sep", sep).option("compression", compression or "none").csv(path)
+    """Never overwrites. Fields are quoted where they have to be."""
+    df.write.mode("errorifexists").options(**EXACT, sep=sep, compression=compression or "none").csv(path)
 
 
 def read_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -57,6 +61,54 @@ def strict_json(text: str):
     return json.loads(text, object_pairs_hook=pairs, parse_constant=constant)
 
 
+def strict_status(c: Column) -> Column:
+    """What a strict reading of a JSON text gives: ok, repeated key, constant (NaN, Infinity), broken, or null for null."""
+
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t):
+            if t is None:
+                return None
+            try:
+                strict_json(t)
+            except json.JSONDecodeError:
+                return "broken"
+            except RecursionError:
+                return "broken"
+            except ValueError as e:
+                return "repeated key" if "repeated" in str(e) else "constant"
+            return "ok"
+
+        return texts.map(one, na_action="ignore")
+
+    return F.pandas_udf(run, "string")(c)
+
+
+def canonical_digest(value: Column) -> Column:
+    """SHA-256 of the canonical JSON of a struct; null for null."""
+
+    def run(rows: pd.DataFrame) -> pd.Series:
+        plain = lambda v: v.item() if hasattr(v, "item") else v
+        return pd.Series([canonical_hash({k: plain(v) for k, v in r.items()}) for r in rows.to_dict("records")], dtype=object)
+
+    return F.pandas_udf(run, "string")(value)
+
+
+def publish(spark: SparkSession, path: str, data: bytes) -> bool:
+    """Puts a small file in place whole, on any file system of the session, and never over another: written aside, then renamed. False if the name is taken."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    to, aside = (jvm.org.apache.hadoop.fs.Path(x) for x in (path, f"{path}.{os.getpid()}.tmp"))
+    fs = to.getFileSystem(conf)
+    if fs.exists(to):
+        return False
+    out = fs.create(aside, True)
+    out.write(bytearray(data))
+    out.close()
+    if fs.exists(to) or not fs.rename(aside, to):
+        fs.delete(aside, False)
+        return False
+    return True
+
+
 def canonical_json(value, line_feed: bool = True) -> bytes:
     """Sorted keys, compact separators, UTF-8, finite numbers; with a line feed at the end or without (their hashes differ)."""
     return json.dumps(value, sort_keys=True, separators=(",", ":"), ensure_ascii=False, allow_nan=False).encode() + b"\n" * line_feed
@@ -123,14 +175,51 @@ def tar_members(files: DataFrame) -> DataFrame:
     return _expand(files, "name string, offset bigint, size bigint", lambda b: [(m.name, m.offset_data, m.size) for m in tarfile.open(fileobj=io.BytesIO(b)) if m.isreg()])
 
 
+def tar_contents(files: DataFrame) -> DataFrame:
+    """(path, name, content) of regular members of tar archives, packed or not."""
+    return _expand(files, "name string, content binary", lambda b: [(m.name, t.extractfile(m).read()) for t in [tarfile.open(fileobj=io.BytesIO(b))] for m in t if m.isreg()])
+
+
 def zip_members(files: DataFrame, most_bytes: int = 1 << 30) -> DataFrame:
-    """(path, name, size, safe, content): content only of safe members up to ``most_bytes``."""
+    """(path, name, size, status, content): every member; status ok, unsafe_name or too_large (above ``most_bytes``), content only where it is ok."""
 
     def rows(b: bytes) -> list:
         with zipfile.ZipFile(io.BytesIO(b)) as z:
-            return [(i.filename, i.file_size, ok := safe_member(i.filename) and i.file_size <= most_bytes, z.read(i) if ok else None) for i in z.infolist() if not i.is_dir()]
+            out = []
+            for i in z.infolist():
+                if not i.is_dir():
+                    status = "unsafe_name" if not safe_member(i.filename) else "too_large" if i.file_size > most_bytes else "ok"
+                    out.append((i.filename, i.file_size, status, z.read(i) if status == "ok" else None))
+            return out
 
-    return _expand(files, "name string, size bigint, safe boolean, content binary", rows)
+    return _expand(files, "name string, size bigint, status string, content binary", rows)
+
+
+def encode_wav(rate: int, x: np.ndarray) -> bytes:
+    """PCM WAV of 16 bits from samples (x channels) in [-1, 1); values outside are clipped."""
+    x = np.atleast_2d(np.asarray(x, float).T).T
+    out = io.BytesIO()
+    with wave.open(out, "wb") as w:
+        w.setnchannels(x.shape[1])
+        w.setsampwidth(2)
+        w.setframerate(rate)
+        w.writeframes(np.clip(np.rint(x * 32768), -32768, 32767).astype("<i2").tobytes())
+    return out.getvalue()
+
+
+def crop_wav(data: bytes, start: int, frames: int) -> tuple[int, np.ndarray]:
+    """(rate, mono samples without their mean) of exactly ``frames`` frames from ``start``; only they are read. Fails where the file ends before."""
+    with wave.open(io.BytesIO(data)) as w:
+        if start < 0 or start + frames > w.getnframes():
+            raise ValueError("the crop lies outside the file")
+        w.setpos(start)
+        raw, own = w.readframes(frames), io.BytesIO()
+        with wave.open(own, "wb") as o:
+            o.setparams(w.getparams())
+            o.writeframes(raw)
+    rate, x = decode_wav(own.getvalue())
+    mono = x.mean(axis=1)
+    return rate, mono - mono.mean()
 
 
 def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
@@ -149,12 +238,25 @@ def decode_wav(data: bytes) -> tuple[int, np.ndarray]:
 
 
 def read_wav(files: DataFrame) -> DataFrame:
-    """(path, rate, channels, frames, left array<double>, right array<double>); right is null for mono."""
+    """(path, status, rate, channels, frames, left array<double>, right array<double>): a row per file; right is null for mono.
+
+    status is ok, unsupported (no PCM WAV: other codecs need a decoder that isn't here) or broken.
+    """
     def rows(b: bytes) -> list:
-        rate, x = decode_wav(b)
-        return [(rate, x.shape[1], len(x), x[:, 0].tolist(), x[:, 1].tolist() if x.shape[1] > 1 else None)]
+        if b[:4] != b"RIFF":
+            return [("unsupported", None, None, None, None, None)]
+        try:
+            rate, x = decode_wav(b)
+        except (wave.Error, EOFError, ValueError):
+            return [("broken", None, None, None, None, None)]
+        return [("ok", rate, x.shape[1], len(x), x[:, 0].tolist(), x[:, 1].tolist() if x.shape[1] > 1 else None)]
+
+    return _expand(files, "status string, rate int, channels int, frames bigint, left array<double>, right array<double>", rows)
 
-    return _expand(files, "rate int, channels int, frames bigint, left array<double>, right array<double>", rows)
+
+def read_crops(files: DataFrame, start: int, frames: int) -> DataFrame:
+    """(path, rate, samples array<double>): the same stretch of each WAV file, see crop_wav."""
+    return _expand(files, "rate int, samples array<double>", lambda b: [(r, x.tolist()) for r, x in [crop_wav(b, start, frames)]])
 
 
 def read_npz(files: DataFrame) -> DataFrame:
@@ -236,17 +338,23 @@ def read_beats(spark: SparkSession, path: str, duration: float) -> DataFrame:
     return spark.read.schema("t double, n int").option("sep", "\t").csv(path).where(F.col("t") <= duration + 1e-6)
 
 
-def markdown(df: DataFrame, columns: Sequence[str], limit: int = 1000) -> str:
+def report(df: DataFrame, most: int = 1000) -> list:
+    """The rows of a small report; one of more than ``most`` rows fails instead of being cut."""
+    rows = df.take(most + 1)
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
+    return rows
+
+
+def markdown(df: DataFrame, columns: Sequence[str], most: int = 1000) -> str:
     """A small report as a Markdown table: six decimals, missing as 'unavailable'."""
     cell = lambda v: "unavailable" if v is None or isinstance(v, float) and math.isnan(v) else f"{v:.6f}" if isinstance(v, float) else str(v).replace("|", "\\|")
     lines = ["| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
-    return "\n".join([*lines, *("| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in df.select(*columns).limit(limit).collect())]) + "\n"
+    return "\n".join([*lines, *("| " + " | ".join(cell(r[c]) for c in columns) + " |" for r in report(df.select(*columns), most))]) + "\n"
 
 
-def latex(df: DataFrame, row: str, column: str, value: str, limit: int = 1000) -> str:
+def latex(df: DataFrame, row: str, column: str, value: str, most: int = 1000) -> str:
     """A small report as LaTeX lines, pivoted; two decimals, missing as a dash."""
-    p = df.groupBy(row).pivot(column).agg(F.first(value)).orderBy(row).limit(limit)
+    p = df.groupBy(row).pivot(column).agg(F.first(value)).orderBy(row)
     names = [c for c in p.columns if c != row]
-    return "\n".join(" & ".join([str(r[row]), *("--" if r[c] is None else f"{r[c]:.2f}" for c in names)]) + r" \\" for r in p.collect()) + "\n"
-
-
+    return "\n".join(" & ".join([str(r[row]), *("--" if r[c] is None else f"{r[c]:.2f}" for c in names)]) + r" \\" for r in report(p, most)) + "\n"

@@ -48,8 +48,9 @@ def test_archives(spark, tmp_path):
     got = files.tar_members(files.binary_files(spark, str(tmp_path), "*.tar")).collect()
     raw = (tmp_path / "a.tar").read_bytes()
     assert sorted(raw[r["offset"] : r["offset"] + r["size"]] for r in got) == [b"", b"12345"]
-    z = {r["name"]: (r["safe"], r["content"]) for r in files.zip_members(files.binary_files(spark, str(tmp_path), "*.zip")).collect()}
-    assert z["ok/a.txt"] == (True, bytearray(b"hi")) and z["../evil"] == (False, None)
+    z = {r["name"]: (r["status"], r["content"]) for r in files.zip_members(files.binary_files(spark, str(tmp_path), "*.zip")).collect()}
+    assert z["ok/a.txt"] == ("ok", bytearray(b"hi")) and z["../evil"] == ("unsafe_name", None)
+    assert {r["status"] for r in files.zip_members(files.binary_files(spark, str(tmp_path), "*.zip"), 1).collect()} == {"too_large", "unsafe_name"}
     have = files.inventory(files.binary_files(spark, str(tmp_path)))
     assert {r["status"] for r in files.verify_inventory(have, have).collect()} == {"ok"}
 
@@ -69,6 +70,26 @@ def test_wav(spark, tmp_path, width):
     assert np.abs(np.array(r["left"]) - x).max() < 2.1 / (1 << (8 * width - 1))
 
 
+def test_files_that_are_no_wav_have_a_status_and_crops_are_exact(spark):
+    x = np.stack([np.linspace(-0.5, 0.5, 100), np.full(100, 0.25)], 1)
+    good = files.encode_wav(8000, x)
+    f = spark.createDataFrame([("a", bytearray(good)), ("b", bytearray(b"fLaC....")), ("c", bytearray(b"RIFF....")), ("d", bytearray(b""))], "path string, content binary")
+    assert {r["path"]: r["status"] for r in files.read_wav(f).collect()} == {"a": "ok", "b": "unsupported", "c": "broken", "d": "unsupported"}
+    rate, v = files.crop_wav(good, 10, 30)
+    want = x[10:40].mean(1)
+    assert rate == 8000 and np.abs(v - (want - want.mean())).max() < 1e-4
+    for start, n in ((90, 11), (-1, 5)):
+        with pytest.raises(ValueError):
+            files.crop_wav(good, start, n)
+
+
+def test_strict_status_and_publishing(spark, tmp_path):
+    t = spark.createDataFrame([(1, '{"a": 1}'), (2, '{"a": 1, "a": 1}'), (3, "[-Infinity]"), (4, "{"), (5, None), (6, ""), (7, "[" * 5000)], "n int, t string")
+    assert [r[0] for r in t.orderBy("n").select(files.strict_status(t["t"])).collect()] == ["ok", "repeated key", "constant", "broken", None, "broken", "broken"]
+    assert files.publish(spark, p := str(tmp_path / "x"), b"1") and not files.publish(spark, p, b"2")
+    assert open(p, "rb").read() == b"1" and [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["x"]
+
+
 def test_npz_and_midi(spark, tmp_path):
     np.savez(tmp_path / "a.npz", g=np.arange(6).reshape(2, 3))
     r = files.read_npz(files.binary_files(spark, str(tmp_path), "*.npz")).first()
@@ -81,4 +102,6 @@ def test_npz_and_midi(spark, tmp_path):
 def test_reports(spark):
     df = spark.createDataFrame([("a", "x", 1.0), ("a", "y", None), ("b", "x", 2.5)], "r string, c string, v double")
     assert "| a | unavailable |" in files.markdown(df, ["r", "v"])
+    with pytest.raises(ValueError):
+        files.markdown(df, ["r"], most=2)
     assert files.latex(df, "r", "c", "v").splitlines() == [r"a & 1.00 & -- \\", r"b & 2.50 & -- \\"]
