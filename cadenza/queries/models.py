@@ -13,7 +13,7 @@ from cadenza.operators.metrics import ratio, six
 from cadenza.operators.relational import power_set
 from cadenza.queries._cohort import C, cohort
 from cadenza.queries._ridge import fits_sql, mask_of, score_sql
-from cadenza.queries.aggregates import AUC, FOLD, with_fold
+from cadenza.queries.aggregates import AUC, FOLD, WEIGHTS, with_fold
 from cadenza.queries.problems import BC_NAMES, DRP_NAMES, FHSC_NAMES, S_NAMES, families
 from cadenza.registry import Registry
 from cadenza.session import table
@@ -36,6 +36,10 @@ NAMES = "(select unnest(['f1', 'f2', 'f3', 'f4', 'f5', 'f1', 'f2', 'f3', 'f4', '
 BETAS = f"name, kind, round(case when place = 11 then ybar else beta[place] end, 6) + 0.0 as coefficient from fit, {NAMES}"
 
 
+#: Development rows with their weights, for DuckDB.
+DEV_ROWS = C.replace("from c0)", "from c0 where role = 'development')")
+
+
 def weighted(spark: SparkSession, d: str) -> DataFrame:
     return m.hierarchical_weights(cohort(spark, d).where("role = 'development'"))
 
@@ -102,17 +106,25 @@ def mdl_06_receipt_validation(spark: SparkSession, d: str) -> DataFrame:
     return x.select("load_id", one.alias("fault")).groupBy("load_id", "fault").agg(F.count(F.lit(1)).alias("rows"))
 
 
-@R()
+@R(f"""with recursive {DEV_ROWS}, {WEIGHTS}, m as (select sum(weight * score) / sum(weight) as centre, sum(weight * score * score) / sum(weight) as q, sum(weight) as mass from w), sp as (select centre, mass, case when sqrt(greatest(q - centre * centre, 0)) >= 1e-8 then sqrt(greatest(q - centre * centre, 0)) else 1 end as spread from m),
+  z as (select (score - centre) / spread as z, label as y, weight / mass as v from w, sp),
+  rec(step, a, b) as (select 0, 1.0::double, 0.0::double union all select step + 1, least(greatest(a - (s.hbb * s.ga - s.hab * s.gb) / (s.haa * s.hbb - s.hab * s.hab), 0), 10000), least(greatest(b - (s.haa * s.gb - s.hab * s.ga) / (s.haa * s.hbb - s.hab * s.hab), -50), 50)
+    from (select step, a, b, sum(v * (p - y) * z) + 1e-6 * a as ga, sum(v * (p - y)) as gb, sum(v * p * (1 - p) * z * z) + 1e-6 as haa, sum(v * p * (1 - p) * z) as hab, sum(v * p * (1 - p)) + 1e-12 as hbb from (select step, a, b, z, y, v, 1 / (1 + exp(-greatest(least(z * a + b, 40), -40))) as p from rec, z where step < 50) group by step, a, b) s)
+  select round(a, 6) as slope, round(b, 6) as intercept, round(centre, 6) as centre, round(spread, 6) as spread from rec, sp where step = 50""")
 def mdl_07_platt(spark: SparkSession, d: str) -> DataFrame:
     w = weighted(spark, d)
     a, c, centre, spread = models.platt(w, "score", "weight")
     return spark.createDataFrame([(round(a, 6), round(c, 6), round(centre, 6), round(spread, 6))], "slope double, intercept double, centre double, spread double")
 
 
-@R()
+@R(f"""with recursive {DEV_ROWS}, {WEIGHTS}, r as (select weight, label as y, [coalesce(f1, 0), coalesce(f2, 0), coalesce(f3, 0), coalesce(f4, 0), coalesce(f5, 0)] as x from w), m as (select [{', '.join(f'avg(x[{i}])' for i in range(1, 6))}] as mean, [{', '.join(f'case when stddev_pop(x[{i}]) > 1e-8 then stddev_pop(x[{i}]) else 1 end' for i in range(1, 6))}] as sd from r),
+  z as (select weight as v, y, [1.0::double, {', '.join(f'(x[{i}] - mean[{i}]) / sd[{i}]' for i in range(1, 6))}] as z from r, m),
+  rec(step, beta) as (select 0, [0.0::double, 0, 0, 0, 0, 0] union all select step + 1, list_transform(range(6), lambda j: case when j = step % 6 then beta[j + 1] + (g - pen * beta[j + 1]) / (h + pen) else beta[j + 1] end)
+    from (select step, beta, case when step % 6 = 0 then 0 else 1 end as pen, sum(v * (y - q) * z[step % 6 + 1]) as g, sum(v * q * (1 - q) * z[step % 6 + 1] * z[step % 6 + 1]) as h from (select step, beta, v, y, z, 1 / (1 + exp(-greatest(least(list_dot_product(z, beta), 40), -40))) as q from rec, z where step < 360) group by step, beta))
+  select unnest(['intercept', 'f1', 'f2', 'f3', 'f4', 'f5']) as name, unnest(list_transform(beta, lambda v: round(v, 6) + 0.0)) as coefficient from rec where step = 360""")
 def mdl_08_logistic(spark: SparkSession, d: str) -> DataFrame:
     _, _, beta = models.logistic(weighted(spark, d), COLUMNS, "weight")
-    return spark.createDataFrame([(n, round(float(v), 6)) for n, v in zip(["intercept", *COLUMNS], beta)], "name string, coefficient double")
+    return spark.createDataFrame([(n, round(float(v), 6) + 0.0) for n, v in zip(["intercept", *COLUMNS], beta)], "name string, coefficient double")
 
 
 @R(f"with recursive {C}, {fits_sql(DEV.replace('label,', '2 * label - 1 as label,'), {'median': mask_of(COLUMNS, 'median_only')}, 1.0, False)} select {BETAS}")

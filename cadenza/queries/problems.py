@@ -12,8 +12,8 @@ from cadenza.session import cut, table
 LISTS, WRAPPERS = ("segments", "beats", "samples", "differences", "limitations"), ("payload",)
 
 
-def _values(spark: SparkSession, d: str) -> DataFrame:
-    return nested.path_values(table(spark, d, "neural_records"), "record_id", "body", "received_at", ["record_kind"], LISTS, WRAPPERS)
+def _values(spark: SparkSession, d: str, *under: str) -> DataFrame:
+    return nested.path_values(table(spark, d, "neural_records"), "record_id", "body", "received_at", ["record_kind"], LISTS, WRAPPERS, under)
 
 
 def _table(v: DataFrame, group: str, columns: dict[str, str]) -> DataFrame:
@@ -24,46 +24,74 @@ def _child(v: DataFrame, group: str, columns: dict[str, str], parent: str, pos:
     return _table(v, group, columns).where("is_object").select("record_id", "record_kind", F.col("parent")[0].cast("int").alias(parent), F.col("pos").cast("int").alias(pos), *columns)
 
 
+def _number(*names: str):
+    return {c: F.expr(f"try_cast(`{c}` as double)") for c in names}
+
+
 BEAT, DIFFERENCE = "structure.segments[].beats[]", "samples[].differences[]"
+#: The columns that a table has even where no record does; what else is found is added.
+RECORD = [
+    "scope", "sample_id", "receipt_sha256", "historical_features_sha256", *[f"audio.{x}" for x in ("name", "duration", "sample_rate", "channels", "sha256")], *[f"audio_provenance.{x}" for x in ("status", "native_rate_hz", "approved_region_float64_sha256")],
+    *[f"audio_provenance.coordinates.{x}" for x in ("region_start_frame", "region_frames", "crop_frames")], *[f"audio_provenance.runtime.{x}" for x in ("python", "numpy")], *[f"audio_provenance.configuration.{x}" for x in ("version", "duration_s", "output_rate_hz", "channels", "crop_rule", "limiting")],
+    "structure.folds", *[f"product_sha256.{x}" for x in ("mix", "vocals", "drums", "bass")], *[f"provenance.{x}" for x in ("backend", "device", "elapsed_seconds")], *[f"quality.{x}" for x in "DSRP"],
+]
+SAMPLE = ["sample_id", "fresh_report_sha256", "new_deployment_score_on_fresh_cpu_features.raw_score", "new_deployment_score_on_fresh_cpu_features.decision", *[f"quality.{x}" for x in "DSRP"]]
+
+
+def column_name(path: str) -> str:
+    return path.replace(".", "__")
 
 
 def p1_records(spark: SparkSession, d: str) -> DataFrame:
-    columns = {"scope": "scope", "sample_id": "sample_id", "audio_name": "audio.name", "audio_sha256": "audio.sha256", "audio_duration": "audio.duration", "audio_sample_rate": "audio.sample_rate", "configuration_version": "audio_provenance.configuration.version", "region_sha256": "audio_provenance.approved_region_float64_sha256", "backend": "provenance.backend", "device": "provenance.device", "folds": "structure.folds", "historical_features_sha256": "historical_features_sha256"}
-    return _table(_values(spark, d), "", columns).select("record_id", "record_kind", *columns)
+    """A row per readable record with every scalar it holds outside lists; the measurements are in p1_features."""
+    v = cut(_values(spark, d).where(~F.col("path").startswith("features.")))
+    paths = dict.fromkeys([*RECORD, *nested.found_columns(v).get("", [])])
+    t = _table(v, "", {column_name(p): p for p in paths if p}).where("is_object")
+    return t.select("record_id", "record_kind", *[column_name(p) for p in paths if p])
+
+
+def p1_features(spark: SparkSession, d: str) -> DataFrame:
+    """The measurements of a record, a row each: their names are data."""
+    v = _values(spark, d, "features").where("path like 'features.%' and kind not in ('object', 'list', 'null')")
+    return v.select(F.col("id").alias("record_id"), F.expr("substr(path, 10)").alias("feature"), F.expr("try_cast(value as double)").alias("value"))
+
+
+def p1_lists(spark: SparkSession, d: str) -> DataFrame:
+    """Elements that are values themselves, of every list of the records (limitations, windows): list, position, value."""
+    v = _values(spark, d).where("path like '%[]' and kind not in ('object', 'list', 'null')")
+    return v.select(F.col("id").alias("record_id"), F.expr("left(path, length(path) - 2)").alias("list"), F.array_join(F.col("ordinals").cast("array<string>"), ".").alias("place"), "value")
 
 
 def p1_samples(spark: SparkSession, d: str) -> DataFrame:
-    columns = {"sample_id": "sample_id", "fresh_report_sha256": "fresh_report_sha256", "raw_score": "new_deployment_score_on_fresh_cpu_features.raw_score", "decision": "new_deployment_score_on_fresh_cpu_features.decision"}
-    return _table(_values(spark, d), "samples[]", columns).where("is_object").select("record_id", F.col("pos").cast("int").alias("sample_pos"), *columns)
+    v = cut(_values(spark, d, "samples").where(~F.col("path").startswith(DIFFERENCE)))
+    paths = dict.fromkeys([*SAMPLE, *nested.found_columns(v).get("samples[]", [])])
+    t = _table(v, "samples[]", {column_name(p): p for p in paths if p}).where("is_object")
+    return t.select("record_id", F.col("pos").cast("int").alias("sample_pos"), *[column_name(p) for p in paths if p])
 
 
 def p1_segments(spark: SparkSession, d: str) -> DataFrame:
-    columns = {"start": "start", "end": "end", "label": "label"}
-    t = _table(_values(spark, d), "structure.segments[]", columns).where("is_object")
-    return t.select("record_id", F.col("pos").cast("int").alias("segment_pos"), F.expr("try_cast(start as double)").alias("start"), F.expr("try_cast(`end` as double)").alias("end"), "label")
+    t = _table(_values(spark, d, "structure.segments"), "structure.segments[]", {x: x for x in ("start", "end", "label")}).where("is_object")
+    return t.select("record_id", F.col("pos").cast("int").alias("segment_pos"), "start", "end", "label").withColumns(_number("start", "end"))
 
 
 def p1_beats(spark: SparkSession, d: str) -> DataFrame:
-    t = _child(_values(spark, d), BEAT, {"time": "time", "number": "number"}, "segment_pos", "beat_pos")
-    return t.withColumns({"time": F.expr("try_cast(time as double)"), "number": F.expr("try_cast(number as int)")}).drop("record_kind")
+    t = _child(_values(spark, d, BEAT), BEAT, {"time": "time", "number": "number"}, "segment_pos", "beat_pos")
+    return t.withColumns(_number("time", "number")).drop("record_kind")
 
 
 def p1_differences(spark: SparkSession, d: str) -> DataFrame:
-    t = _child(_values(spark, d), DIFFERENCE, {x: x for x in ("feature", "archived", "fresh_cpu", "absolute_difference", "missingness_same")}, "sample_pos", "difference_pos")
-    return t.withColumns({c: F.expr(f"try_cast({c} as double)") for c in ("archived", "fresh_cpu", "absolute_difference")}).drop("record_kind")
+    t = _child(_values(spark, d, DIFFERENCE), DIFFERENCE, {x: x for x in ("feature", "archived", "fresh_cpu", "absolute_difference", "missingness_same")}, "sample_pos", "difference_pos")
+    return t.withColumns(_number("archived", "fresh_cpu", "absolute_difference")).drop("record_kind")
 
 
 def p1_quality(spark: SparkSession, d: str) -> DataFrame:
     """Quality entries of records (sample_pos null) and of the samples of comparisons."""
-    v = cut(_values(spark, d))
-    q = {"D": "quality.D", "S": "quality.S", "R": "quality.R", "P": "quality.P"}
-    both = _table(v, "", q).unionByName(_table(v, "samples[]", q))
-    return both.select("record_id", F.col("pos").cast("int").alias("sample_pos"), F.explode(F.create_map(*[x for k in q for x in (F.lit(k), F.col(k))])).alias("family", "quality")).where("quality is not null")
+    v = _values(spark, d, "quality", "samples[].quality").where("path like 'quality.%' or path like 'samples[].quality.%'").where("kind not in ('object', 'list', 'null')")
+    return v.select(F.col("id").alias("record_id"), F.try_element_at("ordinals", F.lit(1)).alias("sample_pos"), F.substring_index("path", ".", -1).alias("family"), F.col("value").alias("quality"))
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
-    v = _values(spark, d).where(F.col("path").startswith("structure.segments[].beats[]") | F.col("path").startswith("samples[].differences[]"))
-    v = cut(v)
+    v = cut(_values(spark, d, BEAT, DIFFERENCE).where(f"path in ('{BEAT}', '{DIFFERENCE}')"))
     one = lambda group, child, kind: _child(v, group, {}, "parent_pos", "child_pos").where(F.col("record_kind").startswith(kind)).select("record_id", F.lit(child).alias("child"), "parent_pos", "child_pos")
     return one(BEAT, "beat", "real_sample").unionAll(one(DIFFERENCE, "difference", "historical_comparison"))
 
@@ -133,14 +161,43 @@ def _listed(x: str) -> str:
 def _children(name: str, records: str, outer: str, inner: str, child: str) -> str:
     return f"""{name}1 as (select record_id, {_decoded(outer)} as o from {records}), {name}2 as (select record_id, {_listed('o')} as o from {name}1), {name}3 as (select record_id, o, unnest(range(json_array_length(o)::bigint)) as pp from {name}2 where o is not null),
     {name}4 as (select record_id, pp, {_decoded('(o -> pp)')} as el from {name}3), {name}5 as (select record_id, pp, {_decoded(f"(el -> '{inner}')")} as i from {name}4 where json_type(el) = 'OBJECT'), {name}6 as (select record_id, pp, {_listed('i')} as i from {name}5),
-    {name}7 as (select record_id, pp, i, unnest(range(json_array_length(i)::bigint)) as cp from {name}6 where i is not null), {name} as (select record_id, '{child}' as child, pp::int as parent_pos, cp::int as child_pos from {name}7 where json_type({_decoded('(i -> cp)')}) = 'OBJECT')"""
+    {name}7 as (select record_id, pp, i, unnest(range(json_array_length(i)::bigint)) as cp from {name}6 where i is not null), {name}8 as (select record_id, '{child}' as child, pp::int as parent_pos, cp::int as child_pos, {_decoded('(i -> cp)')} as c from {name}7), {name} as (select * from {name}8 where json_type(c) = 'OBJECT')"""
+
+
+#: One readable delivery of each record, the last, without its wrapper.
+_B3 = f"""b0 as (select record_id, record_kind, received_at, body, try_cast(ltrim(body, chr(65279)) as json) as v from neural_records where record_id is not null), b1 as (select * replace ({_decoded('v')} as v) from b0), b2 as (select * replace ({_decoded('v')} as v) from b1 where v is not null),
+  bn as (select *, row_number() over (partition by record_id order by received_at desc nulls last, body desc) as rn from b2 where json_type(v) = 'OBJECT'), b3 as (select record_id, record_kind, v as whole, case when json_type(v -> 'payload') = 'OBJECT' then v -> 'payload' else v end as v from bn where rn = 1)"""
+_P1 = f"""with {_B3}, st as (select record_id, record_kind, {_decoded("(v -> 'structure')")} as s from b3), hc as (select record_id, record_kind, v from b3),
+  {_children('bt', 'st', "(s -> 'segments')", 'beats', 'beat')}, {_children('df', 'hc', "(v -> 'samples')", 'differences', 'difference')}"""
+
+
+def _at(record: str, path: str) -> str:
+    """The text of the scalar at a path of objects, each of which may be encoded again; null for objects, lists and null."""
+    x, parts = record, path.split(".")
+    for part in parts[:-1]:
+        x = _decoded(f"({x} -> '{part}')")
+    x = f"({x} -> '{parts[-1]}')"
+    return f"case when json_type({x}) not in ('OBJECT', 'ARRAY', 'NULL') and coalesce(json_type({_decoded(x)}), '') not in ('OBJECT', 'ARRAY') then {x} ->> '$' end"
+
+
+def _fields(record: str, *paths: str) -> str:
+    return ", ".join(f'{_at(record, p)} as "{column_name(p)}"' for p in paths)
+
+
+def _numbers(record: str, *paths: str) -> str:
+    return ", ".join(f'try_cast({_at(record, p)} as double) as "{column_name(p)}"' for p in paths)
 
 
-_P1 = f"""with b0 as (select distinct record_id, record_kind, try_cast(ltrim(body, chr(65279)) as json) as v from neural_records where record_id is not null), b1 as (select record_id, record_kind, {_decoded('v')} as v from b0), b2 as (select record_id, record_kind, {_decoded('v')} as v from b1),
-  b3 as (select record_id, record_kind, case when json_type(v -> 'payload') = 'OBJECT' then v -> 'payload' else v end as v from b2 where json_type(v) = 'OBJECT'),
-  st as (select record_id, {_decoded("(v -> 'structure')")} as s from b3 where record_kind like 'real_sample%'), hc as (select record_id, v from b3 where record_kind like 'historical_comparison%'),
-  {_children('bt', 'st', "(s -> 'segments')", 'beats', 'beat')}, {_children('df', 'hc', "(v -> 'samples')", 'differences', 'difference')}
-  select distinct * from bt union all select distinct * from df"""
+_P1_SQL = {
+    "p1_found": f"{_P1} select record_id, child, parent_pos, child_pos from bt join b3 using (record_id) where record_kind like 'real_sample%' union all select record_id, child, parent_pos, child_pos from df join b3 using (record_id) where record_kind like 'historical_comparison%'",
+    "p1_records": f"with {_B3} select record_id, record_kind, {_fields('v', *[p for p in RECORD if p != 'receipt_sha256'])}, {_fields('whole', 'receipt_sha256')} from b3",
+    "p1_beats": f"{_P1} select record_id, parent_pos as segment_pos, child_pos as beat_pos, {_numbers('c', 'time', 'number')} from bt",
+    "p1_differences": f"{_P1} select record_id, parent_pos as sample_pos, child_pos as difference_pos, {_fields('c', 'feature', 'missingness_same')}, {_numbers('c', 'archived', 'fresh_cpu', 'absolute_difference')} from df",
+    "p1_segments": f"{_P1} select record_id, pp::int as segment_pos, {_numbers('el', 'start', 'end')}, {_fields('el', 'label')} from bt4 where json_type(el) = 'OBJECT'",
+    "p1_samples": f"{_P1} select record_id, pp::int as sample_pos, {_fields('el', *SAMPLE)} from df4 where json_type(el) = 'OBJECT'",
+    "p1_quality": f"{_P1}, q as (select record_id, null::int as sample_pos, {_fields('v', 'quality.D', 'quality.S', 'quality.R', 'quality.P')} from b3 union all select record_id, pp::int, {_fields('el', 'quality.D', 'quality.S', 'quality.R', 'quality.P')} from df4 where json_type(el) = 'OBJECT') select * from (select record_id, sample_pos, unnest(['D', 'S', 'R', 'P']) as family, unnest([quality__D, quality__S, quality__R, quality__P]) as quality from q) where quality is not null",
+    "p1_features": f"with {_B3}, f as (select record_id, {_decoded("(v -> 'features')")} as f from b3), k as (select record_id, f, unnest(json_keys(f)) as feature from f where json_type(f) = 'OBJECT'), x as (select record_id, feature, {_decoded("json_extract(f, '$.\"' || feature || '\"')")} as v from k) select record_id, feature, try_cast(v ->> '$' as double) as value from x where json_type(v) not in ('NULL', 'OBJECT', 'ARRAY')",
+}
 
 _FORMS = {"native30_replay": {"id": ID_FORM, "sha256": SHA_FORM, "feature_file_sha256": SHA_FORM}, "sample_reference_features": {"id": ID_FORM, "feature_file_sha256": SHA_FORM}}
 
@@ -171,4 +228,4 @@ _ROUNDED = "table_name, load_id, column_name, rows, missing, distinct_values, vi
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": _P1, "p5_profile": f"select {_ROUNDED} from ({_profile_sql('native30_replay')} union all {_profile_sql('sample_reference_features')})"}
+    return {**_P1_SQL, "p5_profile": f"select {_ROUNDED} from ({_profile_sql('native30_replay')} union all {_profile_sql('sample_reference_features')})"}

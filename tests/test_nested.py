@@ -66,6 +66,49 @@ def test_agrees_with_the_standard_parser():
         assert nested.triples(json.dumps(v)) == list(walk(v))
 
 
+def by_tokens(text, **kw):
+    out = []
+    nested._read(text.lstrip("﻿"), "", (), kw.get("lists", ()), kw.get("wrappers", ()), 8, out)
+    return [x for x in out if x is not None]
+
+
+def test_both_readers_agree_on_encoded_wrapped_and_lone_values():
+    import random
+
+    rng = random.Random(7)
+
+    def value(d):
+        k = rng.random()
+        if d and k < 0.35:
+            v = {rng.choice(["s", "t", "payload", "a"]): value(d - 1) for _ in range(rng.randint(0, 3))}
+        elif d and k < 0.6:
+            v = [value(d - 1) for _ in range(rng.randint(0, 3))]
+        else:
+            return rng.choice([None, False, 12, 1.50, "x", '"q"', "{", "[1, 2", '{"s": {"y": 1}}', '" [3] "', "1", ""])
+        for _ in range(rng.choice([0, 0, 0, 1, 2])):
+            v = json.dumps(v)
+        return v
+
+    for _ in range(400):
+        text = json.dumps({"payload": value(4), "s": value(3)} if rng.random() < 0.5 else value(4))
+        assert nested.triples(text, ("s", "t"), ("payload",)) == by_tokens(text, lists=("s", "t"), wrappers=("payload",))
+    deep = "[" * 4_000 + "]" * 4_000
+    assert len(nested.triples(deep)) == 4_000
+
+
+def test_only_what_lies_under_the_paths_asked_for():
+    text = '{"a": {"b": [{"c": 1, "d": 2}], "e": 3}, "ab": 4}'
+    assert [p for p, *_ in nested.triples(text, under=("a.b[].c",))] == ["", "a", "a.b", "a.b[]", "a.b[].c"]
+
+
+def test_columns_are_found_by_group(spark):
+    df = spark.createDataFrame([(1, '{"n": 1, "m": {"x": null}, "segs": [{"t": 1}, {"u": {"v": 2}}], "tags": ["a"]}', 1)], "rid bigint, body string, at int")
+    v = nested.path_values(df, "rid", "body", "at")
+    assert nested.found_columns(v) == {"": ["n"], "segs[]": ["t", "u.v"], "tags[]": [""]}
+    with pytest.raises(ValueError):
+        nested.found_columns(v, 2)
+
+
 def test_tables_keep_parents_and_one_delivery(spark):
     rows = [
         (1, "k", '{"n": 1, "segs": [{"beats": [{"t": 1}, null, {"t": "2"}]}, null, {"beats": {"t": 9}}]}', 1), (1, "k", '{"n": 1', 2), (1, "k", '{"n": 1, "segs": [{"beats": [{"t": 1}, null, {"t": "2"}]}, null, {"beats": {"t": 9}}]}', 3),
