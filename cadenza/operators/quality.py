@@ -197,6 +197,24 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.05, rounds: int = 6)
     return w
 
 
+#: Bins of a score's parts: BINS equal steps of asinh(x / FINE), the middle one around 0; fine where columns add little, and bounded.
+BINS, FINE, STEP = 63, 0.02, 0.19
+
+
+def _bin(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(np.arcsinh(x / FINE) / STEP + BINS / 2), 0, BINS - 1).astype(np.int64)
+
+
+def rank_test(ones: np.ndarray, zeros: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(area under the curve, standard errors above chance) per row of two arrays of counts by rising bin: Mann-Whitney with half credit for, and correction of, ties."""
+    n1, n0 = ones.sum(1), zeros.sum(1)
+    n, both = n1 + n0, ones + zeros
+    with np.errstate(invalid="ignore", divide="ignore"):
+        area = (ones * (np.cumsum(zeros, 1) - zeros / 2)).sum(1) / (n1 * n0)
+        var = ((n + 1) - (both**3 - both).sum(1) / (n * (n - 1))) / (12 * n1 * n0)
+        return area, np.where(var > 0, (area - 0.5) / np.sqrt(np.maximum(var, 1e-300)), 0.0)
+
+
 def two_sample(df: DataFrame, spec: Spec, stats: DataFrame, scale: Mapping[str, tuple[float, float]], sample: int = 500, reference: int = 2000, seed: str = "two-sample") -> DataFrame:
     """How well a classifier tells each load's rows from the others', and how much of that each column carries.
 
@@ -205,41 +223,39 @@ def two_sample(df: DataFrame, spec: Spec, stats: DataFrame, scale: Mapping[str,
     taken by hash, evenly over all rows). Every row of the table is then scored by the model of the fold it is not in: as a
     row of its load, and as one of the others' for another load given by its hash. auc is the discrimination of the whole
     score, auc_without that of the score without the column's block (ablation), auc_alone that of the block alone, each from
-    the two classes' means and variances over all rows; shift is the block's difference in standard errors.
-    ``stats``: the profile. Loads of fewer than 20 rows are compared as they are; a single load gives no rows.
+    the ranks of all rows' scores in BINS bins; shift is the block's rank test in standard errors. A task holds counts of
+    up to 256 loads at a time. ``stats``: the profile. Loads of fewer than 20 rows are compared as they are; a single load gives no rows.
     """
     spark = df.sparkSession
     h = F.xxhash64(F.lit(seed), *[F.col(c).cast("string") for c in spec.texts], F.col(spec.load), *([F.map_entries(spec.values)] if spec.values else []))
     cols = [F.col(spec.load).alias("load_id"), h.alias("h"), *([F.col(spec.values).alias("values")] if spec.values else []), *([spec.expected.alias("expected")] if spec.expected is not None and spec.values else []), *[F.col(c).cast("string").alias(f"t_{j}") for j, c in enumerate(spec.texts)]]
     rows = df.select(*cols).where("load_id is not null")
+    kind = dict(rows.dtypes)["load_id"]
     size = {r["load_id"]: r["n"] for r in df.groupBy(F.col(spec.load).alias("load_id")).agg(F.count(F.lit(1)).alias("n")).collect() if r["load_id"] is not None}  # a number per load
     loads = sorted(size)
     if len(loads) < 2:
-        return spark.createDataFrame([], "load_id int, column_name string, auc double, auc_without double, auc_alone double, shift double")
+        return spark.createDataFrame([], f"load_id {kind}, column_name string, auc double, auc_without double, auc_alone double, shift double")
     place = {n: j for j, n in enumerate(spec.names)}
     heavy: dict = {}
     for r in stats.where(F.size("heavy") > 0).select("load_id", "column_name", "heavy").collect():  # at most 1 / HEAVY numbers per load and column
         if r["column_name"] in place:
             heavy.setdefault(r["load_id"], {})[place[r["column_name"]]] = np.array(r["heavy"])
     enc = _Encoder(spec, scale, heavy)
+    share = spark.createDataFrame([(k, min(1.0, sample / size[k])) for k in loads], f"load_id {kind}, share double")
     unit = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
-    share = F.create_map(*[x for k in loads for x in (F.lit(k), F.lit(min(1.0, sample / size[k])))]) if len(loads) <= 2000 else None
-    total = sum(size.values())
-    own = rows.where(unit < (F.try_element_at(share, F.col("load_id")) if share is not None else F.lit(min(1.0, sample * len(loads) / total))))
     other = F.pmod(F.shiftright("h", 20), F.lit(1 << 20)) / float(1 << 20)
-    ref = rows.where(other < min(1.0, reference / total))
-    kind = dict(rows.dtypes)["load_id"]
+    drawn = rows.join(share, "load_id").withColumns({"own": unit < F.col("share"), "ref": other < min(1.0, reference / sum(size.values()))}).drop("share").where("own or ref")
     width = len(enc.block)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 x = enc(b)
-                yield pa.RecordBatch.from_arrays([b.column("load_id"), b.column("h"), pa.array(list(x), pa.list_(pa.float32()))], names=["load_id", "h", "x"])
+                yield pa.RecordBatch.from_arrays([b.column("load_id"), b.column("h"), b.column("own"), b.column("ref"), pa.array(list(x), pa.list_(pa.float32()))], names=["load_id", "h", "own", "ref", "x"])
 
-    encoded = f"load_id {kind}, h bigint, x array<float>"
-    r = ref.mapInArrow(encode, encoded).toPandas()  # about ``reference`` rows
-    ref_load, ref_x, ref_fold = r["load_id"].to_numpy(), np.stack(r["x"].to_list()).astype(np.float32), (r["h"].to_numpy() >> 42) & 1
+    drawn = cut(drawn.mapInArrow(encode, f"load_id {kind}, h bigint, own boolean, ref boolean, x array<float>"))
+    r = drawn.where("ref").select("load_id", "h", "x").toPandas()  # about ``reference`` rows
+    ref_load, ref_x, ref_fold = r["load_id"].to_numpy(), np.array(r["x"].to_list(), np.float32).reshape(len(r), width), (r["h"].to_numpy() >> 42) & 1
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         x, fold = np.stack(pdf["x"].to_list()).astype(np.float32), (pdf["h"].to_numpy() >> 42) & 1
@@ -250,47 +266,59 @@ def two_sample(df: DataFrame, spec: Spec, stats: DataFrame, scale: Mapping[str,
             w.append(logistic(np.vstack([a, b]), np.arange(len(a) + len(b)) < len(a)).tolist() if len(a) and len(b) else [0.0] * (width + 1))
         return pd.DataFrame({"load_id": pdf["load_id"].iloc[:1], "w0": w[:1], "w1": w[1:]})
 
-    models = own.mapInArrow(encode, encoded).groupBy("load_id").applyInPandas(fit, f"load_id {kind}, w0 array<float>, w1 array<float>").collect()  # two models per load
+    models = drawn.where("own").select("load_id", "h", "x").groupBy("load_id").applyInPandas(fit, f"load_id {kind}, w0 array<float>, w1 array<float>").collect()  # two models per load
     at = {m["load_id"]: i for i, m in enumerate(models)}
     known = [m["load_id"] for m in models]
-    weights = spark.sparkContext.broadcast(np.array([[m["w0"], m["w1"]] for m in models], np.float32))
+    if len(known) < 2:
+        return spark.createDataFrame([], f"load_id {kind}, column_name string, auc double, auc_without double, auc_alone double, shift double")
+    weights = spark.sparkContext.broadcast(np.array([[m["w0"], m["w1"]] for m in models], np.float32))  # loads x columns, as many as the result has rows
     first = np.searchsorted(enc.block, np.arange(len(enc.columns)))
+    m = len(enc.columns) + 1
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = weights.value
-        sums = np.zeros((len(w), 2, len(enc.columns) + 1, 5))  # per load, class and column: rows, block, block squared, rest, rest squared
+        held: dict[int, np.ndarray] = {}  # per load: counts by class, part (block or rest), column and bin
+
+        def emit() -> pa.RecordBatch:
+            i = np.array(list(held), np.int32)
+            n = np.stack(list(held.values()))
+            a, b, c, d, e = np.nonzero(n)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in ((i[a], pa.int32()), (b, pa.int32()), (c, pa.int32()), (d, pa.int32()), (e, pa.int32()), (n[a, b, c, d, e], pa.int64()))], names=["i", "cls", "part", "c", "bin", "n"])
+
         for b in batches:
             if not b.num_rows:
                 continue
             x, hh = enc(b), np.asarray(b.column("h"))
             mine = np.array([at.get(k, -1) for k in b.column("load_id").to_pylist()])
-            theirs = (mine + 1 + ((hh >> 43) & 0xFFFF) % (len(w) - 1)) % len(w)
+            theirs = np.where(mine < 0, hh & 0x7FFFFFFF, mine + 1 + ((hh >> 43) & 0xFFFF) % (len(w) - 1)) % len(w)
             fold = (hh >> 42) & 1
             for cls, who in ((1, mine), (0, theirs)):
-                part = np.add.reduceat(x * w[who, fold, :-1], first, axis=1).astype(float)
-                full = part.sum(1, keepdims=True) + w[who, fold, -1:]
-                block, rest = np.hstack([part, full]), np.hstack([full - part, full])
-                order = np.argsort(who, kind="stable")
-                cut_at = np.flatnonzero(np.diff(who[order], prepend=-2))
-                ids = who[order][cut_at]
-                for q, v in enumerate((np.ones_like(block), block, block**2, rest, rest**2)):
-                    sums[ids, cls, :, q] += np.add.reduceat(v[order], cut_at, axis=0)
-        i, cls, c = np.nonzero(sums[..., 0])
-        yield pa.RecordBatch.from_arrays([pa.array(i, pa.int32()), pa.array(cls, pa.int32()), pa.array(c, pa.int32()), *[pa.array(sums[i, cls, c, q]) for q in range(5)]], names=["i", "cls", "c", "n", "b", "bb", "r", "rr"])
-
-    got = rows.mapInArrow(score, "i int, cls int, c int, n double, b double, bb double, r double, rr double").groupBy("i", "cls", "c").agg(*[F.sum(k).alias(k) for k in ("n", "b", "bb", "r", "rr")])
-    one = lambda k: got.where(f"cls = {k}").select("i", "c", *[F.col(x).alias(f"{x}{k}") for x in ("n", "b", "bb", "r", "rr")])
-    x = one(1).join(one(0), ["i", "c"])
-    mean = lambda v, k: F.col(f"{v}{k}") / F.col(f"n{k}")
-    var = lambda v, k: F.greatest(F.col(f"{v}{v}{k}") / F.col(f"n{k}") - mean(v, k) * mean(v, k), F.lit(0.0))
-    gap = lambda v: (mean(v, 1) - mean(v, 0)) / F.sqrt(var(v, 1) + var(v, 0) + 1e-9)
-    # The normal distribution's integral by its logistic approximation.
-    auc = lambda d: 1 / (1 + F.exp(-1.5976 * d - 0.07056 * d * d * d))
-    x = x.select("i", "c", auc(gap("b")).alias("auc_alone"), auc(gap("r")).alias("auc_without"), ((mean("b", 1) - mean("b", 0)) / F.sqrt(var("b", 1) / F.col("n1") + var("b", 0) / F.col("n0") + 1e-12)).alias("shift"))
-    whole = x.where(F.col("c") == len(enc.columns)).select("i", F.col("auc_alone").alias("auc"))
+                rows_ = np.flatnonzero(who >= 0)
+                part = np.add.reduceat(x[rows_] * w[who[rows_], fold[rows_], :-1], first, axis=1)
+                full = part.sum(1, keepdims=True) + w[who[rows_], fold[rows_], -1:]
+                places = np.stack([_bin(np.hstack([part, full])), _bin(np.hstack([full - part, full]))], 1) + (np.arange(2 * m) * BINS).reshape(2, m)
+                for one in np.unique(who[rows_]):
+                    own = places[who[rows_] == one].ravel()
+                    held.setdefault(int(one), np.zeros((2, 2, m, BINS), np.int64))[cls] += np.bincount(own, minlength=2 * m * BINS).reshape(2, m, BINS)
+            if len(held) > 256:
+                yield emit()
+        if held:
+            yield emit()
+
+    counts = rows.mapInArrow(score, "i int, cls int, part int, c int, bin int, n bigint").groupBy("i", "c", "part", "cls", "bin").agg(F.sum("n").alias("n"))
+
+    def judge(pdf: pd.DataFrame) -> pd.DataFrame:
+        """All columns of a load: its counts are bounded by columns and bins."""
+        n = np.zeros((2, 2, m, BINS))
+        n[pdf["cls"], pdf["part"], pdf["c"], pdf["bin"]] = pdf["n"]
+        alone, z = rank_test(n[1, 0], n[0, 0])
+        without, _ = rank_test(n[1, 1], n[0, 1])
+        return pd.DataFrame({"i": pdf["i"].iloc[0], "column_name": enc.columns, "auc": alone[-1], "auc_without": without[:-1], "auc_alone": alone[:-1], "shift": z[:-1]})
+
+    x = counts.groupBy("i").applyInPandas(judge, "i int, column_name string, auc double, auc_without double, auc_alone double, shift double")
     ids = spark.createDataFrame([(i, k) for i, k in enumerate(known)], f"i int, load_id {kind}")
-    labels = spark.createDataFrame(list(enumerate(enc.columns)), "c int, column_name string")
-    return x.join(F.broadcast(labels), "c").join(whole, "i").join(F.broadcast(ids), "i").select("load_id", "column_name", "auc", "auc_without", "auc_alone", "shift")
+    return x.join(ids, "i").select("load_id", "column_name", "auc", "auc_without", "auc_alone", "shift")
 
 
 def departures(stats: DataFrame, sigmas: float = 8.0) -> DataFrame:
@@ -343,16 +371,19 @@ def departures(stats: DataFrame, sigmas: float = 8.0) -> DataFrame:
     return stats.where("load_id is not null").drop("heavy").groupBy("column_name").applyInPandas(one, f"load_id {kind}, column_name string, measure string, value double, usual double, sigmas double")
 
 
-def changed_columns(df: DataFrame, spec: Spec, shift: float = 6.0, alone: float = 0.53) -> DataFrame:
+def changed_columns(df: DataFrame, spec: Spec, shift: float = 6.0, alone: float = 0.53, ablation: float = 0.02) -> DataFrame:
     """(load_id, column_name, auc, auc_without, auc_alone, shift, measures): columns that in one load depart plainly.
 
-    Candidates are the columns by which the two-sample classifier tells the load's rows from the others' (``shift`` standard
-    errors and a discrimination of ``alone`` of the column's own block); the exact aggregates then have to depart, too. How often
-    values repeat is no feature of a single row, so departures of EXACT measures need no candidate.
+    Candidates are the columns by which the two-sample classifier tells the load's rows from the others': the column's own block discriminates
+    (``shift`` standard errors and an area of ``alone``), and without it the classifier orders at least ``ablation`` more pairs of rows
+    wrongly. The exact aggregates then have to depart, too. How often values repeat is no feature of a single row, so departures of EXACT
+    measures need no candidate.
     """
     scale = scales(df, spec)
     stats = cut(profile(df, spec, scale))
     told = two_sample(df, spec, stats, scale)
     why = departures(stats).groupBy("load_id", "column_name").agg(F.sort_array(F.collect_set("measure")).alias("measures"))
     x = told.join(why, ["load_id", "column_name"], "right")
-    return x.where(((F.col("shift") > shift) & (F.col("auc_alone") > alone)) | F.arrays_overlap("measures", F.array(*map(F.lit, EXACT)))).select(*told.columns, "measures")
+    carried = 1 - F.col("auc_without") >= (1 + ablation) * (1 - F.col("auc"))
+    candidate = (F.col("shift") > shift) & (F.col("auc_alone") > alone) & carried
+    return x.where(candidate | F.arrays_overlap("measures", F.array(*map(F.lit, EXACT)))).select(*told.columns, "measures")

@@ -72,6 +72,26 @@ def test_logistic_separates():
     assert abs(w[1]) > 5 * max(abs(w[0]), abs(w[2]))
 
 
+def test_rank_test_is_mann_whitney_with_ties():
+    rng = np.random.default_rng(2)
+    a, b = rng.integers(0, 6, 80), rng.integers(1, 7, 120)
+    area, z = q.rank_test(np.bincount(a, minlength=8)[None], np.bincount(b, minlength=8)[None])
+    want = np.mean([(x > y) + 0.5 * (x == y) for x in a for y in b])
+    n, t = 200, np.unique(np.concatenate([a, b]), return_counts=True)[1]
+    sd = np.sqrt(((n + 1) - (t**3 - t).sum() / (n * (n - 1))) / (12 * 80 * 120))
+    assert area[0] == pytest.approx(want) and z[0] == pytest.approx((want - 0.5) / sd)
+    assert q.rank_test(np.array([[5, 0]]), np.array([[7, 0]]))[1][0] == 0
+
+
+def test_ablation_says_which_column_the_classifier_needs(spark):
+    df = spark.createDataFrame(rows(6, 400), SCHEMA)
+    scale = q.scales(df, SPEC)
+    t = {(r["load_id"], r["column_name"]): r for r in q.two_sample(df, SPEC, q.profile(df, SPEC, scale), scale).collect()}
+    assert t[4, "b"]["auc"] > 0.9 and t[4, "b"]["auc_without"] < 0.6 and t[4, "b"]["shift"] > 20
+    assert abs(t[4, "d"]["auc_alone"] - 0.5) < 0.06 and t[4, "d"]["auc_without"] > 0.9
+    assert len({x for x, _ in t}) == 6 and len(t) == 36
+
+
 def test_changed_columns_finds_repetition(spark):
     """Well-formed texts that collapse, a measurement rounded to many levels, a column that usually repeats and repeats far more."""
     rng = random.Random(5)
