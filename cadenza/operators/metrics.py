@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.session import in_ranges, with_sums_below
+
 
 def six(c: Column | str, name: str) -> Column:
     return F.round(c if isinstance(c, Column) else F.col(c), 6).alias(name)
@@ -48,12 +50,12 @@ def confusion(df: DataFrame, by: Sequence[str], threshold: float = 0.5) -> DataF
 def auc(df: DataFrame, by: Sequence[str], weight: Column | None = None, out: str = "auc") -> DataFrame:
     """Weighted area under the curve with half credit for ties, per group; null without both classes.
 
-    Rows are first summed per score, so the running window sorts distinct scores only.
+    Rows are first summed per score; sums below a score are taken over ranges of scores, so no task sorts a whole group.
     """
     w = (weight if weight is not None else F.lit(1.0)).cast("double")
     s = df.where("label in (0, 1) and score is not null").groupBy(*by, "score").agg(F.sum(F.when(F.col("label") == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("label") == 0, w).otherwise(0.0)).alias("n"))
-    below = F.coalesce(F.sum("n").over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy("score").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
-    return s.withColumn("__b", below).groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("__b") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias(out))
+    s = with_sums_below(s, list(by), "score", {"__below": F.col("n")})
+    return s.groupBy(*by).agg(F.try_divide(F.sum(F.col("p") * (F.col("__below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias(out))
 
 
 def probability_metrics(df: DataFrame, by: Sequence[str], weight: Column | None = None) -> DataFrame:
@@ -108,10 +110,15 @@ def nested_mean(df: DataFrame, value: Column, levels: Sequence[Sequence[str]], o
     return x
 
 
-def average_rank(value: str, by: Sequence[str] = ()) -> Column:
-    """Rank with ties sharing their mean rank, ascending, within ``by``."""
-    w = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(W.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def with_average_rank(df: DataFrame, value: str, by: Sequence[str] = (), out: str = "rank") -> DataFrame:
+    """Adds the rank of ``value`` with ties sharing their mean rank, ascending, within ``by``; a null value has none.
+
+    Values are counted first; ranks come from sums over ranges of values and are joined back.
+    """
+    by = list(by)
+    n = with_sums_below(df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n")), by, value, {"__below": F.col("__n")})
+    r = n.select(*[F.col(k).alias(f"__r{i}") for i, k in enumerate(by)], F.col(value).alias("__rv"), (F.col("__below") + (F.col("__n") + 1) / F.lit(2.0)).alias(out))
+    return df.join(r, [*[df[k].eqNullSafe(r[f"__r{i}"]) for i, k in enumerate(by)], df[value] == r["__rv"]], "left").drop("__rv", *[f"__r{i}" for i in range(len(by))])
 
 
 def error_summary(df: DataFrame, by: Sequence[str], reference: str, estimate: str) -> DataFrame:
@@ -122,10 +129,23 @@ def error_summary(df: DataFrame, by: Sequence[str], reference: str, estimate: st
 
 
 def benjamini_hochberg(df: DataFrame, p: str, by: Sequence[str] = (), out: str = "adjusted") -> DataFrame:
-    """Adjusted p-values within ``by``: the running minimum from the greatest of p * m / rank, at most 1."""
-    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))
-    raw = F.col(p) * F.count(F.lit(1)).over(part) / F.row_number().over(part.orderBy(p))
-    return df.withColumn("__r", raw).withColumn(out, F.least(F.lit(1.0), F.min("__r").over(part.orderBy(F.desc(p)).rangeBetween(W.unboundedPreceding, 0)))).drop("__r")
+    """Adjusted p-values within ``by``: the running minimum from the greatest of p * m / rank, at most 1; null for null.
+
+    Equal values are one, ranked by the last of them. Ranks and minima are taken over ranges of values, no task holds a whole group.
+    """
+    by = list(by)
+    n = df.where(F.col(p).isNotNull()).groupBy(*by, p).agg(F.count(F.lit(1)).alias("__n"))
+    total = n.groupBy(*by).agg(F.sum("__n").alias("__m")).select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(by)], "__m")
+    x = with_sums_below(n, by, p, {"__below": F.col("__n")})
+    x = x.crossJoin(F.broadcast(total)) if not by else x.join(total, [x[k].eqNullSafe(total[f"__t{i}"]) for i, k in enumerate(by)])  # without keys: one row
+    x = in_ranges(x.select(*by, p, (F.col(p) * F.col("__m") / (F.col("__below") + F.col("__n"))).alias("__r")), by, p)
+    least = x.groupBy(*by, "__b").agg(F.min("__r").alias("__l"))
+    part = W.partitionBy(*by) if by else W.partitionBy(F.lit(0))  # over ranges
+    above = least.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(by)], F.col("__b").alias("__c"), F.min("__l").over(part.orderBy(F.desc("__b")).rowsBetween(W.unboundedPreceding, -1)).alias("__up"))
+    x = x.withColumn("__in", F.min("__r").over(W.partitionBy(*by, "__b").orderBy(F.desc(p)).rowsBetween(W.unboundedPreceding, 0)))
+    x = x.join(above, [*[x[k].eqNullSafe(above[f"__t{i}"]) for i, k in enumerate(by)], x["__b"] == above["__c"]])
+    r = x.select(*[F.col(k).alias(f"__t{i}") for i, k in enumerate(by)], F.col(p).alias("__p"), F.least(F.lit(1.0), F.col("__in"), F.col("__up")).alias(out))
+    return df.join(r, [*[df[k].eqNullSafe(r[f"__t{i}"]) for i, k in enumerate(by)], df[p] == r["__p"]], "left").drop("__p", *[f"__t{i}" for i in range(len(by))])
 
 
 def wilson(k: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -150,7 +170,7 @@ def effect_sizes(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 def choose_threshold(df: DataFrame, weight: Column) -> DataFrame:
     """The score threshold of the greatest weighted balanced accuracy; ties go to the one nearest 0.5, then to the lowest. One row."""
     s = df.groupBy("score").agg(F.sum(F.when(F.col("label") == 1, weight).otherwise(0.0)).alias("p"), F.sum(F.when(F.col("label") == 0, weight).otherwise(0.0)).alias("n"))
-    one = W.partitionBy(F.lit(0))  # over distinct scores
-    up = one.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    s = s.select("score", (F.sum("p").over(up) / F.sum("p").over(one)).alias("tpr"), (1 - F.sum("n").over(up) / F.sum("n").over(one)).alias("tnr")).withColumn("ba", F.round((F.col("tpr") + F.col("tnr")) / 2, 9))
+    all_ = s.agg(F.sum("p").alias("__p"), F.sum("n").alias("__n"))  # one row
+    s = with_sums_below(s, [], "score", {"__pb": F.col("p"), "__nb": F.col("n")}).crossJoin(F.broadcast(all_))
+    s = s.select("score", ((1 - F.col("__pb") / F.col("__p")) / 2 + F.col("__nb") / F.col("__n") / 2).alias("ba")).withColumn("ba", F.round("ba", 9))
     return s.orderBy(F.desc("ba"), F.abs(F.col("score") - 0.5), "score").limit(1)

@@ -314,7 +314,7 @@ def agg_36_rank_tests(spark: SparkSession, d: str) -> DataFrame:
     from cadenza.functions.scalar import normal_tail
 
     x = long_features(cohort(spark, d))
-    r = x.withColumn("rk", m.average_rank("v", ["metric"]))
+    r = m.with_average_rank(x, "v", ["metric"], "rk")
     ties = x.groupBy("metric", "v").agg(F.count(F.lit(1)).alias("t")).groupBy("metric").agg(F.sum(F.expr("double(t) * t * t - t")).alias("ties"))
     s = r.groupBy("metric").agg(F.sum(F.when(F.col("label") == 1, F.col("rk"))).alias("r1"), F.count_if(F.col("label") == 1).alias("n1"), F.count_if(F.col("label") == 0).alias("n0")).join(ties, "metric")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
@@ -336,7 +336,7 @@ def agg_37_benjamini_hochberg(spark: SparkSession, d: str) -> DataFrame:
 @R(f"""with {C}, r as (select source_group, rank() over (partition by source_group order by f1) + (count(*) over (partition by source_group, f1) - 1) / 2.0 a, rank() over (partition by source_group order by score) + (count(*) over (partition by source_group, score) - 1) / 2.0 b from c)
   select source_group, round(case when count(*) >= 3 then corr(a, b) end, 6) as spearman from r group by 1""")
 def agg_38_spearman(spark: SparkSession, d: str) -> DataFrame:
-    r = cohort(spark, d).select("source_group", m.average_rank("f1", ["source_group"]).alias("a"), m.average_rank("score", ["source_group"]).alias("b"))
+    r = m.with_average_rank(m.with_average_rank(cohort(spark, d).select("source_group", "f1", "score"), "f1", ["source_group"], "a"), "score", ["source_group"], "b")
     return r.groupBy("source_group").agg(six(F.when(F.count(F.lit(1)) >= 3, F.corr("a", "b")), "spearman"))
 
 

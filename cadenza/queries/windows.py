@@ -29,7 +29,7 @@ def frames(spark: SparkSession, d: str) -> DataFrame:
 
 @R(f"with {C} select id, rank() over (partition by source_group order by score) + (count(*) over (partition by source_group, score) - 1) / 2.0::double as rank from c")
 def win_01_average_rank(spark: SparkSession, d: str) -> DataFrame:
-    return cohort(spark, d).select("id", m.average_rank("score", ["source_group"]).alias("rank"))
+    return m.with_average_rank(cohort(spark, d).select("id", "source_group", "score"), "score", ["source_group"]).select("id", "rank")
 
 
 @R(f"with {C}, g as (select user_id, k % 12 as p, median(value) md from c group by 1, 2) select id, round(value - md, 6) as centred from c join g on g.user_id = c.user_id and g.p = c.k % 12")

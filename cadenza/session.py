@@ -78,3 +78,26 @@ def with_running_total(df: DataFrame, keys: list[str], bucket: Column, order: li
     ahead = sums.select(*keys, "__b", (F.sum("__s").over(over.orderBy("__b")) - F.col("__s")).alias("__ahead"))
     inside = F.sum("__w").over(W.partitionBy(*keys, "__b").orderBy(*order).rowsBetween(W.unboundedPreceding, 0)) - F.col("__w")
     return df.withColumn("__in", inside).join(ahead, [*keys, "__b"]).withColumn(out, F.col("__ahead") + F.col("__in")).drop("__b", "__w", "__in", "__ahead")
+
+
+def in_ranges(df: DataFrame, keys: list[str], value: str, ranges: int = 32) -> DataFrame:
+    """Adds __b, which of about ``ranges`` ranges of ``value`` (cut at approximate quantiles per ``keys``) a row is in; equal values share one, null keys are keys."""
+    c = df.groupBy(*keys).agg(F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 20 * ranges).alias("__cuts")).select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], "__cuts")
+    x = df.crossJoin(F.broadcast(c)) if not keys else df.join(c, [df[k].eqNullSafe(c[f"__k{i}"]) for i, k in enumerate(keys)])  # without keys: one row
+    return x.withColumn("__b", F.size(F.filter(F.coalesce("__cuts", F.array().cast(dict(c.dtypes)["__cuts"])), lambda q: q < F.col(value)))).drop("__cuts", *[f"__k{i}" for i in range(len(keys))])
+
+
+def with_sums_below(df: DataFrame, keys: list[str], value: str, sums: dict[str, Column]) -> DataFrame:
+    """Adds for each of ``sums`` its sum over the rows of lower ``value``, per ``keys``; one row per keys and value is expected.
+
+    As with_running_total, but over ranges of a number and with sums of any kind: no window runs over a whole key.
+    """
+    names = list(sums)
+    x = in_ranges(df, keys, value).withColumns({f"__v_{n}": c for n, c in sums.items()})
+    t = x.groupBy(*keys, "__b").agg(*[F.sum(f"__v_{n}").alias(f"__s_{n}") for n in names])
+    part = W.partitionBy(*keys) if keys else W.partitionBy(F.lit(0))  # over ranges
+    ahead = t.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__b").alias("__c"), *[F.coalesce(F.sum(f"__s_{n}").over(part.orderBy("__b").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias(f"__a_{n}") for n in names])
+    inside = W.partitionBy(*keys, "__b").orderBy(value).rowsBetween(W.unboundedPreceding, -1)
+    x = x.withColumns({f"__i_{n}": F.coalesce(F.sum(f"__v_{n}").over(inside), F.lit(0)) for n in names})
+    x = x.join(ahead, [*[x[k].eqNullSafe(ahead[f"__k{i}"]) for i, k in enumerate(keys)], x["__b"] == ahead["__c"]])
+    return x.select(*df.columns, *[(F.col(f"__a_{n}") + F.col(f"__i_{n}")).alias(n) for n in names])
