@@ -46,15 +46,36 @@ def design(columns: Sequence[str], medians: Sequence[float]) -> list[Column]:
     return [F.when(known(c), F.col(c)).otherwise(F.lit(float(m))) for c, m in zip(columns, medians)] + [F.when(known(c), 0.0).otherwise(1.0) for c in columns]
 
 
+def exact_medians(df: DataFrame, columns: Sequence[str]) -> np.ndarray:
+    """The median of each column's known values, 0 for none, in three aggregations without a shuffle of rows.
+
+    Approximate quantiles (to 1 in 10,000 of rank) enclose the median in a thousandth of the ranks on either side; values below are counted;
+    only the values enclosed are kept by the exact aggregate, about one in 500 of the different ones.
+    """
+    n = len(columns)
+    v = [F.when(~F.isnan(c), F.col(c).cast("double")) for c in columns]
+    near = df.agg(*[F.percentile_approx(x, [0.499, 0.501], 10_000).alias(f"q{i}") for i, x in enumerate(v)]).first()
+    known = [i for i in range(n) if near[f"q{i}"]]
+    out = np.zeros(n)
+    if not known:
+        return out
+    inside = {i: F.when((v[i] >= near[f"q{i}"][0]) & (v[i] <= near[f"q{i}"][1]), v[i]) for i in known}
+    count = df.agg(*[f.alias(f"{k}{i}") for i in known for k, f in (("n", F.count(v[i])), ("b", F.count(F.when(v[i] < near[f"q{i}"][0], 1))), ("m", F.count(inside[i])))]).first()
+    at = lambda i, rank: F.percentile(inside[i], F.lit((rank - count[f"b{i}"]) / max(count[f"m{i}"] - 1, 1)))
+    mid = df.agg(*[at(i, r).alias(f"{k}{i}") for i in known for k, r in (("a", (count[f"n{i}"] - 1) // 2), ("z", count[f"n{i}"] // 2))]).first()
+    for i in known:
+        out[i] = (mid[f"a{i}"] + mid[f"z{i}"]) / 2
+    return out
+
+
 def prepare(df: DataFrame, columns: Sequence[str], weight: str) -> Prepared:
-    """Medians of the known training values (0 if none), weighted means, population deviations and the Gram matrix: two aggregations.
+    """Medians of the known training values (0 if none), weighted means, population deviations and the Gram matrix.
 
     The matrix is p x p sums of products, combined map-side; its size depends on the number of columns only.
     """
     columns = tuple(columns)
     p = 2 * len(columns)
-    med = df.agg(*[F.percentile(F.when(~F.isnan(c), F.col(c)), F.lit(0.5)).alias(f"m{i}") for i, c in enumerate(columns)]).first()
-    medians = np.array([0.0 if med[f"m{i}"] is None else med[f"m{i}"] for i in range(len(columns))])
+    medians = exact_medians(df, columns)
     x = df.select(F.col(weight).cast("double").alias("w"), F.col("label").cast("double").alias("y"), *[d.alias(f"x{i}") for i, d in enumerate(design(columns, medians))])
     w = F.col("w")
     sums = [F.sum(w).alias("w"), F.sum(w * F.col("y")).alias("wy"), *[F.sum(w * F.col(f"x{i}")).alias(f"s{i}") for i in range(p)], *[F.sum(w * F.col(f"x{i}") * F.col("y")).alias(f"t{i}") for i in range(p)], *[F.sum(w * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"g{i}_{j}") for i in range(p) for j in range(i, p)]]

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from cadenza.session import with_running_total, with_sums_below
+
 
 def true_runs(df: DataFrame, key: Sequence[str], index: str, flag: Column) -> DataFrame:
     """(<key>, first, last, length) of each run of consecutive indexes at which ``flag`` is true."""
@@ -97,20 +99,22 @@ def coupled_caps(df: DataFrame, by: Sequence[str], caps: Sequence[int]) -> DataF
 
 
 def proportional_targets(df: DataFrame, key: str, available: str, count: int, order: str) -> DataFrame:
-    """(key, target): count shared out evenly, capped by what is available, the rest round-robin in hash order. One row per key."""
+    """(key, target): ``count`` shared out evenly, capped by what is available, the rest one by one in hash order. One row per key.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([order, key])
-        have, target, left = dict(zip(pdf[key], pdf[available])), dict.fromkeys(pdf[key], 0), min(count, int(pdf[available].sum()))
-        base = count // max(len(pdf), 1)
-        for k in target:
-            target[k] = min(base, have[k], left)
-            left -= target[k]
-        while left:
-            for k in target:
-                if left and target[k] < have[k]:
-                    target[k] += 1
-                    left -= 1
-        return pd.DataFrame({key: list(target), "target": list(target.values())})
-
-    return df.withColumn("__one", F.lit(1)).groupBy("__one").applyInPandas(run, f"{key} {dict(df.dtypes)[key]}, target bigint")
+    Sharing out in rounds fills all keys to one level, those with less to what they have, and gives the rest of the last round to the first keys in
+    order that have more. The level comes from sums over the different amounts available; places in the order from ranges of the hash
+    ``order`` (hex digits). Null or negative amounts are 0.
+    """
+    x = df.select(key, F.greatest(F.coalesce(available, F.lit(0)), F.lit(0)).cast("bigint").alias("__have"), F.col(order).alias("__order"))
+    h = x.groupBy("__have").agg(F.count(F.lit(1)).alias("n"))
+    total = h.agg(F.sum("n")).first()[0] or 0
+    h = with_sums_below(h, [], "__have", {"keys": F.col("n"), "sum": F.col("n") * F.col("__have")})
+    # At the level of an amount the keys below it give all they have; the highest one that ``count`` reaches, and how many keys have more.
+    best = h.where(F.col("sum") + F.col("__have") * (F.lit(total) - F.col("keys")) <= count).agg(F.max(F.struct("__have", "sum", "keys", "n")).alias("b")).first()["b"]
+    level, got, more = (best["__have"], best["sum"] + best["__have"] * (total - best["keys"]), total - best["keys"] - best["n"]) if best else (0, 0, total)
+    step = (count - got) // more if more else 0
+    level, left = level + step, count - got - step * more if more else 0
+    first = F.conv(F.substring("__order", 1, 3), 16, 10).cast("int")
+    y = with_running_total(x, [], first, [F.col("__order"), F.col(key)], (F.col("__have") > level).cast("int"), "__place")
+    extra = ((F.col("__have") > level) & (F.col("__place") < left)).cast("bigint")
+    return y.select(key, (F.least("__have", F.lit(level)) + extra).alias("target"))

@@ -308,7 +308,10 @@ def agg_35_source_robustness(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("metric").agg(F.count(F.lit(1)).alias("sources"), F.count_if(F.col("diff") > 0).alias("positive"), six(F.min(F.abs("diff")), "least_shift"), (F.abs(F.sum(F.signum("diff"))) == F.count(F.lit(1))).alias("agree"))
 
 
-@R()
+@R(f"""with {C}, x as (select metric, label, v from (select label, unnest(['f1', 'f2', 'f3', 'f5']) as metric, unnest([f1, f2, f3, f5]) as v from c) where v is not null), r as (select *, rank() over (partition by metric order by v) + (count(*) over (partition by metric, v) - 1) / 2.0::double as rk from x),
+  t as (select metric, sum(n::double * n * n - n) as ties from (select metric, v, count(*) n from x group by 1, 2) group by 1), s as (select metric, sum(rk) filter (label = 1) as r1, count(*) filter (label = 1)::double as n1, count(*) filter (label = 0)::double as n0 from r group by 1),
+  z as (select metric, r1 - n1 * (n1 + 1) / 2 as u, (abs(r1 - n1 * (n1 + 1) / 2 - n1 * n0 / 2) - 0.5) / sqrt(n1 * n0 / 12 * ((n1 + n0 + 1) - ties / ((n1 + n0) * (n1 + n0 - 1)))) as z from s join t using (metric))
+  select metric, u, round(z, 6) as z, round(2 * list_sum(list_transform(range(8001), lambda i: exp(-(z + i * 0.0015::double) * (z + i * 0.0015::double) / 2) * case when i = 0 or i = 8000 then 1 when i % 2 = 1 then 4 else 2 end)) * 0.0015::double / 3 / sqrt(2 * pi()), 6) as p_value from z""")
 def agg_36_rank_tests(spark: SparkSession, d: str) -> DataFrame:
     """Mann-Whitney U per metric with tie-corrected normal p-value (continuity corrected)."""
     from cadenza.functions.scalar import normal_tail
@@ -321,7 +324,7 @@ def agg_36_rank_tests(spark: SparkSession, d: str) -> DataFrame:
     n = F.col("n1") + F.col("n0")
     var = F.col("n1") * F.col("n0") / 12.0 * ((n + 1) - F.col("ties") / (n * (n - 1)))
     z = (F.abs(u - F.col("n1") * F.col("n0") / 2.0) - 0.5) / F.sqrt(var)
-    return s.select("metric", u.alias("u"), six(z, "z"), (2 * normal_tail(z)).alias("p_value"))
+    return s.select("metric", u.alias("u"), six(z, "z"), six(2 * normal_tail(z), "p_value"))
 
 
 P_OF = "((id * 7919) % 9973 + 1) / 9973.0::double"

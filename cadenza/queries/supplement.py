@@ -162,7 +162,8 @@ def sup_18_group_identity(spark: SparkSession, d: str) -> DataFrame:
     return set_digest(x, ["root"], "node", "group_id", "keys").select("group_id", "keys")
 
 
-@R()
+@R(f"""with {C}, x as (select user_id, count(*) as n, {H.format('20260907', 'user_id::varchar')} as h from c group by 1), l as (select max(l) as l from (select unnest(range(1001)) as l) z where (select sum(least(n, z.l)) from x) <= 1000),
+  y as (select *, sum((n > l)::int) over (order by h, user_id rows unbounded preceding) - (n > l)::int as place, (select 1000 - sum(least(n, l)) from x) as rest from x, l) select user_id, (least(n, l) + (n > l and place < rest)::int)::bigint as target from y""")
 def sup_19_proportional_targets(spark: SparkSession, d: str) -> DataFrame:
     x = cohort(spark, d).groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).withColumn("order", rank_key(F.col("user_id").cast("string")))
     return q.proportional_targets(x, "user_id", "n", 1000, "order")

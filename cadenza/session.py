@@ -30,7 +30,10 @@ _cuts: dict[str, str] = {}  # per application, its folder of cuts
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests, local runs) is a temporary one used."""
+    """The folder that the cluster names in spark.checkpoint.dir; only where it is unset (tests, local runs) is a temporary one used.
+
+    The application's part of it is deleted when its driver ends; drop_cuts deletes it before.
+    """
     sc = spark.sparkContext
     if (app := sc.applicationId) not in _cuts:
         named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
@@ -40,13 +43,17 @@ def shared_folder(spark: SparkSession) -> str:
             named = tempfile.mkdtemp(prefix="cadenza-")
             atexit.register(shutil.rmtree, named, ignore_errors=True)
         _cuts[app] = f"{named.rstrip('/')}/cadenza-{app}"
+        path = sc._jvm.org.apache.hadoop.fs.Path(_cuts[app])
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)  # with the driver's JVM
     return _cuts[app]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Writes df once as a table in the shared folder and reads it from there: no lineage, plan or broadcast stays behind.
 
-    The table survives the loss of executors. Tables of an application are dropped by drop_cuts.
+    The table survives the loss of executors. Tables of an application are dropped by drop_cuts, or when its driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"

@@ -156,6 +156,33 @@ def test_closures_are_dealt_whole_with_every_source_in_every_part(spark):
     assert schedule.partition_closures(c.limit(0), shares).collect() == []
 
 
+def test_exact_medians(spark):
+    r = random.Random(8)
+    for n in (0, 1, 2, 7, 4001, 4000):
+        rows = [(r.gauss(0, 1), float(r.randrange(3)), None if r.random() < 0.5 else r.random(), float("nan")) for _ in range(n)]
+        got = models.exact_medians(spark.createDataFrame(rows, "a double, b double, c double, d double"), ["a", "b", "c", "d"])
+        want = [float(np.median([x[i] for x in rows if x[i] is not None and x[i] == x[i]] or [0])) for i in range(4)]
+        assert np.allclose(got, want, rtol=1e-12, atol=1e-12)
+
+
+def test_targets_are_filled_to_one_level(spark):
+    from cadenza.operators import sequences
+
+    r = random.Random(3)
+    for count in (0, 5, 40, 100, 10_000):
+        have = {i: r.choice([0, 1, 2, 5, 9, 30]) for i in range(17)}
+        df = spark.createDataFrame([(i, h, f"{r.getrandbits(128):032x}") for i, h in have.items()], "k int, have int, o string")
+        order = [x["k"] for x in df.orderBy("o", "k").collect()]
+        want, left = dict.fromkeys(have, 0), min(count, sum(have.values()))
+        while left:
+            for k in order:
+                if left and want[k] < have[k]:
+                    want[k] += 1
+                    left -= 1
+        assert {x["k"]: x["target"] for x in sequences.proportional_targets(df, "k", "have", count, "o").collect()} == want
+    assert sequences.proportional_targets(df.limit(0), "k", "have", 5, "o").collect() == []
+
+
 def test_containment_at_any_place(spark):
     r = random.Random(6)
     word = lambda: "".join(r.choice("abcdé漢") for _ in range(r.randint(2, 9)))
