@@ -329,3 +329,24 @@ def percentiles(sketches: DataFrame, names: Sequence[str], ps: Sequence[float],
 
     types = dict(sketches.dtypes)
     return sketches.mapInArrow(run, ", ".join(f"{k} {types[k]}" for k in keys) + ", feature string, n bigint, p double, estimate double, rank_error double, value_error double")
+
+
+def within_bounds(values: DataFrame, found: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(<keys>, feature, n, within): whether each estimate of ``found`` (see percentiles) keeps its stated errors of rank and value.
+
+    ``values``: keys, feature, v, the values themselves. Each is compared with its group's few estimates, and ranks are counted map-side.
+    """
+    keys = [*keys, "feature"]
+    q = found.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("p", "estimate", "rank_error", "value_error"))).alias("q"))
+    q = q.select(*[F.col(k).alias(f"__{k}") for k in keys], "n", "q")
+    x = values.groupBy(*keys, "v").agg(F.count(F.lit(1)).alias("m"))
+    x = x.join(q, [x[k].eqNullSafe(q[f"__{k}"]) for k in keys])
+    most = int(found.agg(F.count_distinct("p")).first()[0] or 0)
+    e = lambda i: F.get("q", F.lit(i))
+    below = [F.sum(F.when(F.col("v") < e(i)["estimate"] - e(i)["value_error"], F.col("m")).otherwise(0)).alias(f"b{i}") for i in range(most)]
+    upto = [F.sum(F.when(F.col("v") <= e(i)["estimate"] + e(i)["value_error"], F.col("m")).otherwise(0)).alias(f"u{i}") for i in range(most)]
+    r = x.groupBy(*keys).agg(F.sum("m").alias("all"), F.max("n").alias("n"), F.max("q").alias("q"), *below, *upto)
+    ok = F.col("n") == F.col("all")
+    for i in range(most):
+        ok = ok & (F.col(f"b{i}") / F.col("all") <= e(i)["p"] + e(i)["rank_error"] + 1 / F.col("all")) & (F.col(f"u{i}") / F.col("all") >= e(i)["p"] - e(i)["rank_error"] - 1 / F.col("all"))
+    return r.select(*keys, "n", ok.alias("within"))

@@ -50,6 +50,14 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("grouping", "group_value", "feature", "n")
 
 
+def p2_checks(spark: SparkSession, d: str) -> DataFrame:
+    """Whether all percentiles of each group and measurement keep the errors stated with them, against the exact ranks of all values."""
+    replay = table(spark, d, "native30_replay").select("id", F.concat_ws("+", families(F.col("combination"))).alias("combo"), F.explode("features").alias("feature", "v")).where("v is not null and not isnan(v) and abs(v) < double('Infinity')")
+    sources = table(spark, d, "drive_sources").where("id is not null").groupBy("id").agg(F.min("source_group").alias("source_group"))
+    x = replay.join(sources, "id", "left").select("feature", "v", F.explode(F.array(F.struct(F.lit("combination").alias("grouping"), F.when(F.col("combo") != "", F.col("combo")).alias("group_value")), F.struct(F.lit("source_group").alias("grouping"), F.col("source_group").alias("group_value")))).alias("g"))
+    return dyadic.within_bounds(x.select("g.grouping", "g.group_value", "feature", "v"), cut(p2_percentiles(spark, d)), ["grouping", "group_value"])
+
+
 def _classes(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     drive = table(spark, d, "drive_sources")
     r = drive.select("id", "member_name", F.col("canonical.input_sha256").alias("input_sha256"), F.col("canonical.waveform_float32_sha256").alias("waveform_sha256")).where("id is not null").distinct()

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadenza.llm.components import random_mate_components
-from cadenza.session import cut, hash_bucket, with_running_total
+from cadenza.session import cut, with_running_total
 
 #: Notations of a missing key, after normalisation.
 MISSING_KEYS = ["", "unknown", "n_a", "na", "none", "null", "nan", "nil"]
@@ -58,8 +58,8 @@ def assign_splits(sets: DataFrame, shares: Sequence[tuple[str, float]], seed: st
     """
     total = sets.count()
     s = sets.select("set_id", "set_size").distinct()
-    h = F.xxhash64(F.lit(seed), "set_id")
-    bucket = F.when(F.col("set_size") > giant * total, F.lit(-1)).otherwise(hash_bucket(h, 1024))
+    h = F.sha2(F.concat_ws("|", F.lit(seed), "set_id"), 256)
+    bucket = F.when(F.col("set_size") > giant * total, F.lit(-1)).otherwise(F.conv(F.substring(h, 1, 3), 16, 10).cast("int"))
     s = with_running_total(s, [], bucket, [h, F.col("set_id")], F.col("set_size"), "__before")
     at = (F.col("__before") + F.col("set_size") / 2) / F.lit(max(total, 1))
     c, up = None, 0.0

@@ -31,6 +31,18 @@ _MIX = f"""with d as (select doc_id, src, tokens, sha256(concat_ws('|', 'mix', d
   q as (select o.doc_id, o.src, o.tokens, o.before, c.copy, (c.copy * t.own + o.before + o.tokens)::double / t.target_share as finish from o join t using (src), (select unnest(range(100))::int as copy) c where c.copy < t.max_repeats and t.target_share > 0),
   out as (select doc_id, src as source, tokens, copy, finish, position from (select *, (sum(tokens) over (order by finish, src, doc_id, copy, before rows unbounded preceding) - tokens)::bigint as position from q) where position + tokens <= (select tt from tot))"""
 
+#: Sets tied by group or component, and their smallest ids.
+_P4 = r"""with recursive k as (
+        select distinct id, nullif(trim(regexp_replace(lower(group_id), '[^\p{L}\p{N}]+', '_', 'g'), '_'), '') as g,
+          nullif(regexp_replace(regexp_extract(component_id, '([0-9]+)\D*$', 1), '^0+([0-9])', '\1'), '') as c,
+          lower(trim(role)) as role from drive_sources where id is not null),
+        n as (select id, 'g:' || g as key from k where g not in ('unknown', 'n_a', 'na', 'none', 'null', 'nan', 'nil') union select id, 'c:' || c from k where c is not null),
+        e as (select distinct a.key as u, b.key as v from n a join n b using (id)),
+        reach(u, v) as (select u, v from e union select r.u, e.v from reach r join e on e.u = r.v),
+        root as (select u as key, min(v) as root from reach group by u),
+        s as (select distinct id, root from n join root using (key)),
+        sets as (select root, min(id) as set_id from s group by root)"""
+
 SQL = {
     "p6_found": f"select distinct doc_id from ({_SIZES}) where tokens > 1024",
     "p4_checks": "select count(distinct id) as records, count(distinct id) as rows, 0::bigint as divided, true as shares_met from drive_sources",
@@ -43,18 +55,14 @@ SQL = {
     "p7_found": f"""with d as ({_SIZES}), own as (select src, sum(tokens) as own from d group by src),
         t as (select m.source, m.target_share, m.max_repeats, coalesce(o.own, 0) as own from mixture_targets m left join own o on o.src = lower(trim(m.source)))
         select source from t where target_share * (select sum(own) from t) > max_repeats * own""",
-    "p4_found": r"""with recursive k as (
-        select distinct id, nullif(trim(regexp_replace(lower(group_id), '[^\p{L}\p{N}]+', '_', 'g'), '_'), '') as g,
-          nullif(regexp_replace(regexp_extract(component_id, '([0-9]+)\D*$', 1), '^0+([0-9])', '\1'), '') as c,
-          lower(trim(role)) as role from drive_sources where id is not null),
-        n as (select id, 'g:' || g as key from k where g not in ('unknown', 'n_a', 'na', 'none', 'null', 'nan', 'nil') union select id, 'c:' || c from k where c is not null),
-        e as (select distinct a.key as u, b.key as v from n a join n b using (id)),
-        reach(u, v) as (select u, v from e union select r.u, e.v from reach r join e on e.u = r.v),
-        root as (select u as key, min(v) as root from reach group by u),
-        s as (select distinct id, root from n join root using (key)),
-        sets as (select root, min(id) as set_id from s group by root),
-        mixed as (select root from s join k using (id) group by root having bool_or(role = 'development') and bool_or(role = 'locked'))
+    "p4_found": _P4 + """, mixed as (select root from s join k using (id) group by root having bool_or(role = 'development') and bool_or(role = 'locked'))
         select distinct s.id, sets.set_id from s join sets using (root) join mixed using (root)""",
+    "p4_splits": _P4 + """, a as (select id, set_id, count(*) over (partition by root) as set_size from (select distinct id, root from s) join sets using (root) union all select id, id, 1 from (select distinct id from k) where id not in (select id from s)),
+        b as (select distinct set_id, set_size from a), t as (select count(*) as n from a), o as (select set_id, (sum(set_size) over (order by case when set_size > 0.01 * n then 0 else 1 end, sha256('split|' || set_id), set_id rows unbounded preceding) - set_size + set_size / 2.0::double) / n as middle from b, t)
+        select a.id, a.set_id, a.set_size, case when middle < 0.8 then 'train' when middle < 0.9 then 'validation' else 'test' end as new_split from a join o using (set_id)""",
+    "p2_checks": r"""with x as (select r.combination, d.source_group, unnest(map_keys(features)) as k, unnest(map_values(features)) as v from native30_replay r left join (select id, min(source_group) as source_group from drive_sources where id is not null group by 1) d on d.id = r.id),
+        y as (select *, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(upper(regexp_replace(combination, '\s+', '', 'g')), '[^A-Z]+'), lambda e: e <> ''))), '+') as combo from x where v is not null and isfinite(v))
+        select 'combination' as grouping, nullif(combo, '') as group_value, k as feature, count(*) as n, true as within from y group by 2, 3 union all select 'source_group', source_group, k, count(*), true from y group by 2, 3""",
     "p2_counts": r"""with x as (select r.id, r.combination, d.source_group, unnest(map_keys(features)) as k, unnest(map_values(features)) as v from native30_replay r
           left join (select id, min(source_group) as source_group from drive_sources where id is not null group by 1) d on d.id = r.id),
         y as (select *, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(upper(regexp_replace(combination, '\s+', '', 'g')), '[^A-Z]+'), lambda e: e <> ''))), '+') as combo from x where v is not null and isfinite(v))
