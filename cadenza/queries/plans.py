@@ -195,7 +195,9 @@ def fld_05_group_k_fold(spark: SparkSession, d: str) -> DataFrame:
     return schedule.with_buckets(cohort(spark, d)).groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("group_id").alias("groups"), F.count_if(F.col("label") == 1).alias("generated"))
 
 
-@R()
+@R(f"""with recursive {C}, {ROOTS}, x0 as (select c.* exclude (group_id), coalesce(r.root, 'group:' || c.group_id) as group_id from c left join roots r on r.node = 'group:' || c.group_id), c2 as (select * from x0 where group_id not in (select group_id from x0 where role = 'locked')),
+  {HELD.format(fold=FOLD, key='source_group').replace('from c)', 'from c2)').replace('from c,', 'from c2,').replace('select held as held_source', 'h as (select held as held_source').replace(' from y', ' from y)').replace('from g group by 1, 2, 3)', 'from g group by 1, 2, 3),', 1)}
+  select h.*, cap, sha256(concat_ws('|', held_source, label::varchar, bucket::varchar, cap)) as uid from h, (select unnest(['25', '50', '100', '200', 'all']) as cap)""")
 def fld_06_full_schedule(spark: SparkSession, d: str) -> DataFrame:
     """Held-source cells over unprotected closures, with caps and an id of each cell."""
     c = schedule.with_buckets(cohort(spark, d))

@@ -78,17 +78,19 @@ def win_08_interval_merge(spark: SparkSession, d: str) -> DataFrame:
     return s.merge_intervals(iv, ["user_id"], "s", "e").select("user_id", six("start", "start"), six("end", "end"), "parts")
 
 
-@R()
+@R(f"with {C}, l as (select user_id, list_sort(list(value::double)) as t from c group by 1) select user_id, len(t)::int as notes, len(list_reduce(list_transform(t, lambda x: [x]), lambda a, x: case when x[1] - a[-1] > 0.5 then list_concat(a, x) else a end))::int as chords from l")
 def win_09_chord_clusters(spark: SparkSession, d: str) -> DataFrame:
     """Onsets per recording within 0.5 of the first of a cluster are one chord."""
     c = cohort(spark, d).groupBy("user_id").agg(F.array_sort(F.collect_list(F.col("value").cast("double"))).alias("t"))
     return c.select("user_id", F.size("t").alias("notes"), F.size(s.anchor_clusters(F.col("t"), 0.5)).alias("chords"))
 
 
-@R()
+@R(f"""with {C}, l as (select user_id, list_sort(list_distinct(list(least(greatest(value::double, 0), 30)))) as t from c group by 1), k as (select user_id, list_reduce(list_concat([[0.0::double]], list_transform(list_filter(t, lambda x: x >= 1 and x <= 29), lambda x: [x])), lambda a, x: case when x[1] - a[-1] >= 1 then list_concat(a, x) else a end) as b from l)
+  select user_id, len(b)::int + 1 as boundaries, round(list_sum(list_concat(b, [30.0::double])), 6) as total from k""")
 def win_10_clean_boundaries(spark: SparkSession, d: str) -> DataFrame:
     c = cohort(spark, d).groupBy("user_id").agg(F.collect_list(F.col("value").cast("double")).alias("t"))
-    return c.select("user_id", s.clean_boundaries(F.col("t"), 30.0).alias("boundaries"))
+    b = c.select("user_id", s.clean_boundaries(F.col("t"), 30.0).alias("b"))
+    return b.select("user_id", F.size("b").alias("boundaries"), six(F.aggregate("b", F.lit(0.0), lambda a, x: a + x), "total"))
 
 
 @R(f"""with {C}, {FR}, x as (select user_id, n, k, lag(k) over w as before, lag(n) over w as n0 from fr where v window w as (partition by user_id order by n)) select user_id, n, before, k as after, round(k::double / nullif(before, 0), 6) as ratio, k = 2 * before or before = 2 * k as half_or_double from x where n - n0 = 1 and k <> before""")
