@@ -9,6 +9,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from cadenza.session import cut
+
 MODES = ("values_plus_missing", "median_only", "missingness_only")
 
 
@@ -75,6 +77,7 @@ def prepare(df: DataFrame, columns: Sequence[str], weight: str) -> Prepared:
     """
     columns = tuple(columns)
     p = 2 * len(columns)
+    df = cut(df.select(weight, "label", *columns))  # read five times
     medians = exact_medians(df, columns)
     x = df.select(F.col(weight).cast("double").alias("w"), F.col("label").cast("double").alias("y"), *[d.alias(f"x{i}") for i, d in enumerate(design(columns, medians))])
     w = F.col("w")

@@ -369,12 +369,12 @@ def agg_40_probe_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 @R(f"""with {C}, n as (select user_id as rec, k % 12 as pitch, value + 1 as v, abs(value - lag(value) over (partition by user_id, k % 12 order by ts, id)) as step from c), g as (select rec, pitch, count(*) n, stddev_pop(v) / avg(v) as cv, median(step) as delta from n group by 1, 2 having count(*) >= 4)
-  select rec, round(sum(n * cv) / sum(n), 6) as weighted_cv, round(sum(n * delta) / sum(n), 6) as weighted_delta from g group by 1""")
+  select rec, round(round(sum(n * cv) / sum(n), 9), 6) as weighted_cv, round(round(sum(n * delta) / sum(n), 9), 6) as weighted_delta from g group by 1""")
 def agg_41_pitch_conditional(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("user_id", F.col("k") % 12).orderBy("ts", "id")
     n = cohort(spark, d).select(F.col("user_id").alias("rec"), (F.col("k") % 12).alias("pitch"), (F.col("value") + 1).alias("v"), F.abs(F.col("value") - F.lag("value").over(w)).alias("step"))
     g = n.groupBy("rec", "pitch").agg(F.count(F.lit(1)).alias("n"), (F.stddev_pop("v") / F.avg("v")).alias("cv"), F.median("step").alias("delta")).where("n >= 4")
-    return g.groupBy("rec").agg(six(F.sum(F.col("n") * F.col("cv")) / F.sum("n"), "weighted_cv"), six(F.sum(F.col("n") * F.col("delta")) / F.sum("n"), "weighted_delta"))
+    return g.groupBy("rec").agg(six(F.round(F.sum(F.col("n") * F.col("cv")) / F.sum("n"), 9), "weighted_cv"), six(F.round(F.sum(F.col("n") * F.col("delta")) / F.sum("n"), 9), "weighted_delta"))
 
 
 @R(f"""with {C}, b as (select source_group, cast(floor(k / 10) as int) as bar, list(distinct id % 16) as cells, count(*) n from c group by 1, 2), p as (select a.source_group, len(list_intersect(a.cells, b.cells))::double i, len(a.cells) + len(b.cells) s from b a join b b on a.source_group = b.source_group and a.bar < b.bar)

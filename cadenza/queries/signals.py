@@ -87,10 +87,10 @@ def sig_08_bicoherence(spark: SparkSession, d: str) -> DataFrame:
 POOLS = "p as (select user_id, id % 6 as pool, k % 5 <> 0 as eligible, score as b2, source_group = 'click' as cond from c)"
 
 
-@R(f"with {C}, {POOLS}, m as (select user_id, cond, pool, avg(b2) filter (eligible) b2 from p group by 1, 2, 3) select a.user_id, round(median(a.b2), 6) as base, round(median(b.b2), 6) as changed, round(median(b.b2) - median(a.b2), 6) as median_difference, round(avg(b.b2 - a.b2), 6) as paired_mean from m a join m b on a.user_id = b.user_id and a.pool = b.pool and not a.cond and b.cond group by 1")
+@R(f"with {C}, {POOLS}, m as (select user_id, cond, pool, avg(b2) filter (eligible) b2 from p group by 1, 2, 3) select a.user_id, round(median(a.b2), 8) as base, round(median(b.b2), 8) as changed, round(median(b.b2) - median(a.b2), 8) as median_difference, round(avg(b.b2 - a.b2), 8) as paired_mean from m a join m b on a.user_id = b.user_id and a.pool = b.pool and not a.cond and b.cond group by 1")
 def sig_09_pool_reduction(spark: SparkSession, d: str) -> DataFrame:
     p = cohort(spark, d).groupBy("user_id", (F.col("id") % 6).alias("pool")).agg(*[F.avg(F.when((F.col("k") % 5 != 0) & ((F.col("source_group") == "click") == c), F.col("score"))).alias(n) for n, c in (("a", False), ("b", True))], F.count_if(F.col("source_group") == "click").alias("nb"), F.count_if(F.col("source_group") != "click").alias("na")).where("na > 0 and nb > 0")
-    return p.groupBy("user_id").agg(six(F.median("a"), "base"), six(F.median("b"), "changed"), six(F.median("b") - F.median("a"), "median_difference"), six(F.avg(F.col("b") - F.col("a")), "paired_mean"))
+    return p.groupBy("user_id").agg(*[F.round(v, 8).alias(n) for v, n in ((F.median("a"), "base"), (F.median("b"), "changed"), (F.median("b") - F.median("a"), "median_difference"), (F.avg(F.col("b") - F.col("a")), "paired_mean"))])
 
 
 @R()
@@ -128,7 +128,7 @@ def beats(spark: SparkSession, d: str) -> DataFrame:
 
 @R(f"""with {C}, {BEATS}, i as (select user_id, t, t - lag(t) over w as ibi, round(60 / nullif(t - lag(t) over w, 0), 6) as bpm from b window w as (partition by user_id order by t)), q as (select user_id, count(ibi) n, (quantile_cont(ibi, 0.75) - quantile_cont(ibi, 0.25)) / median(ibi) as cv from i group by 1),
   v as (select user_id, t, bpm, lag(bpm) over (partition by user_id order by t) as before from i where bpm between 30 and 300), tv as (select user_id, count(*) n, median(abs(bpm - before)) / median(bpm) as tv from v group by 1), h as (select user_id, least(floor((bpm - 30) / 5), 53) bin, count(*)::double n from v group by 1, 2), p as (select user_id, n / sum(n) over (partition by user_id) p from h), e as (select user_id, -sum(p * ln(p)) / ln(54) as ent from p group by 1)
-  select user_id, round(cv, 6) as ibi_cv, round(tv, 6) as tempo_tv, round(ent, 6) as tempo_entropy from q join tv using (user_id) join e using (user_id) where q.n >= 15 and tv.n >= 14""")
+  select user_id, round(round(cv, 9), 6) as ibi_cv, round(round(tv, 9), 6) as tempo_tv, round(round(ent, 9), 6) as tempo_entropy from q join tv using (user_id) join e using (user_id) where q.n >= 15 and tv.n >= 14""")
 def sig_13_rhythm_family(spark: SparkSession, d: str) -> DataFrame:
     w = W.partitionBy("user_id").orderBy("t")
     i = beats(spark, d).select("user_id", "t", (F.col("t") - F.lag("t").over(w)).alias("ibi")).where("ibi > 0").withColumn("bpm", F.round(60 / F.col("ibi"), 6))
@@ -137,7 +137,7 @@ def sig_13_rhythm_family(spark: SparkSession, d: str) -> DataFrame:
     tv = v.groupBy("user_id").agg(F.count(F.lit(1)).alias("m"), (F.median(F.abs(F.col("bpm") - F.col("before"))) / F.median("bpm")).alias("tv")).where("m >= 14")
     h = v.groupBy("user_id", F.least(F.floor((F.col("bpm") - 30) / 5), F.lit(53)).alias("bin")).agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(F.sum("n").alias("t"), F.sum(F.col("n") * F.log("n")).alias("s"))
     e = h.select("user_id", ((F.log("t") - F.col("s") / F.col("t")) / math.log(54)).alias("e"))
-    return q.join(tv, "user_id").join(e, "user_id").select("user_id", six("cv", "ibi_cv"), six("tv", "tempo_tv"), six("e", "tempo_entropy"))
+    return q.join(tv, "user_id").join(e, "user_id").select("user_id", *[six(F.round(v, 9), n) for v, n in (("cv", "ibi_cv"), ("tv", "tempo_tv"), ("e", "tempo_entropy"))])
 
 
 SECTIONS = "s as (select user_id, row_number() over (partition by user_id order by ts, id) as n, 2 + k / 10.0::double as dur from c)"
