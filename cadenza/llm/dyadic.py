@@ -174,8 +174,10 @@ class Sketch:
 def pack_values(df: DataFrame, names: Sequence[str], values: str, keep: Sequence[str]) -> DataFrame:
     """(<keep>, packed): the finite values of the map as 5 bytes each, place of the key and code; far narrower than the map.
 
-    Null, NaN and infinite values, other keys and null maps count for nothing.
+    Null, NaN and infinite values, other keys and null maps count for nothing. The place is one byte: up to 256 names.
     """
+    if len(names) > 256:
+        raise ValueError("more than 256 names")
     keys = pa.array(list(names))
     kept = list(keep)
 

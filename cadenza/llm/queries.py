@@ -27,7 +27,9 @@ def _load_sketches(spark: SparkSession, d: str) -> DataFrame:
     replay = table(spark, d, "native30_replay").select("id", "load_id", F.concat_ws("+", families(F.col("combination"))).alias("combo"), "features")
     packed = dyadic.pack_values(replay.select("id", "load_id", F.when(F.col("combo") != "", F.col("combo")).alias("combination"), "features"), ALL_NAMES, "features", ["id", "load_id", "combination"])
     sources = table(spark, d, "drive_sources").where("id is not null").groupBy("id").agg(F.min("source_group").alias("source_group"))
-    joined = packed.join(sources, "id", "left")
+    # Rows without an id meet no source; a hash of the row spreads them over tasks.
+    key = F.coalesce("id", F.concat(F.lit("\0"), F.xxhash64("packed").cast("string")))
+    joined = packed.withColumn("key", key).join(sources.withColumnRenamed("id", "key"), "key", "left")
     return dyadic.partial_sketches(joined, ["combination", "source_group"], "load_id")
 
 
