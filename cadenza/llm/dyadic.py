@@ -307,6 +307,17 @@ def merge_sketches(sketches: DataFrame, keys: Sequence[str] = ("grouping", "grou
     return x.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
+def deleted(sketches: DataFrame) -> DataFrame:
+    """The same sketches with all counts negative: merged with others they take their values away."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [Sketch().merge(Sketch.from_bytes(s.as_py()), -1).to_bytes() for s in b.column("sketch")]
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()) if n == "sketch" else b.column(n) for n in b.schema.names], names=b.schema.names)
+
+    return sketches.mapInArrow(run, ", ".join(f"{k} {t}" for k, t in sketches.dtypes))
+
+
 def percentiles(sketches: DataFrame, names: Sequence[str], ps: Sequence[float], keys: Sequence[str]) -> DataFrame:
     """(<keys>, feature, n, p, estimate, rank_error, value_error) from merged sketches.
 

@@ -52,6 +52,15 @@ def p2_counts(spark: SparkSession, d: str) -> DataFrame:
     return p.select("grouping", "group_value", "feature", "n")
 
 
+def p2_without_first_load(spark: SparkSession, d: str) -> DataFrame:
+    """How many values each group's sketches of all loads hold once the first load's sketches have been taken away from them."""
+    keys = ["grouping", "group_value", "c"]
+    all_ = cut(dyadic.merge_sketches(_load_sketches(spark, d)))
+    first = all_.agg(F.min("load_id")).first()[0]
+    rest = all_.drop("load_id").unionByName(dyadic.deleted(all_.where(F.col("load_id") == first)).drop("load_id"))
+    return dyadic.percentiles(dyadic.merge_sketches(rest, keys), ALL_NAMES, (0.5,), keys).select("grouping", "group_value", "feature", "n")
+
+
 def p2_checks(spark: SparkSession, d: str) -> DataFrame:
     """Whether all percentiles of each group and measurement keep the errors stated with them, against the exact ranks of all values."""
     replay = table(spark, d, "native30_replay").select("id", F.concat_ws("+", families(F.col("combination"))).alias("combo"), F.explode("features").alias("feature", "v")).where("v is not null and not isnan(v) and abs(v) < double('Infinity')")

@@ -60,6 +60,10 @@ SQL = {
     "p4_splits": _P4 + """, a as (select id, set_id, count(*) over (partition by root) as set_size from (select distinct id, root from s) join sets using (root) union all select id, id, 1 from (select distinct id from k) where id not in (select id from s)),
         b as (select distinct set_id, set_size from a), t as (select count(*) as n from a), o as (select set_id, (sum(set_size) over (order by case when set_size > 0.01 * n then 0 else 1 end, sha256('split|' || set_id), set_id rows unbounded preceding) - set_size + set_size / 2.0::double) / n as middle from b, t)
         select a.id, a.set_id, a.set_size, case when middle < 0.8 then 'train' when middle < 0.9 then 'validation' else 'test' end as new_split from a join o using (set_id)""",
+    "p2_without_first_load": r"""with x as (select r.id, r.load_id, r.combination, d.source_group, unnest(map_keys(features)) as k, unnest(map_values(features)) as v from native30_replay r
+          left join (select id, min(source_group) as source_group from drive_sources where id is not null group by 1) d on d.id = r.id),
+        y as (select *, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(upper(regexp_replace(combination, '\s+', '', 'g')), '[^A-Z]+'), lambda e: e <> ''))), '+') as combo from x where v is not null and isfinite(v) and load_id is distinct from (select min(load_id) from native30_replay))
+        select 'combination' as grouping, nullif(combo, '') as group_value, k as feature, count(*) as n from y group by 2, 3 union all select 'source_group', source_group, k, count(*) from y group by 2, 3""",
     "p2_checks": r"""with x as (select r.combination, d.source_group, unnest(map_keys(features)) as k, unnest(map_values(features)) as v from native30_replay r left join (select id, min(source_group) as source_group from drive_sources where id is not null group by 1) d on d.id = r.id),
         y as (select *, array_to_string(list_sort(list_distinct(list_filter(string_split_regex(upper(regexp_replace(combination, '\s+', '', 'g')), '[^A-Z]+'), lambda e: e <> ''))), '+') as combo from x where v is not null and isfinite(v))
         select 'combination' as grouping, nullif(combo, '') as group_value, k as feature, count(*) as n, true as within from y group by 2, 3 union all select 'source_group', source_group, k, count(*), true from y group by 2, 3""",
