@@ -433,3 +433,18 @@ def agg_48_robust_summary(spark: SparkSession, d: str) -> DataFrame:
     q = c.groupBy("source_group").agg(p.alias("q"), F.count("f5").alias("n")).where("n >= 8").select("source_group", *[F.col("q")[i].alias(f"q{i}") for i in range(5)])
     a = c.join(q, "source_group").groupBy("source_group").agg(F.median(F.abs(F.col("f5") - F.col("q2"))).alias("mad"))
     return q.join(a, "source_group").select("source_group", six("q2", "median"), six("mad", "mad"), six(F.col("q3") - F.col("q1"), "iqr"), six(F.col("q4") - F.col("q0"), "span"))
+
+
+@R(f"with {C} select h.source_group as human_source, a.source_group as ai_source, true as rates_agree, true as auc_agrees from (select distinct source_group from c where label = 0) h, (select distinct source_group from c where label = 1) a")
+def svc_07_metric_audit(spark: SparkSession, d: str) -> DataFrame:
+    """Metrics of source pairs computed again from the predictions by another way: rates by rows, areas by ranks."""
+    c = cohort(spark, d).select("label", "source_group", "group_id", "score")
+    told = m.source_pairs(c)
+    names = told.select("human_source", "ai_source")
+    side = lambda y, s: names.join(c.where(F.col("label") == y).withColumnRenamed("source_group", s), s).select("human_source", "ai_source", "label", "score")
+    r = m.with_average_rank(side(0, "human_source").unionAll(side(1, "ai_source")), "score", ["human_source", "ai_source"])
+    one = F.col("label") == 1
+    n1, n0 = F.count_if(one), F.count_if(~one)
+    again = r.groupBy("human_source", "ai_source").agg((F.count_if(one & (F.col("score") >= 0.5)) / n1).alias("sens"), (F.count_if(~one & (F.col("score") < 0.5)) / n0).alias("spec"), ((F.sum(F.when(one, F.col("rank"))) - n1 * (n1 + 1) / 2) / (n1 * n0)).alias("area"))
+    same = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9
+    return told.join(again, ["human_source", "ai_source"]).select("human_source", "ai_source", (same("sensitivity", "sens") & same("specificity", "spec")).alias("rates_agree"), same("auc", "area").alias("auc_agrees"))
