@@ -242,6 +242,7 @@ def two_sample(df: DataFrame, spec: Spec, stats: DataFrame, scale: Mapping[str,
             heavy.setdefault(r["load_id"], {})[place[r["column_name"]]] = np.array(r["heavy"])
     enc = _Encoder(spec, scale, heavy)
     share = spark.createDataFrame([(k, min(1.0, sample / size[k])) for k in loads], f"load_id {kind}, share double")
+    share = F.broadcast(share) if len(loads) <= 1_000_000 else share  # a number per load, counted above; beyond that the join is shuffled
     unit = F.pmod(F.col("h"), F.lit(1 << 20)) / float(1 << 20)
     other = F.pmod(F.shiftright("h", 20), F.lit(1 << 20)) / float(1 << 20)
     drawn = rows.join(share, "load_id").withColumns({"own": unit < F.col("share"), "ref": other < min(1.0, reference / sum(size.values()))}).drop("share").where("own or ref")
