@@ -30,5 +30,6 @@ ROWS = {
 
 @pytest.mark.parametrize("name", sorted(set(q.queries()) - set(q.oracle_sql())))
 def test_query_without_sql_gives_sound_rows(spark, name):
-    rows = q.queries()[name](spark, str(DATA)).collect()
+    # The smallest scale has 18 judgements, too few for a tree to split.
+    rows = q.queries()[name](spark, str(DATA.with_name("sf0.01") if name == "p8_found" else DATA)).collect()
     assert rows and all(ROWS[name](r) for r in rows)
