@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,12 +22,19 @@ def multiplicities(groups: DataFrame, key: str, replicates: int, seed: int = 202
 
     Eight uniform numbers of 32 bits come from each SHA-256 of seed, group and number of the eight. One draw is shared by all
     models, folds and sources. Poisson counts make each group's draws independent of the others, so the table is made where the groups
-    are, in the JVM, at any number of them, and is the same after a retry. A null group is not drawn.
+    are, at any number of them, and is the same after a retry. A null group is not drawn.
     """
-    h = F.transform(F.sequence(F.lit(0), F.lit((replicates - 1) // 8)), lambda i: F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string"), i.cast("string")), 256))
-    u = F.flatten(F.transform(h, lambda x: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda j: F.conv(F.substring(x, j * 8 + 1, F.lit(8)), 16, 10).cast("bigint"))))
-    draws = F.transform(F.slice(u, 1, replicates), lambda v: sum(((v >= F.lit(t)).cast("int") for t in POISSON), F.lit(0)))
-    return groups.where(F.col(key).isNotNull()).select(key).distinct().select(key, draws.alias("draws"))
+    steps, kind = np.array(POISSON, np.uint64), dict(groups.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            names = b.column("__name").to_pylist()
+            u = np.frombuffer(b"".join(hashlib.sha256(f"{seed}|{n}|{i}".encode()).digest() for n in names for i in range(-(-replicates // 8))), ">u4").reshape(len(names), -1)
+            draws = np.searchsorted(steps, u[:, :replicates].astype(np.uint64).ravel(), "right").astype(np.int32)
+            ends = np.arange(len(names) + 1, dtype=np.int32) * replicates
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(draws))], names=[key, "draws"])
+
+    return groups.where(F.col(key).isNotNull()).select(key).distinct().select(key, F.col(key).cast("string").alias("__name")).mapInArrow(run, f"{key} {kind}, draws array<int>")
 
 
 def draws_sql(replicates: int, seed: int = 20260907) -> str:
