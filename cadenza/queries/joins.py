@@ -134,8 +134,13 @@ def jn_14_interval_join(spark: SparkSession, d: str) -> DataFrame:
     return r.interval_join(pt, seg, ["user_id"], "t", "s", "e", 64.0).select("pid", "segment")
 
 
-@R()
+@R(f"""with {C}, x as (select user_id, epoch_us(ts) / 1e6::double / 60 as t, id from c), r as (select user_id, t, row_number() over (partition by user_id order by t) as i from x where id % 2 = 0), p as (select user_id, t, row_number() over (partition by user_id order by t) as j from x where id % 2 = 1),
+  m as (select r.user_id, i, j, r.t as a, p.t as b from r join p on p.user_id = r.user_id and abs(r.t - p.t) <= 10 + 1e-12), l as (select user_id, list({{'ri': []::bigint[], 'pj': []::bigint[], 'out': []::struct(a double, b double)[], 'i': i, 'j': j, 'a': a, 'b': b}} order by abs(a - b), i, j) as e from m group by 1),
+  z as (select user_id, list_reduce(list_concat([{{'ri': []::bigint[], 'pj': []::bigint[], 'out': []::struct(a double, b double)[], 'i': 0::bigint, 'j': 0::bigint, 'a': 0.0::double, 'b': 0.0::double}}], e), lambda s, x: case when list_contains(s.ri, x.i) or list_contains(s.pj, x.j) then s
+    else {{'ri': list_append(s.ri, x.i), 'pj': list_append(s.pj, x.j), 'out': list_append(s.out, {{'a': x.a, 'b': x.b}}), 'i': x.i, 'j': x.j, 'a': x.a, 'b': x.b}} end).out as o from l)
+  select user_id, u.a as t_reference, u.b as t_predicted from (select user_id, unnest(o) as u from z)""")
 def jn_15_event_matching(spark: SparkSession, d: str) -> DataFrame:
+    """Even against odd rows of a recording, nearest pairs first."""
     c = cohort(spark, d).select("user_id", (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6 / 60).alias("t"), "id")
     return r.match_events(c.where("id % 2 = 0"), c.where("id % 2 = 1"), "user_id", "t", 10.0)
 

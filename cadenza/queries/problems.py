@@ -196,6 +196,10 @@ _P1_SQL = {
     "p1_segments": f"{_P1} select record_id, pp::int as segment_pos, {_numbers('el', 'start', 'end')}, {_fields('el', 'label')} from bt4 where json_type(el) = 'OBJECT'",
     "p1_samples": f"{_P1} select record_id, pp::int as sample_pos, {_fields('el', *SAMPLE)} from df4 where json_type(el) = 'OBJECT'",
     "p1_quality": f"{_P1}, q as (select record_id, null::int as sample_pos, {_fields('v', 'quality.D', 'quality.S', 'quality.R', 'quality.P')} from b3 union all select record_id, pp::int, {_fields('el', 'quality.D', 'quality.S', 'quality.R', 'quality.P')} from df4 where json_type(el) = 'OBJECT') select * from (select record_id, sample_pos, unnest(['D', 'S', 'R', 'P']) as family, unnest([quality__D, quality__S, quality__R, quality__P]) as quality from q) where quality is not null",
+    "p1_lists": f"""with {_B3}, x as (select record_id, 'limitations' as list, {_decoded("(v -> 'limitations')")} as l from b3 union all select record_id, 'provenance.limitations', {_decoded("(p -> 'limitations')")} from (select record_id, {_decoded("(v -> 'provenance')")} as p from b3)
+        union all select record_id, 'audio_provenance.configuration.window', {_decoded("(c -> 'window')")} from (select record_id, {_decoded("(p -> 'configuration')")} as c from (select record_id, {_decoded("(v -> 'audio_provenance')")} as p from b3))),
+      e as (select record_id, list, unnest(range(json_array_length(l)::bigint)) as i, l from x where json_type(l) = 'ARRAY'), f as (select record_id, list, i::varchar as place, (l -> i) as c from e)
+      select record_id, list, place, c ->> '$' as value from f where json_type(c) not in ('OBJECT', 'ARRAY', 'NULL')""",
     "p1_features": f"with {_B3}, f as (select record_id, {_decoded("(v -> 'features')")} as f from b3), k as (select record_id, f, unnest(json_keys(f)) as feature from f where json_type(f) = 'OBJECT'), x as (select record_id, feature, {_decoded("json_extract(f, '$.\"' || feature || '\"')")} as v from k) select record_id, feature, try_cast(v ->> '$' as double) as value from x where json_type(v) not in ('NULL', 'OBJECT', 'ARRAY')",
 }
 

@@ -36,6 +36,12 @@ def measured(spark: SparkSession, d: str, kernel, inputs=("x",)) -> DataFrame:
     return s.long(s.measure(recordings(spark, d), "recording", list(inputs), kernel), "recording")
 
 
+#: Coefficients of bins 4, 8 and 12 of every frame of SIZE samples, HOP apart, under a periodic Hann window, for DuckDB.
+SPECTRA = """sm as (select label::varchar || '-' || (vec_id // 500)::varchar as recording, (row_number() over (partition by label, vec_id // 500 order by vec_id) - 1) * 64 as start, embedding from embeddings), sa as (select recording, start + i as n, embedding[i + 1]::double as x from sm, (select unnest(range(64)) as i)),
+  fs as (select recording, max(n) + 1 as total, (max(n) + 1 - 64) // 16 as last from sa group by 1), fr as (select sa.recording, n // 16 - o as k, n - 16 * (n // 16 - o) as j, x from sa join fs using (recording), (select unnest(range(4)) as o) where n // 16 - o between 0 and last),
+  sp as (select recording, k, b, sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 64)) * cos(2 * pi() * b * j / 64)) / 32 as re, -sum(x * (0.5 - 0.5 * cos(2 * pi() * j / 64)) * sin(2 * pi() * b * j / 64)) / 32 as im from fr, (select unnest([4, 8, 12]) as b) group by 1, 2, 3)"""
+
+
 @R("select distinct id, case when canonical.native_frames >= 30 * canonical.native_sample_rate_hz then (canonical.native_frames - 30 * canonical.native_sample_rate_hz) // 2 end as start_frame, 30 * canonical.native_sample_rate_hz as frames from drive_sources where canonical.native_frames is not null and canonical.native_sample_rate_hz is not null")
 def sig_01_centre_crop(spark: SparkSession, d: str) -> DataFrame:
     n, want = F.col("canonical.native_frames"), 30 * F.col("canonical.native_sample_rate_hz")
@@ -79,7 +85,8 @@ def sig_07_bicoherence_grid(spark: SparkSession, d: str) -> DataFrame:
     return s.produce(recordings(spark, d), "recording", ["x"], lambda x: k.bicoherence_pools(x, 512, SIZE, HOP, k.triads(4, 24, 32)), "pool int, f1 int, f2 int, eligible boolean, b2 double, biphase double")
 
 
-@R()
+@R(f"""with {SPECTRA}, u as (select a.recording, a.k, a.re * b.re - a.im * b.im as re, a.re * b.im + a.im * b.re as im, c.re as vr, c.im as vi from sp a join sp b using (recording, k) join sp c using (recording, k) where a.b = 4 and b.b = 8 and c.b = 12),
+  t as (select recording, sum(re * vr + im * vi) as tr, sum(im * vr - re * vi) as ti, sum(re * re + im * im) as eu, sum(vr * vr + vi * vi) as ev from u group by 1) select recording, unnest(['b2', 'biphase']) as name, unnest([round(least(1, (tr * tr + ti * ti) / eu / ev), 6), round(atan2(ti, tr), 6)]) as value from t""")
 def sig_08_bicoherence(spark: SparkSession, d: str) -> DataFrame:
     return measured(spark, d, lambda x: dict(zip(("b2", "biphase"), k.bicoherence(k.spectra(x, SIZE, HOP), (4, 8)))))
 
@@ -239,14 +246,14 @@ def sig_26_bias_filter(spark: SparkSession, d: str) -> DataFrame:
     return measured(spark, d, kernel)
 
 
-@R()
+@R(f"""with {SPECTRA}, p as (select recording, k, sum(re * re + im * im) as p from sp group by 1, 2), o as (select recording, last, unnest(range((total + 249) // 250)) * 0.25::double as onset from fs) select o.recording, onset, round(10 * log10(p + 1e-12), 6) as level_db from o join p on p.recording = o.recording and p.k = least(floor(onset * 1000 / 16)::bigint, last)""")
 def sig_27_note_levels(spark: SparkSession, d: str) -> DataFrame:
     """Level at given onsets in the harmonics of given pitches."""
     def kernel(x: np.ndarray) -> list[dict]:
         p, f = np.abs(k.spectra(x, SIZE, HOP)) ** 2, np.fft.rfftfreq(SIZE, 1 / SR)
         return [{"onset": float(t), "level_db": float(10 * np.log10(sum(p[min(int(t * SR / HOP), len(p) - 1), np.abs(f - h * 60.0).argmin()] for h in (1, 2, 3)) + 1e-12))} for t in np.arange(0, len(x) / SR, 0.25)]
 
-    return s.produce(recordings(spark, d), "recording", ["x"], kernel, "onset double, level_db double")
+    return s.produce(recordings(spark, d), "recording", ["x"], kernel, "onset double, level_db double").withColumn("level_db", F.round("level_db", 6))
 
 
 @R("with e as (select vec_id, unnest(range(64)) as i, unnest(embedding)::double as v from embeddings) select vec_id, round(sum(v * pow(10, (case when i < 32 then i * 6.0 / 32 else (64 - i) * 6.0 / 32 end) / 20.0::double)), 6) as changed_sum from e group by 1")

@@ -353,7 +353,10 @@ def str_07_latest_state(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("id").agg(F.max(F.struct("loaded_at", "measured_at", "load_id", "feature_file_sha256")).alias("s")).select("id", F.col("s.load_id").alias("load_id"))
 
 
-@R()
+@R(f"""with {C}, j as (select user_id, id, epoch_us(ts) / 1e6::double as t, value as sec from c), l as (select user_id, list({{'ends': []::double[], 'out': []::struct(id bigint, outcome varchar)[], 't': t, 'sec': sec, 'id': id}} order by t, id) as e from j group by 1),
+  r as (select user_id, list_reduce(list_concat([{{'ends': []::double[], 'out': []::struct(id bigint, outcome varchar)[], 't': 0.0::double, 'sec': 0.0::double, 'id': 0::bigint}}], e), lambda a, x: {{'ends': case when len(list_filter(a.ends, lambda v: v > x.t)) >= 2 then list_filter(a.ends, lambda v: v > x.t) else list_append(list_filter(a.ends, lambda v: v > x.t), x.t + least(x.sec * 60, 3600)) end,
+    'out': list_append(a.out, {{'id': x.id, 'outcome': case when len(list_filter(a.ends, lambda v: v > x.t)) >= 2 then 'rejected' else 'admitted' end}}), 't': x.t, 'sec': x.sec, 'id': x.id}}).out as o from l)
+  select user_id, u.id as id, u.outcome as outcome from (select user_id, unnest(o) as u from r)""")
 def str_09_job_registry(spark: SparkSession, d: str) -> DataFrame:
     """Jobs with expiry and bounded admission, replayed in order of time per user."""
     from cadenza.streaming.jobs import replay_jobs

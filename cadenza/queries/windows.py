@@ -137,13 +137,16 @@ def win_16_rolling_median(spark: SparkSession, d: str) -> DataFrame:
     return frames(spark, d).select("id", six(five[2], "median5"))
 
 
-@R()
+@R("""with v as (select vec_id, list_transform(embedding, lambda x: abs(x::double)) as v from embeddings), a as (select vec_id, v, list_sort(list_distinct(list_transform(range(60), lambda s: s + list_position(v[s + 1 : s + 5], list_min(v[s + 1 : s + 5])) - 1))) as low from v),
+  p as (select vec_id, v, low, unnest(range(64)) as i from a), q as (select vec_id, i, v[i + 1] as x, v, coalesce(list_max(list_filter(low, lambda k: k <= i)), low[1]) as l, coalesce(list_min(list_filter(low, lambda k: k >= i)), low[-1]) as r from p),
+  d as (select vec_id, i, greatest(x - case when l >= r then v[l + 1] else v[l + 1] + (v[r + 1] - v[l + 1]) * (i - l) / (r - l)::double end, 0) as d from q) select vec_id, i::int as place, round(d / nullif(sum(d) over (partition by vec_id), 0), 6) as residual from d""")
 def win_17_lower_envelope(spark: SparkSession, d: str) -> DataFrame:
     """Values above the line through the least of each five neighbours, as a share of their sum."""
     from cadenza.functions.signal import lower_envelope_residual
     from cadenza.session import table
 
-    return table(spark, d, "embeddings").select("vec_id", lower_envelope_residual(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("residual"))
+    r = table(spark, d, "embeddings").select("vec_id", lower_envelope_residual(F.transform("embedding", lambda x: F.abs(x.cast("double")))).alias("r"))
+    return r.select("vec_id", F.posexplode("r").alias("place", "residual")).withColumn("residual", F.round("residual", 6))
 
 
 @R()
@@ -178,7 +181,12 @@ def win_20_first_groups_by_hash(spark: SparkSession, d: str) -> DataFrame:
     return c.join(top, ["source_group", "group_id"]).groupBy("source_group").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("group_id").alias("groups"))
 
 
-@R()
+@R(f"""with {C}, g as (select {FOLD} as fold, group_id, {H.format('group_id')} as h, list_distinct(list(source_group)) as src from c group by 1, 2, 3), k as (select list_sort(list_distinct(list(source_group))) as names from c),
+  e as (select fold, group_id, h, cap, list_transform(names, lambda n: list_contains(src, n)::int) as own from g, k, (select unnest([25, 50, 100]) as cap)),
+  l as (select fold, list({{'used': list_transform(own, lambda v: 0), 'taken': []::varchar[], 'out': []::struct(g varchar, cap int)[], 'own': own, 'g': group_id, 'cap': cap}} order by cap, h, group_id) as e from e group by 1),
+  r as (select fold, list_reduce(list_concat([{{'used': e[1].used, 'taken': []::varchar[], 'out': []::struct(g varchar, cap int)[], 'own': e[1].own, 'g': '', 'cap': 0}}], e), lambda a, x: case when list_contains(a.taken, x.g) or len(list_filter(list_zip(a.used, x.own), lambda z: z[2] = 1 and z[1] >= x.cap)) > 0 then a
+    else {{'used': list_transform(list_zip(a.used, x.own), lambda z: z[1] + z[2]), 'taken': list_append(a.taken, x.g), 'out': list_append(a.out, {{'g': x.g, 'cap': x.cap}}), 'own': x.own, 'g': x.g, 'cap': x.cap}} end).out as o from l)
+  select fold, u.g as group_id, u.cap as cap from (select fold, unnest(o) as u from r)""")
 def win_21_coupled_caps(spark: SparkSession, d: str) -> DataFrame:
     """Nested caps of 25, 50 and 100 groups per source and fold."""
     g = with_fold(cohort(spark, d)).select("fold", "group_id", "source_group", rank_key(F.col("group_id")).alias("order")).distinct()
