@@ -17,6 +17,17 @@ from pyspark.sql import functions as F
 POISSON = [int(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1))) for k in range(11)]
 
 
+def _drawn(names: Sequence[str], replicates: int, seed: int) -> np.ndarray:
+    """The draws of multiplicities: a row per name, a column per replicate."""
+    eights = [str(i).encode() for i in range(-(-replicates // 8))]
+    h = b"".join([hashlib.sha256(name + i).digest() for name in [f"{seed}|{n}|".encode() for n in names] for i in eights])
+    u = np.frombuffer(h, ">u4").reshape(len(names), 8 * len(eights))[:, :replicates].astype(np.uint32)
+    k = np.zeros(u.shape, np.int8)
+    for t in POISSON:
+        k += u >= np.uint32(t)
+    return k
+
+
 def multiplicities(groups: DataFrame, key: str, replicates: int, seed: int = 20260907) -> DataFrame:
     """(key, draws array<int>): how often each group is drawn in each replicate, as Poisson(1) counts given by group, replicate and seed.
 
@@ -24,15 +35,13 @@ def multiplicities(groups: DataFrame, key: str, replicates: int, seed: int = 202
     models, folds and sources. Poisson counts make each group's draws independent of the others, so the table is made where the groups
     are, at any number of them, and is the same after a retry. A null group is not drawn.
     """
-    steps, kind = np.array(POISSON, np.uint64), dict(groups.dtypes)[key]
+    kind = dict(groups.dtypes)[key]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            names = b.column("__name").to_pylist()
-            u = np.frombuffer(b"".join(hashlib.sha256(f"{seed}|{n}|{i}".encode()).digest() for n in names for i in range(-(-replicates // 8))), ">u4").reshape(len(names), -1)
-            draws = np.searchsorted(steps, u[:, :replicates].astype(np.uint64).ravel(), "right").astype(np.int32)
-            ends = np.arange(len(names) + 1, dtype=np.int32) * replicates
-            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(draws))], names=[key, "draws"])
+            draws = _drawn(b.column("__name").to_pylist(), replicates, seed)
+            ends = np.arange(len(draws) + 1, dtype=np.int32) * replicates
+            yield pa.RecordBatch.from_arrays([b.column(key), pa.ListArray.from_arrays(pa.array(ends), pa.array(draws.astype(np.int32).ravel()))], names=[key, "draws"])
 
     return groups.where(F.col(key).isNotNull()).select(key).distinct().select(key, F.col(key).cast("string").alias("__name")).mapInArrow(run, f"{key} {kind}, draws array<int>")
 
@@ -54,6 +63,52 @@ def replicate_sums(df: DataFrame, draws: DataFrame, key: str, by: Sequence[str],
     return x.groupBy(*by, "rep").agg(*[F.sum(F.col(n) * F.col("k")).alias(n) for n in sums])
 
 
+def drawn_sums(df: DataFrame, key: str, by: Sequence[str], sums: dict[str, str], replicates: int, seed: int = 20260907) -> DataFrame:
+    """(<by>, rep, <sums>): what replicate_sums gives with the draws of multiplicities, for as many keys as rows.
+
+    A key's draws follow from the key, so they are made and added up where its rows are; a table of draws, a thousand times as long as the keys
+    and of a size that the planner can't see (it would broadcast it), is never made. A task holds the draws of 1,000 rows and the sums of some
+    values of ``by``. Sums are of whole numbers, exact up to 2**53; null values add nothing, rows with a null key aren't drawn.
+    """
+    x = df.where(F.col(key).isNotNull()).select(*by, F.col(key).cast("string").alias("__name"), *[F.col(c).alias(n) for n, c in sums.items()])
+    kinds = dict(x.dtypes)
+    if other := [n for n in sums if kinds[n] not in ("tinyint", "smallint", "int", "bigint")]:
+        raise ValueError(f"not whole numbers: {', '.join(other)}")
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in by], "rep int", *[f"`{n}` bigint" for n in sums]])
+
+    def table(total: dict[tuple, np.ndarray], types: list[pa.DataType]) -> pa.RecordBatch:
+        reps = [np.flatnonzero(t[0]) for t in total.values()]  # those that drew a row
+        which = pa.array(np.repeat(np.arange(len(reps)), [len(r) for r in reps]))
+        own = [pa.array(list(c), kind).take(which) for c, kind in zip(zip(*total), types)]
+        values = [np.concatenate([t[i, r] for t, r in zip(total.values(), reps)]) for i in range(1, 1 + 2 * len(sums))]
+        found = [pa.array(v.astype(np.int64), mask=seen == 0) for v, seen in zip(values[::2], values[1::2])]
+        return pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(reps).astype(np.int32)), *found], names=[*by, "rep", *sums])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple, np.ndarray] = {}  # per values of by: times drawn; per sum the sum and the times its value was not null
+        types: list[pa.DataType] = []
+        for batch in batches:
+            types = [batch.schema.field(c).type for c in by]
+            for b in (batch.slice(i, 1_000) for i in range(0, batch.num_rows, 1_000)):
+                rows: dict[tuple, list[int]] = {}
+                for i, values in enumerate(zip(*[b.column(c).to_pylist() for c in by]) if by else [()] * b.num_rows):
+                    rows.setdefault(values, []).append(i)
+                parts = [f for n in sums for f in (b.column(n).fill_null(0), b.column(n).is_valid())]
+                w = np.stack([np.ones(b.num_rows), *[f.to_numpy(zero_copy_only=False).astype(np.float64) for f in parts]])
+                draws = _drawn(b.column("__name").to_pylist(), replicates, seed)
+                for values, i in rows.items():
+                    t = w[:, i] @ draws[i].astype(np.float64)
+                    total[values] = total[values] + t if values in total else t
+                if len(total) > 100:
+                    yield table(total, types)
+                    total = {}
+        if total:
+            yield table(total, types)
+
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a stated number: small rows with much work each, that would be put into few tasks
+    return x.repartition(parts).mapInArrow(run, schema).groupBy(*by, "rep").agg(*[F.sum(n).alias(n) for n in sums])
+
+
 def interval(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
     """Percentile interval, standard error (ddof 1), share above 0 and number of defined replicates of ``value`` over rep; six decimals."""
     v = F.col(value)

@@ -330,7 +330,7 @@ def bst_05_pair_group_bootstrap(spark: SparkSession, d: str) -> DataFrame:
 def bst_06_stratified_rows(spark: SparkSession, d: str) -> DataFrame:
     """Rows drawn within classes: each row is its own group."""
     c = cohort(spark, d).where("role = 'locked'").select("id", "label", F.lit(1).alias("n"), ((F.col("score") >= 0.5) == (F.col("label") == 1)).cast("int").alias("hit"))
-    x = b.replicate_sums(c, b.multiplicities(c, "id", REPLICATES), "id", ["label"], {"n": "n", "hit": "hit"}).groupBy("rep").agg(F.avg(ratio(F.col("hit"), F.col("n"))).alias("ba"))
+    x = b.drawn_sums(c, "id", ["label"], {"n": "n", "hit": "hit"}, REPLICATES).groupBy("rep").agg(F.avg(ratio(F.col("hit"), F.col("n"))).alias("ba"))
     return b.interval(x, [], "ba")
 
 

@@ -136,6 +136,18 @@ def test_bootstrap_multiplicity_one_is_the_estimate(spark):
     assert bootstrap.replicate_sums(df, one, "g", ["s"], {"v": "v"}).first()["v"] == 9.0
 
 
+def test_drawn_sums_are_those_of_joined_draws(spark):
+    rows = [(None if i % 41 == 0 else i % 2_300, None if i % 7 == 0 else f"s{i % (3 if i % 2 else 150)}", i % 5 - 2, None if i % 3 == 0 or i % 7 == 0 else 10**12 + i) for i in range(2_500)]
+    df = spark.createDataFrame(rows, "id bigint, s string, v int, w bigint")
+    for by in (["s"], []):
+        want = bootstrap.replicate_sums(df, bootstrap.multiplicities(df, "id", 20), "id", by, {"a": "v", "b": "w"})
+        got = bootstrap.drawn_sums(df, "id", by, {"a": "v", "b": "w"}, 20)
+        assert got.dtypes == want.dtypes and set(got.collect()) == set(want.collect()) and got.count() == want.count() > 0
+    assert bootstrap.drawn_sums(df.where("id < 0"), "id", ["s"], {"a": "v"}, 20).count() == 0
+    with pytest.raises(ValueError):
+        bootstrap.drawn_sums(df.withColumn("v", F.col("v") / 2), "id", [], {"a": "v"}, 20)
+
+
 def test_power_set():
     assert relational.power_set(["S", "D", "R"]) == ["S", "D", "R", "S+D", "S+R", "D+R", "S+D+R"]
 
